@@ -1,13 +1,75 @@
-"""The corpus pipeline: quality rules, language ID, near-dedup, mixing, packing."""
+"""The corpus pipeline: quality rules, language ID, near-dedup, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns the
+columns of ``documents`` (the last: the packed pieces). A stage's result is written as Parquet and
+read again before the next.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.llm import queries as q
+from textloom.llm.store import Scratch
+
+#: Least share of the main language.
+MAIN_SHARE = 0.5
+
+
+def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """Rows of docs by the decision on their id: one row of (doc_id, copies) at most for each id, copies above 0."""
+    return docs.join(decided, "doc_id", "left_semi").select(docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the classifier."""
+    from textloom.llm.quality import fit_quality, score_quality
+
+    model = fit_quality(docs, q.table(spark, sf_dir, "labels"))
+    return _kept(docs, score_quality(docs, model).where("kept"))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters, mainly in one language."""
+    from textloom.llm.lang_id import fit_languages, infer_languages
+
+    found = infer_languages(docs, fit_languages(docs))
+    return _kept(docs, found.where((F.col("lang_pred") != "und") & (F.col("score") >= MAIN_SHARE)))
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies; repeated rows of it are one."""
+    from textloom.llm.minmax_dedup import near_duplicates
+
+    found = near_duplicates(docs, Scratch(spark, "pipeline-dedup"))
+    return _kept(docs, found.where("kept")).dropDuplicates(["doc_id"])
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their copies say: none, one or more rows."""
+    mixed = q.mixed_documents(spark, docs, sf_dir).where("copies > 0").select("doc_id", "copies")
+    repeated = docs.join(mixed, "doc_id").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    from textloom.llm.packing import Capacity, pack
+
+    return pack(docs, q.tokenizer_path(), 0, Scratch(spark, "pipeline-packing"), Capacity(tokens=q.LIMIT, documents=q.LIMIT, attention=q.LIMIT**2))
+
+
+STAGES = [("quality", quality), ("language", language), ("dedup", dedup), ("mixing", mixing), ("packing", packing)]
 
-STAGES: list = []
+#: Classifiers, expectation maximisation and bin packing are not SQL; tests hold the rows against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` through all stages."""
-    raise NotImplementedError
+    scratch = Scratch(spark, "pipeline")
+    docs = q.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    return docs

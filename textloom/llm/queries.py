@@ -27,6 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lang_id import fit_languages, infer_languages
+
+    documents = table(spark, sf_dir, "documents")
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = fit_languages(documents, where=remainder != 0)
+    found = infer_languages(documents, model)
+    return found.select("doc_id", (remainder == 0).alias("held_out"), "lang_pred", "score", "languages", "proportions")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import Capacity, pack
 
@@ -50,6 +60,19 @@ def op3_histogram_sort_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .maxscore import quantised, top_k
+
+    vectors = quantised(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), Scratch(spark, "maxscore"), 5)
+
+
+def op5_conditional_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_context_mixing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_codec import read_ids, write_ids
 
@@ -64,9 +87,60 @@ def op7_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), "fit_bytes")
 
 
+def op8_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minmax_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "dedup"), words=5, percent=85)
+
+
+def op9_calibrated_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit_quality, score_quality
+
+    documents = table(spark, sf_dir, "documents")
+    return score_quality(documents, fit_quality(documents, table(spark, sf_dir, "labels")))
+
+
+#: Domains of the labelled table, and the token shares aimed at.
+DOMAINS = ["clean", "toxic", "poor"]
+TARGETS = {"clean": 0.98, "toxic": 0.005, "poor": 0.015}
+
+
+def domain_label():
+    """The domain of a row of ``labels``."""
+    return F.when(F.col("quality") == 0, "poor").when(F.col("toxic") == 1, "toxic").when((F.col("quality") == 1) & (F.col("toxic") == 0), "clean")
+
+
+def mixed_documents(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
+    """The rates of all documents; the overall size keeps the clean domain whole."""
+    from .mixing import fit_domains, mix
+
+    model = fit_domains(documents, table(spark, sf_dir, "labels"), domain_label(), DOMAINS)
+    return mix(documents, model, DOMAINS, TARGETS, tokenizer_path(), Scratch(spark, "mixing"), anchor="clean")
+
+
+def op10_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_documents(spark, table(spark, sf_dir, "documents"), sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+#: The same arithmetic in DuckDB, over all pairs of a query and another row.
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_maxscore_top_k": OP4_SQL}
