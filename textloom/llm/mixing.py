@@ -39,7 +39,7 @@ def fit_domains(documents: DataFrame, labels: DataFrame, domain, names: list[str
     got.sort(key=lambda r: (r["doc_id"], r["domain"], r["text"] or ""))
     texts, y = [(r["text"] or "").encode() for r in got], np.array([names.index(r["domain"]) for r in got], np.int64)
     held = np.arange(len(y)) % 4 == 3
-    model = ngrams.fit([t for t, h in zip(texts, held, strict=True) if not h], y[~held], len(names), steps=60, evenness=1.0)
+    model = ngrams.fit([t for t, h in zip(texts, held, strict=True) if not h], y[~held], len(names), steps=60, evenness=1.0, norm=0.5)
     return ngrams.temper(model, [t for t, h in zip(texts, held, strict=True) if h], y[held])
 
 

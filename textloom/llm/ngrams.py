@@ -30,11 +30,11 @@ def families(docs: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray
     return out
 
 
-def scores(docs: list[bytes], weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """(texts, classes): the bias and the mean weight of the features of each family."""
+def scores(docs: list[bytes], weights: np.ndarray, bias: np.ndarray, norm: float) -> np.ndarray:
+    """(texts, classes): the bias and, for each family, the summed weights of n features by n to the power ``norm``."""
     out = np.tile(bias.astype(np.float64), (len(docs), 1))
     for f, (index, first, last) in enumerate(families(docs)):
-        n = np.maximum(last - first, 1)
+        n = np.maximum(last - first, 1) ** norm
         for k in range(weights.shape[2]):
             total = np.zeros(len(index) + 1)
             np.cumsum(weights[f, :, k][index], out=total[1:])
@@ -55,15 +55,18 @@ class Model:
     #: Slope and intercept of the calibration, for two classes.
     slope: float = 1.0
     shift: float = 0.0
+    norm: float = 1.0
 
     def probabilities(self, docs: list[bytes]) -> np.ndarray:
-        return softmax(self.slope * scores(docs, self.weights, self.bias) + np.array([0.0] * (len(self.bias) - 1) + [self.shift]))
+        return softmax(self.slope * scores(docs, self.weights, self.bias, self.norm) + np.array([0.0] * (len(self.bias) - 1) + [self.shift]))
 
 
-def fit(docs: list[bytes], y: np.ndarray, classes: int, *, steps: int = 80, penalty: float = 0.1, share: float = 0.01, evenness: float = 0.5) -> Model:
+def fit(docs: list[bytes], y: np.ndarray, classes: int, *, steps: int = 80, penalty: float = 0.1, share: float = 0.005, screen: float = 15.0, evenness: float = 0.5, norm: float = 1.0) -> Model:
     """Softmax regression by Adam on the relative frequencies of each family, for features that ``share`` of the texts have.
 
+    screen: least chi-square statistic of a feature's presence by class.
     evenness: from 0, features count as they are, to 1, all are scaled to the same mean square.
+    norm: at 1 a feature counts by its frequency, at 0.5 rare words of a long text weigh more.
     """
     row, column, value = [], [], []
     for f, (index, first, last) in enumerate(families(docs)):
@@ -72,15 +75,23 @@ def fit(docs: list[bytes], y: np.ndarray, classes: int, *, steps: int = 80, pena
             if len(own):
                 row.append(np.full(len(own), i, np.int32))
                 column.append(own.astype(np.int64) + (f << BITS))
-                value.append(n / n.sum())
+                value.append(n / n.sum() ** norm)
     weights = np.zeros((3, 1 << BITS, classes), np.float32)
     base = np.log(np.bincount(y, minlength=classes) + 1.0)
     if not row:
-        return Model(weights, base - base.mean())
+        return Model(weights, base - base.mean(), norm=norm)
     row, column, value = np.concatenate(row), np.concatenate(column), np.concatenate(value)
     used, column = np.unique(column, return_inverse=True)
-    # Features of few texts say more about those texts than about their class.
-    common = np.bincount(column) >= max(3, share * len(docs))
+    # Features of few texts, and those about as frequent in every class, say more about those texts than about the class.
+    seen, size = np.bincount(column, minlength=len(used)), np.bincount(y, minlength=classes)
+    common = seen >= max(3, share * len(docs))
+    chi = np.zeros(len(used))
+    for k in range(classes):
+        expected = seen * size[k] / len(docs)
+        chi += (np.bincount(column[y[row] == k], minlength=len(used)) - expected) ** 2 / (expected + 1e-9) / (1 - expected / len(docs))
+    common &= chi >= screen
+    if not common.any():
+        return Model(weights, base - base.mean(), norm=norm)
     keep = common[column]
     place = np.cumsum(common) - 1
     used, row, column, value = used[common], row[keep], place[column[keep]], value[keep]
@@ -103,12 +114,12 @@ def fit(docs: list[bytes], y: np.ndarray, classes: int, *, steps: int = 80, pena
         b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
     w /= scale[:, None]
     weights[used >> BITS, used & ((1 << BITS) - 1)] = w
-    return Model(weights, b)
+    return Model(weights, b, norm=norm)
 
 
 def calibrate(model: Model, docs: list[bytes], y: np.ndarray, steps: int = 60) -> Model:
     """Platt's slope and intercept for the last of two classes, by Newton steps on rows the model has not seen."""
-    z = scores(docs, model.weights, model.bias)
+    z = scores(docs, model.weights, model.bias, model.norm)
     x = z[:, 1] - z[:, 0]
     good = y.sum()
     t = np.where(y == 1, (good + 1) / (good + 2), 1 / (len(y) - good + 2))
@@ -120,16 +131,16 @@ def calibrate(model: Model, docs: list[bytes], y: np.ndarray, steps: int = 60) -
         h = np.array([[(s * x * x).sum() + 1e-3, (s * x).sum()], [(s * x).sum(), s.sum()]])
         step = np.linalg.solve(h, g)
         a, c = a - np.clip(step[0], -1, 1), c - np.clip(step[1], -1, 1)
-    return Model(model.weights, model.bias, max(a, 0.05), c)
+    return Model(model.weights, model.bias, max(a, 0.05), c, model.norm)
 
 
 def temper(model: Model, docs: list[bytes], y: np.ndarray) -> Model:
     """The slope, of a fixed grid, under which rows the model has not seen are likeliest."""
     if not len(y):
         return model
-    z = scores(docs, model.weights, model.bias)
+    z = scores(docs, model.weights, model.bias, model.norm)
 
     def loss(slope: float) -> float:
         return -float(np.log(0.999 * softmax(slope * z)[np.arange(len(y)), y] + 0.001 / z.shape[1]).sum()) + 1e-3 * slope
 
-    return Model(model.weights, model.bias, min((2.0**k for k in np.arange(-8, 3.5, 0.5)), key=loss), 0.0)
+    return Model(model.weights, model.bias, min((2.0**k for k in np.arange(-8, 3.5, 0.5)), key=loss), 0.0, model.norm)

@@ -15,7 +15,7 @@ from . import ngrams, textvec
 from .arrow import columns, rows
 
 #: Most labelled rows for fitting and calibrating; least probability of good quality to keep.
-SAMPLE, THRESHOLD = 2400, 0.2
+SAMPLE, THRESHOLD = 2400, 0.5
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

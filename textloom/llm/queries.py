@@ -102,7 +102,7 @@ def op9_calibrated_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Domains of the labelled table, and the token shares aimed at.
 DOMAINS = ["clean", "toxic", "poor"]
-TARGETS = {"clean": 0.98, "toxic": 0.005, "poor": 0.015}
+TARGETS = {"clean": 0.94, "toxic": 0.03, "poor": 0.03}
 
 
 def domain_label():
