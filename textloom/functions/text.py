@@ -170,18 +170,46 @@ def normalize_whitespace(c: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"(?U)\n\s*\n+", "\n\n"))
 
 
+def distinct_parts(parts: list[str]) -> list[str]:
+    """Stripped parts that are not blank, each lower-cased form once."""
+    kept: dict[str, str] = {}
+    for p in map(str.strip, parts):
+        kept.setdefault(p.lower(), p)
+    kept.pop("", None)
+    return list(kept.values())
+
+
+def _sentences(c: Column, lines_first: bool) -> Column:
+    """The rules that need Python and those between them, in one pass over the workers."""
+
+    def one(t: str | None) -> str | None:
+        if t is None:
+            return None
+        t = collapse_repeats(t)
+        t = t if lines_first else "\n".join(distinct_parts(t.split("\n")))
+        t = " ".join(distinct_parts(re.split(r"(?<=[.!?])\s+", t.strip())))
+        return _COMMA.sub(r"\1", t) if _may_repeat(t) else t
+
+    @F.pandas_udf(T.StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(one)
+
+    return run(c)
+
+
 def clean_text(c: Column) -> Column:
     """All nine rules in order. The second flattens line ends, so that the third and sixth find single lines here."""
-    for rule in (remove_repeated_words, remove_repeated_sequences, remove_duplicate_lines, remove_duplicate_sentences, remove_repeated_comma_phrases, remove_cycling_numbered_lines, remove_incremental_list, trim_attached_documents, normalize_whitespace):
+    c = _sentences(remove_repeated_words(c), lines_first=False)
+    for rule in (remove_cycling_numbered_lines, remove_incremental_list, trim_attached_documents, normalize_whitespace):
         c = rule(c)
     return c
 
 
 def clean_text_by_line(c: Column) -> Column:
     """The same rules with the line rules first, so that they see lines."""
-    for rule in (remove_repeated_words, remove_duplicate_lines, remove_cycling_numbered_lines, remove_incremental_list, remove_repeated_sequences, remove_duplicate_sentences, remove_repeated_comma_phrases, trim_attached_documents, normalize_whitespace):
+    for rule in (remove_repeated_words, remove_duplicate_lines, remove_cycling_numbered_lines, remove_incremental_list):
         c = rule(c)
-    return c
+    return normalize_whitespace(trim_attached_documents(_sentences(c, lines_first=True)))
 
 
 def mask_placeholders(c: Column) -> Column:
