@@ -31,7 +31,7 @@ def one(spark, rule, value):
         (T.trim_attached_documents, "y" * 10 + " Публичная оферта " + "x" * 4000, "y" * 10),
         (T.normalize_whitespace, " a \t b\n \n\n\nc ", "a b\n\nc"),
         (T.clean_text, "a\nb", "a b"),
-        (T.clean_text_by_line, "a\nb\na", "a b"),
+        (T.clean_text_by_line, "a\nb\na", "a\nb"),
         (T.first_paragraph, " a\nb\n\nc", "a\nb"),
     ],
 )

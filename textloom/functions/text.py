@@ -179,15 +179,16 @@ def distinct_parts(parts: list[str]) -> list[str]:
     return list(kept.values())
 
 
-def _sentences(c: Column, lines_first: bool) -> Column:
-    """The rules that need Python and those between them, in one pass over the workers."""
+def _in_workers(c: Column, by_line: bool) -> Column:
+    """The rules that need Python and those between them, in one pass; ``by_line`` applies them to each distinct line."""
+
+    def block(t: str) -> str:
+        return " ".join(distinct_parts(re.split(r"(?<=[.!?])\s+", collapse_repeats(t))))
 
     def one(t: str | None) -> str | None:
         if t is None:
             return None
-        t = collapse_repeats(t)
-        t = t if lines_first else "\n".join(distinct_parts(t.split("\n")))
-        t = " ".join(distinct_parts(re.split(r"(?<=[.!?])\s+", t.strip())))
+        t = "\n".join(distinct_parts([block(x) for x in t.split("\n")])) if by_line else block(t)
         return _COMMA.sub(r"\1", t) if _may_repeat(t) else t
 
     @F.pandas_udf(T.StringType())
@@ -199,17 +200,18 @@ def _sentences(c: Column, lines_first: bool) -> Column:
 
 def clean_text(c: Column) -> Column:
     """All nine rules in order. The second flattens line ends, so that the third and sixth find single lines here."""
-    c = _sentences(remove_repeated_words(c), lines_first=False)
-    for rule in (remove_cycling_numbered_lines, remove_incremental_list, trim_attached_documents, normalize_whitespace):
-        c = rule(c)
-    return c
+    return _after(_in_workers(remove_repeated_words(c), by_line=False))
 
 
 def clean_text_by_line(c: Column) -> Column:
-    """The same rules with the line rules first, so that they see lines."""
-    for rule in (remove_repeated_words, remove_duplicate_lines, remove_cycling_numbered_lines, remove_incremental_list):
+    """The same rules with lines kept apart, so that the line rules have lines to work on."""
+    return _after(_in_workers(remove_repeated_words(c), by_line=True))
+
+
+def _after(c: Column) -> Column:
+    for rule in (remove_cycling_numbered_lines, remove_incremental_list, trim_attached_documents, normalize_whitespace):
         c = rule(c)
-    return normalize_whitespace(trim_attached_documents(_sentences(c, lines_first=True)))
+    return c
 
 
 def mask_placeholders(c: Column) -> Column:
