@@ -12,8 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Most rows of an Arrow batch.
+BATCH = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives executors this package where their Python path does not have it."""
+    """Gives executors this package where their Python path does not have it, and bounds the batches they get.
+
+    Whole texts make large rows: ten thousand of them, Spark's default, are held by the JVM and by Python
+    at once.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     package = Path(__file__).resolve().parents[1]
     root = str(package.parent)
     if os.getcwd() == root or root in os.environ.get("PYTHONPATH", "").split(":"):

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text handled at once; a longer text is handled alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: The word separators of the contracts: space and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True

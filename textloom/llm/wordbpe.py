@@ -20,7 +20,7 @@ from .textvec import U, ragged
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Distinct words remembered before the memory starts afresh, and the longest word merged here.
-MEMORY, LONGEST = 1 << 20, 48
+MEMORY, LONGEST = 3 << 18, 48
 _NONE = np.int32(1 << 30)
 _S, _L, _N, _O = range(4)
 #: The split pattern and the normalizers this module spells out.
@@ -133,7 +133,7 @@ class WordBpe:
         for high in (4, 8, 12, 16, 24, 32, LONGEST):
             rows = np.flatnonzero((size > low) & (size <= high))
             low = high
-            for part in np.array_split(rows, max(1, len(rows) >> 15)):
+            for part in np.array_split(rows, max(1, len(rows) >> 14)):
                 if not len(part):
                     continue
                 at = starts[part][:, None] + np.arange(high)
