@@ -100,13 +100,14 @@ def fit_rates(scored: DataFrame, targets: np.ndarray, *, anchor: int = 0, passes
         return history, total, total
     at = anchor if live[anchor] else int(np.flatnonzero(live)[0])
     wanted = share * total[at] / share[at]
-    best = (np.inf, history, total)
+    best, trail = (np.inf, history, total), []
     for _ in range(passes):
         miss = (total - wanted) / np.maximum(wanted, 1.0)
         worst = float(np.abs(miss[live]).max(initial=0.0))
         if worst < best[0]:
             best = (worst, list(history), total)
-        if worst < TOLERANCE:
+        trail.append(worst)
+        if worst < TOLERANCE or len(trail) > 4 and worst > 0.98 * trail[-5]:
             break
         ridge = 1e-3 * np.trace(curve) / k + 1e-9
         history = [*history, 0.8 * np.linalg.solve(curve + ridge * np.eye(k), total - wanted)]

@@ -32,6 +32,8 @@ def families(docs: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray
 
 def scores(docs: list[bytes], weights: np.ndarray, bias: np.ndarray, norm: float) -> np.ndarray:
     """(texts, classes): the bias and, for each family, the summed weights of n features by n to the power ``norm``."""
+    if len(slices := list(textvec.parts(docs))) > 1:
+        return np.concatenate([scores(docs[x], weights, bias, norm) for x in slices])
     out = np.tile(bias.astype(np.float64), (len(docs), 1))
     for f, (index, first, last) in enumerate(families(docs)):
         n = np.maximum(last - first, 1) ** norm
@@ -69,13 +71,14 @@ def fit(docs: list[bytes], y: np.ndarray, classes: int, *, steps: int = 80, pena
     norm: at 1 a feature counts by its frequency, at 0.5 rare words of a long text weigh more.
     """
     row, column, value = [], [], []
-    for f, (index, first, last) in enumerate(families(docs)):
-        for i in range(len(docs)):
-            own, n = np.unique(index[first[i] : last[i]], return_counts=True)
-            if len(own):
-                row.append(np.full(len(own), i, np.int32))
-                column.append(own.astype(np.int64) + (f << BITS))
-                value.append(n / n.sum() ** norm)
+    for part in textvec.parts(docs):
+        for f, (index, first, last) in enumerate(families(docs[part])):
+            for i in range(len(first)):
+                own, n = np.unique(index[first[i] : last[i]], return_counts=True)
+                if len(own):
+                    row.append(np.full(len(own), part.start + i, np.int32))
+                    column.append(own + np.int32(f << BITS))
+                    value.append((n / n.sum() ** norm).astype(np.float32))
     weights = np.zeros((3, 1 << BITS, classes), np.float32)
     base = np.log(np.bincount(y, minlength=classes) + 1.0)
     if not row:
