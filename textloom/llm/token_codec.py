@@ -125,7 +125,7 @@ def _grid(n: int) -> list[np.ndarray]:
     """For each step the places of its ids, one for each lane that goes on."""
     size = _lanes(n)
     start = np.cumsum(size) - size
-    return [start[: int((size > step).sum())] + step for step in (0,)] + [start + step for step in range(1, int(size[-1]))] + [start[: int((size > step).sum())] + step for step in range(max(1, int(size[-1])), int(size[0]))]
+    return [start[: int((size > step).sum())] + step for step in range(int(size[0]))]
 
 
 def encode_ids(ids: np.ndarray) -> bytes:
