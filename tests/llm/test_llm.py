@@ -190,3 +190,25 @@ def test_chunks_cover_everything():
 
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["a" * 10, None, "b" * 10])], names=["doc_id", "text"])
     assert [x for _, docs, _ in textvec.chunks([batch], limit=8) for x in docs] == [b"a" * 10, b"", b"b" * 10]
+
+
+def test_languages_held_out_and_awkward_rows(spark):
+    got = q.op1_language_mixture(spark, "/root/testdata/sf0.01")
+    truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    rows = got.join(truth, "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(rows) > 100 and np.mean([r.lang == r.lang_pred for r in rows]) > 0.97
+
+
+def test_languages_of_a_sample_with_repeated_ids(spark):
+    from textloom.llm.lang_id import fit_languages, infer_languages
+
+    texts = {"aa": "the cat sat on the mat and the dog", "bb": "zorqu vexil klamp druun pozzik wravel"}
+    rows = [(1, texts["aa"], "aa")] * 300 + [(i, texts["bb"], "bb") for i in range(2, 200)] + [(None, "x", "aa"), (500, None, "bb"), (501, "12 ! 3", None), (502, "", "aa")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    for sample in (1, 40):
+        model = fit_languages(table, sample=sample)
+        assert model.names == ["aa", "bb"]
+        found = {(r.doc_id, r.lang_pred) for r in infer_languages(table, model).collect()}
+        assert {(1, "aa"), (7, "bb"), (500, "und"), (501, "und"), (502, "und")} <= found
+    assert fit_languages(table.limit(0)) is None
+    assert infer_languages(table.limit(0), None).count() == 0

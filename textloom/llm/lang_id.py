@@ -80,12 +80,20 @@ class Languages:
 
 
 def fit_languages(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, where=None) -> Languages | None:
-    """Learns from the rows with a language, at most ``sample`` of each; None if there are none."""
+    """Learns from the rows with a language, at most ``sample`` ids of each; None if there are none.
+
+    Repeated rows of a chosen id all count.
+    """
     usable = columns(df, doc_id=id_col, lang=lang_col, text=text_col)
     known = usable.where("lang is not null and doc_id is not null")
     known = known if where is None else known.where(where)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "lang")
+    ids, place = known.select("doc_id", "lang"), F.xxhash64("doc_id")
+    # Ids far beyond the sample go before the shuffle, so that a frequent language does not fill one task.
+    sizes = ids.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids"), F.min(place).alias("least"))
+    near = (F.lit(0.5) + place / 2.0**64) * F.col("ids") <= 2 * sample + 50
+    ids = ids.join(F.broadcast(sizes), "lang").where(near | (place == F.col("least"))).select("doc_id", "lang").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
+    chosen = ids.withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "lang")
 
     def count(batches):
         own: dict[str, np.ndarray] = {}
