@@ -212,3 +212,17 @@ def test_languages_of_a_sample_with_repeated_ids(spark):
         assert {(1, "aa"), (7, "bb"), (500, "und"), (501, "und"), (502, "und")} <= found
     assert fit_languages(table.limit(0)) is None
     assert infer_languages(table.limit(0), None).count() == 0
+
+
+def test_shards_of_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "_RANGE_BYTES", 500)
+    rows = [(i, f"text {i % 300} " * (1 + i % 9)) for i in range(900)] + [(5000 + i, "hot") for i in range(600)] + [(9000, None), (9001, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sharding.shard_by_size(df, F.coalesce(F.octet_length("text"), F.lit(0)) + 16, 4, Scratch(spark, "t")).collect()
+    total, slots = {}, {}
+    for r in got:
+        total[r["shard"]] = total.get(r["shard"], 0) + len((r["text"] or "").encode()) + 16
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    mean = sum(total.values()) / 4
+    assert len(got) == len(rows) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert len(total) == 4 and max(total.values()) < 1.05 * mean and min(total.values()) > 0.95 * mean

@@ -7,8 +7,9 @@ candidate keys; the candidates on either side of each target bracket it, and the
 divided anew, until a candidate lies within the tolerance. Only sums over candidates come to the
 driver. Then every row goes to its place in one exchange.
 
-To keep a task's share bounded each shard is made of ``parts`` ranges, whose boundaries are
-probed alike; the rows below each range, counted exactly by then, number its rows.
+To keep a task's share small each shard is made of ranges, whose boundaries are probed alike; the
+rows below each range, counted exactly by then, number its rows. The number of ranges is bounded,
+as the driver holds their candidates; beyond it ranges grow with the input and are sorted on disk.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from .store import Scratch
 _LOW_BITS = 24
 #: Candidates between two neighbours of a bracket, as bits of the key.
 _STEP = 8
-#: Rows that one range of a shard has at most, about.
-_RANGE = 20_000
+#: Rows and bytes that one range of a shard has at most, about, and most ranges of all shards together.
+_RANGE, _RANGE_BYTES, _RANGES = 20_000, 8 << 20, 4096
 
 
 def order_key(text: Column, row_id: Column) -> Column:
@@ -114,7 +115,9 @@ def shard_by_size(df: DataFrame, size: Column, shards: int, scratch: Scratch, *,
         raise ValueError(f"columns named {own} are the operator's")
     keyed = df.withColumn("__key", order_key(F.col(f"`{text_col}`"), F.col(f"`{id_col}`"))).withColumn("__size", size.cast("long"))
     digest = scratch.keep(keyed.select(F.col("__key").alias("key"), F.col("__size").alias("size")), "keys")
-    ranges = max(1, -(-digest.count() // (shards * _RANGE)))
+    whole = digest.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    ranges = max(-(-whole["n"] // (shards * _RANGE)), -(-whole["size"] // (shards * _RANGE_BYTES)))
+    ranges = max(1, min(ranges, _RANGES // shards))
     at = probe(digest, shards * ranges, tolerance if ranges == 1 else tolerance / 2)
     scratch.drop("keys")
     shared = scratch.spark.sparkContext.broadcast((np.array([k if k < 1 << 63 else (1 << 63) - 1 for k in at.keys], np.int64), np.array([0, *at.rows], np.int64)))
