@@ -29,6 +29,8 @@ from .store import Scratch
 from .textvec import U
 from .wordbpe import WordBpe
 
+#: Bytes of text tokenized at once; larger than elsewhere, as little else is held beside them.
+_CHUNK = 1 << 21
 #: Ids in a block, most lanes of a block, ids of a lane aimed at.
 BLOCK, LANES, LANE = 1 << 20, 4096, 256
 _MAGIC, _HEAD = b"TLB1", struct.Struct("<4sIIIIIII")
@@ -306,7 +308,7 @@ def write_ids(df: DataFrame, tokenizer: str, end_id: int, scratch: Scratch, tabl
             return out
 
         document = 0
-        for part, docs, _ in textvec.chunks(batches):
+        for part, docs, _ in textvec.chunks(batches, limit=_CHUNK):
             flat, at = bpe.ids(docs)
             for i, key in enumerate(part.column(0).to_pylist()):
                 ids = np.append(flat[at[i] : at[i + 1]], np.uint32(end_id))
