@@ -351,12 +351,15 @@ def read_ids(blocks: DataFrame) -> DataFrame:
 
         out = []
         for each in pieces:
+            if each is None:
+                out.append(None)
+                continue
             each = sorted(each, key=lambda x: x["begun"])
             crc = each[0]["crc"]
             for x in each[1:]:
                 crc = crc32_join(crc, x["crc"], 4 * x["n"])
             out.append(crc)
-        return pd.Series(out, dtype="int64")
+        return pd.Series(out, dtype="Int64")
 
     pieces = blocks.select("file", "start", "data").mapInArrow(decode, _PIECES)
     documents = _by_document(pieces, join)
@@ -373,4 +376,6 @@ def _by_document(pieces: DataFrame, join) -> DataFrame:
         F.sum("n_tokens").alias("n_tokens"),
         F.collect_list(F.struct("begun", F.col("n_tokens").alias("n"), F.col("ids_crc32").alias("crc"))).alias("pieces"),
     )
-    return each.withColumn("ids_crc32", join("pieces")).drop("pieces")
+    # Most documents lie in one block and need no joining.
+    joined = join(F.when(F.size("pieces") > 1, F.col("pieces")))
+    return each.withColumn("ids_crc32", F.coalesce(joined, F.col("pieces")[0]["crc"])).drop("pieces")
