@@ -226,3 +226,30 @@ def test_shards_of_many_ranges(spark, monkeypatch):
     mean = sum(total.values()) / 4
     assert len(got) == len(rows) and all(sorted(v) == list(range(len(v))) for v in slots.values())
     assert len(total) == 4 and max(total.values()) < 1.05 * mean and min(total.values()) > 0.95 * mean
+
+
+def test_places_find_what_was_added():
+    from textloom.llm.wordbpe import _Places
+
+    draw, places, all_keys = np.random.default_rng(5), _Places(), np.zeros(0, np.uint64)
+    # Runs of keys that begin at one slot, the key 0, and enough of them to double the table several times.
+    step = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+    for n in (0, 1, 3000, 9000, 40000):
+        near = (np.arange(min(n, 300), dtype=np.uint64) + np.uint64(n)) * step
+        keys = np.setdiff1d(np.concatenate([near, draw.integers(0, 2**63, n, dtype=np.uint64), np.zeros(int(n == 1), np.uint64)]), all_keys)
+        assert (places.find(keys) == -1).all()
+        places.add(keys)
+        all_keys = np.concatenate([all_keys, keys])
+        assert (places.find(all_keys) == np.arange(len(all_keys))).all()
+    assert places.size == len(all_keys)
+
+
+def test_words_are_learnt_anew_when_the_memory_is_full(monkeypatch):
+    from textloom.llm import wordbpe
+
+    bpe = wordbpe.WordBpe(q.tokenizer_path())
+    monkeypatch.setattr(wordbpe, "MEMORY", 40)
+    for k in range(8):
+        texts = [f"{'abcdefgh'[k]}{a}one twos{b} it's 42" for a in "xyz" for b in "pqr"] + ["it's again", ""]
+        flat, at = bpe.ids([t.encode() for t in texts])
+        assert [flat[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [bpe.library.encode(t, add_special_tokens=False).ids for t in texts]

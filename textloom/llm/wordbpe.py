@@ -39,6 +39,59 @@ def byte_chars() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+def _extended(array: np.ndarray, used: int, values: np.ndarray) -> np.ndarray:
+    """The array, doubled as often as needed, with the values behind its first ``used`` entries."""
+    while used + len(values) > len(array):
+        array = np.concatenate([array, np.zeros_like(array)])
+    array[used : used + len(values)] = values
+    return array
+
+
+class _Places:
+    """Places of distinct 64-bit keys in the order they came, looked up by whole arrays: open addressing, at most half full."""
+
+    def __init__(self):
+        self.keys, self.size, self.bits = np.zeros(1 << 12, U), 0, 13
+        self.table = np.full(1 << self.bits, -1, np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        slot = self._slots(keys)
+        found = self.table[slot]
+        # -1 reads the last key, which says nothing.
+        left = np.flatnonzero((self.keys[found] != keys) & (found >= 0))
+        slot, wanted = slot[left], keys[left]
+        while len(left):
+            slot = (slot + 1) & (len(self.table) - 1)
+            got = self.table[slot]
+            found[left] = got
+            on = (self.keys[got] != wanted) & (got >= 0)
+            left, slot, wanted = left[on], slot[on], wanted[on]
+        return found
+
+    def add(self, keys: np.ndarray) -> None:
+        """Keys that are distinct and not yet here."""
+        self.keys, first = _extended(self.keys, self.size, keys), self.size
+        self.size += len(keys)
+        if 2 * self.size > len(self.table):
+            while 2 * self.size > len(self.table):
+                self.bits += 1
+                self.table = np.zeros(2 * len(self.table), np.int32)
+            self.table[:] = -1
+            first = 0
+        place = np.arange(first, self.size, dtype=np.int32)
+        slot = self._slots(self.keys[first : self.size])
+        while len(place):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = place[free]
+            # Of several that took one slot, one did.
+            on = self.table[slot] != place
+            place, slot = place[on], (slot[on] + 1) & (len(self.table) - 1)
+
+
 class WordBpe:
     """``ids(docs)`` and ``counts(docs)`` for lists of UTF-8 texts; equal to the library's without added tokens."""
 
@@ -78,9 +131,9 @@ class WordBpe:
         self.inner = np.array([vocab[c] for c in chars], np.int32)
         self.final = np.array([vocab[c + "</w>"] for c in chars], np.int32)
         pairs = [x if isinstance(x, list) else x.split(" ") for x in model["merges"]]
-        key = np.array([(vocab[a] << 16) + vocab[b] for a, b in pairs], np.int64)
-        order = np.argsort(key)
-        self.pair, self.rank = key[order], order.astype(np.int32)
+        # Merges are in the order of their rank.
+        self.pairs = _Places()
+        self.pairs.add(np.array([(vocab[a] << 16) + vocab[b] for a, b in pairs], U))
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
         kind = np.full(256, _O, np.uint8)
         kind[97:123] = kind[0x80:] = _L
@@ -90,13 +143,15 @@ class WordBpe:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.offset, self.length = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.words, self.offset, self.length = _Places(), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.uint16), 0
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = (a.astype(np.int64) << 16) + b
-        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        return np.where((self.pair[at] == key) & (a >= 0) & (b >= 0), self.rank[at], _NONE)
+        ranks = np.full(a.shape, _NONE)
+        both = (a >= 0) & (b >= 0)
+        found = self.pairs.find((a[both].astype(U) << U(16)) + b[both].astype(U))
+        ranks[both] = np.where(found >= 0, found, _NONE)
+        return ranks
 
     def merge(self, symbols: np.ndarray) -> np.ndarray:
         """Rows of symbols (-1 after the end): the lowest-ranked pair of each row merges, leftmost first, until none is left."""
@@ -151,16 +206,12 @@ class WordBpe:
             ids = self.library.encode(buf[starts[i] : ends[i]].tobytes().decode(), add_special_tokens=False).ids
             offset[i], length[i] = self.used, len(ids)
             self._append(np.array(ids))
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.offset = np.concatenate([self.offset, offset])[order]
-        self.length = np.concatenate([self.length, length])[order]
+        self.offset = _extended(self.offset, self.words.size, offset)
+        self.length = _extended(self.length, self.words.size, length)
+        self.words.add(keys)
 
     def _append(self, ids: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
+        self.flat = _extended(self.flat, self.used, ids)
         self.used += len(ids)
 
     def pretokens(self, buf: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,21 +250,20 @@ class WordBpe:
         other = np.unique(np.searchsorted(at, np.flatnonzero(odd), "right") - 1)
         starts, ends = self.pretokens(buf, low)
         ptr = np.searchsorted(starts, at)
-        code, keys = pd.factorize(textvec.span_hashes(low, starts, ends))
-        where = np.searchsorted(self.keys, keys)
-        new = np.ones(len(keys), bool)
-        inside = where < len(self.keys)
-        new[inside] = self.keys[where[inside]] != keys[inside]
-        if new.any():
-            if len(self.keys) + new.sum() > MEMORY and len(self.keys):
+        hashes = textvec.span_hashes(low, starts, ends)
+        code = self.words.find(hashes)
+        missing = np.flatnonzero(code < 0)
+        if len(missing):
+            place, keys = pd.factorize(hashes[missing])
+            if self.words.size + len(keys) > MEMORY and self.words.size:
                 self._forget()
-                new[:] = True
+                missing = np.arange(len(code))
+                place, keys = pd.factorize(hashes)
             first = np.empty(len(keys), np.int64)
-            first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-            pick = first[new]
-            self._learn(keys[new], low, starts[pick], ends[pick])
-            where = np.searchsorted(self.keys, keys)
-        return where[code], ptr, other
+            first[place[::-1]] = missing[::-1]
+            code[missing] = self.words.size + place
+            self._learn(keys, low, starts[first], ends[first])
+        return code, ptr, other
 
     def whole(self, doc: bytes) -> list[int]:
         return self.library.encode(doc.decode(), add_special_tokens=False).ids
