@@ -52,6 +52,7 @@ class _Model:
         self.before1 = self.before2 = np.zeros(lanes, np.int64)
         self.new: list[np.ndarray] = []
         self.step = 0
+        self.holder: np.ndarray | None = None
         self._weigh()
 
     def _weigh(self) -> None:
@@ -86,7 +87,12 @@ class _Model:
         x = np.where(is_a, self.a, self.b)
         rest = np.flatnonzero(~(is_a | is_b))
         point = at[rest] - self.w2[rest] * past_a[rest] - self.w1[rest] * past_b[rest]
-        x[rest] = np.searchsorted(self.below, point // self.w0[rest], "right") - 1
+        if self.holder is None:
+            # The id whose share holds each point; every share is at least 1.
+            first = np.zeros(self.total, np.uint16)
+            first[self.below[1:-1]] = 1
+            self.holder = np.cumsum(first, dtype=np.uint16)
+        x[rest] = self.holder[point // self.w0[rest]]
         return x
 
     def update(self, x: np.ndarray) -> None:
@@ -107,7 +113,7 @@ class _Model:
         self.step += 1
         if self.step in (1, 2, 4, 8) or self.step % _UPDATE == 0:
             self.share += (_GAIN * np.bincount(np.concatenate(self.new), minlength=_IDS)).astype(np.int32)
-            self.new = []
+            self.new, self.holder = [], None
             while int(self.share.sum()) > _MOST:
                 self.share = (self.share + 1) >> 1
             np.cumsum(self.share, out=self.below[1:])
