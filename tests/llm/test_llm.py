@@ -253,3 +253,18 @@ def test_words_are_learnt_anew_when_the_memory_is_full(monkeypatch):
         texts = [f"{'abcdefgh'[k]}{a}one twos{b} it's 42" for a in "xyz" for b in "pqr"] + ["it's again", ""]
         flat, at = bpe.ids([t.encode() for t in texts])
         assert [flat[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [bpe.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_word_hashes_tell_spans_apart():
+    words = sorted({b"a" * k + bytes([c]) * m for k in range(30) for m in range(3) for c in b"ab\0"} - {b""})
+    buf, at = textvec.joined(words + words)
+    starts = at[:-1]
+    h = textvec.word_hashes(buf, starts, at[1:] - 1)
+    assert (h[: len(words)] == h[len(words) :]).all() and len(set(h.tolist())) == len(words)
+
+
+def test_translated_is_the_table_by_byte():
+    buf = np.arange(256, dtype=np.uint8).repeat(2)
+    for table in (textvec.LOWER, textvec.SPACE):
+        got = textvec.translated(buf, table)
+        assert (got == table[buf]).all() and got.dtype == table.dtype and got.flags.writeable

@@ -46,7 +46,7 @@ def shingle_sets(docs: list[bytes], words: int = 5) -> tuple[np.ndarray, np.ndar
     one without words has none.
     """
     buf, at = textvec.joined(docs)
-    buf = textvec.LOWER[buf]
+    buf = textvec.translated(buf, textvec.LOWER)
     starts, ends = textvec.word_spans(buf)
     word = textvec.span_hashes(buf, starts, ends)
     ptr = np.searchsorted(starts, at)

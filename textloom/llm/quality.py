@@ -34,7 +34,7 @@ def base_counts(docs: list[bytes]) -> dict[str, np.ndarray]:
         return np.diff(total[edges])
 
     out = {"n_words": np.diff(ptr)}
-    out["word_chars"] = per_text(~textvec.SPACE[buf] & (buf & 0xC0 != 0x80), at)
+    out["word_chars"] = per_text(~textvec.translated(buf, textvec.SPACE) & (buf & 0xC0 != 0x80), at)
     out["n_symbols"] = per_text(_SYMBOL[buf], at)
     # Lines: spans between line feeds; the one after each text closes its last line.
     feed = np.flatnonzero(buf == 10)

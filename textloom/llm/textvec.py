@@ -22,9 +22,16 @@ _draw = np.random.Generator(np.random.PCG64(1009))
 _BYTE = _draw.integers(1, 2**63, 256, dtype=U) * U(2) + U(1)
 _BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 2**64)
+#: The first k bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 _powers: dict[str, np.ndarray] = {"n": np.zeros(0, U)}
 
 
+def translated(buf: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """``table[buf]`` for one-byte entries, without an index of eight bytes for each byte."""
+    return np.frombuffer(bytearray(buf.tobytes().translate(table.tobytes())), table.dtype)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words whose every output bit depends on all input bits."""
     h = h ^ (h >> U(33))
@@ -51,6 +58,21 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((total[ends] - total[starts]) * down[starts])
 
 
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte span, eight bytes at a time: quicker than ``span_hashes`` for short spans."""
+    size = ends - starts
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+    h = mix((eight[starts] & _FIRST[np.minimum(size, 8)]) + size.astype(U) * U(_BASE))
+    rest, at = np.flatnonzero(size > 8), 8
+    while len(rest):
+        more = eight[starts[rest] + at] & _FIRST[np.minimum(size[rest] - at, 8)]
+        h[rest] = mix(h[rest] * U(0xD6E8FEB86659FD93) + more)
+        at += 8
+        rest = rest[size[rest] > at]
+    return h
+
+
 def chunks(batches, column: str = "text", limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, list[bytes], np.ndarray]]:
     """Slices of the batches of about ``limit`` text bytes, their texts as UTF-8, and which were null."""
     for batch in batches:
@@ -100,7 +122,7 @@ def joined(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of bytes that are not word separators; the buffer ends with one."""
-    space = SPACE[buf]
+    space = translated(buf, SPACE)
     edge = np.empty(len(buf), bool)
     edge[0] = not space[0]
     np.not_equal(space[1:], space[:-1], out=edge[1:])

@@ -30,7 +30,7 @@ from .textvec import U
 from .wordbpe import WordBpe
 
 #: Bytes of text tokenized at once; larger than elsewhere, as little else is held beside them.
-_CHUNK = 1 << 21
+_CHUNK = 1 << 20
 #: Ids in a block, most lanes of a block, ids of a lane aimed at.
 BLOCK, LANES, LANE = 1 << 20, 4096, 256
 _MAGIC, _HEAD = b"TLB1", struct.Struct("<4sIIIIIII")

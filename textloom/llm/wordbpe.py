@@ -216,7 +216,7 @@ class WordBpe:
 
     def pretokens(self, buf: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Spans of the pre-tokens in a buffer of lower-cased ASCII and Latin-1 letters in UTF-8."""
-        kind = self.kind[low]
+        kind = textvec.translated(low, self.kind)
         sign = np.flatnonzero((buf[:-1] == 0xC3) & ((buf[1:] == 0x97) | (buf[1:] == 0xB7)))
         kind[sign] = kind[sign + 1] = _O
         start = np.ones(len(kind) + 3, bool)
@@ -240,17 +240,17 @@ class WordBpe:
     def _codes(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each pre-token its entry in the memory; the first pre-token of each text; texts left to the library."""
         buf, at = textvec.joined(docs)
-        low = textvec.LOWER[buf]
+        low = textvec.translated(buf, textvec.LOWER)
         after = np.zeros(len(buf), bool)
         after[1:] = buf[:-1] == 0xC3
-        odd = (buf < 32) & ~textvec.SPACE[buf] | (buf == 127) | (buf >= 0x80) & (buf != 0xC3) & ~after
+        odd = (buf < 32) & ~textvec.translated(buf, textvec.SPACE) | (buf == 127) | (buf >= 0x80) & (buf != 0xC3) & ~after
         odd[:-1] |= (buf[:-1] == 60) & (buf[1:] == 124)  # <|
         upper = after & (buf >= 0x80) & (buf <= 0x9E) & (buf != 0x97)
         low[upper] += 32
         other = np.unique(np.searchsorted(at, np.flatnonzero(odd), "right") - 1)
         starts, ends = self.pretokens(buf, low)
         ptr = np.searchsorted(starts, at)
-        hashes = textvec.span_hashes(low, starts, ends)
+        hashes = textvec.word_hashes(low, starts, ends)
         code = self.words.find(hashes)
         missing = np.flatnonzero(code < 0)
         if len(missing):
