@@ -63,14 +63,9 @@ class Model:
         return softmax(self.slope * scores(docs, self.weights, self.bias, self.norm) + np.array([0.0] * (len(self.bias) - 1) + [self.shift]))
 
 
-def fit(docs: list[bytes], y: np.ndarray, classes: int, *, steps: int = 80, penalty: float = 0.1, share: float = 0.005, screen: float = 15.0, evenness: float = 0.5, norm: float = 1.0) -> Model:
-    """Softmax regression by Adam on the relative frequencies of each family, for features that ``share`` of the texts have.
-
-    screen: least chi-square statistic of a feature's presence by class.
-    evenness: from 0, features count as they are, to 1, all are scaled to the same mean square.
-    norm: at 1 a feature counts by its frequency, at 0.5 rare words of a long text weigh more.
-    """
-    row, column, value = [], [], []
+def counted(docs: list[bytes], norm: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, feature and value of every feature of every text."""
+    row, column, value = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
     for part in textvec.parts(docs):
         for f, (index, first, last) in enumerate(families(docs[part])):
             for i in range(len(first)):
@@ -79,11 +74,22 @@ def fit(docs: list[bytes], y: np.ndarray, classes: int, *, steps: int = 80, pena
                     row.append(np.full(len(own), part.start + i, np.int32))
                     column.append(own + np.int32(f << BITS))
                     value.append((n / n.sum() ** norm).astype(np.float32))
+    return np.concatenate(row), np.concatenate(column), np.concatenate(value)
+
+
+def fit(docs: list[bytes], y: np.ndarray, classes: int, *, steps: int = 80, penalty: float = 0.1, share: float = 0.005, screen: float = 15.0, evenness: float = 0.5, norm: float = 1.0, features: tuple | None = None) -> Model:
+    """Softmax regression by Adam on the relative frequencies of each family, for features that ``share`` of the texts have.
+
+    screen: least chi-square statistic of a feature's presence by class.
+    evenness: from 0, features count as they are, to 1, all are scaled to the same mean square.
+    norm: at 1 a feature counts by its frequency, at 0.5 rare words of a long text weigh more.
+    features: ``counted(docs, norm)``, where it is at hand.
+    """
+    row, column, value = counted(docs, norm) if features is None else features
     weights = np.zeros((3, 1 << BITS, classes), np.float32)
     base = np.log(np.bincount(y, minlength=classes) + 1.0)
-    if not row:
+    if not len(row):
         return Model(weights, base - base.mean(), norm=norm)
-    row, column, value = np.concatenate(row), np.concatenate(column), np.concatenate(value)
     used, column = np.unique(column, return_inverse=True)
     # Features of few texts, and those about as frequent in every class, say more about those texts than about the class.
     seen, size = np.bincount(column, minlength=len(used)), np.bincount(y, minlength=classes)
@@ -137,13 +143,14 @@ def calibrate(model: Model, docs: list[bytes], y: np.ndarray, steps: int = 60) -
     return Model(model.weights, model.bias, max(a, 0.05), c, model.norm)
 
 
-def temper(model: Model, docs: list[bytes], y: np.ndarray) -> Model:
-    """The slope, of a fixed grid, under which rows the model has not seen are likeliest."""
+def tempered(model: Model, docs: list[bytes], y: np.ndarray) -> tuple[float, Model]:
+    """The model with the slope, of a fixed grid, under which rows it has not seen are likeliest; before it their mean loss."""
     if not len(y):
-        return model
+        return 0.0, model
     z = scores(docs, model.weights, model.bias, model.norm)
 
     def loss(slope: float) -> float:
         return -float(np.log(0.999 * softmax(slope * z)[np.arange(len(y)), y] + 0.001 / z.shape[1]).sum()) + 1e-3 * slope
 
-    return Model(model.weights, model.bias, min((2.0**k for k in np.arange(-8, 3.5, 0.5)), key=loss), 0.0, model.norm)
+    best = min((2.0**k for k in np.arange(-8, 3.5, 0.5)), key=loss)
+    return loss(best) / len(y), Model(model.weights, model.bias, best, 0.0, model.norm)
