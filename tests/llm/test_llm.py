@@ -185,6 +185,20 @@ def test_licenses():
     assert m.match(b"the license plate of a car") is None and license_scan.blocks(b"") == []
 
 
+def test_wrapped_licenses():
+    import textwrap
+
+    m = license_scan.Matcher(license_scan.TEMPLATES)
+    for name in ("Apache-2.0-header", "MIT-text", "GPL-3.0-header", "BSD-3-Clause"):
+        for width, mark in ((72, ""), (60, "# "), (40, " * ")):
+            lines = textwrap.wrap(license_scan.TEMPLATES[name], width, break_long_words=False, break_on_hyphens=False)
+            lines.insert(len(lines) // 2, "")
+            doc = ("Füller words before it.\n\n" + "\n".join(mark + x for x in lines) + "\n\nWords after it.\n").encode()
+            ((a, b, got),) = m.notices(doc)
+            assert got[0] == name and not got[5] and set(got[6]) <= {mark.strip()}
+            assert doc[a:b].decode().split()[-1] == lines[-1].split()[-1] and lines[0] in doc[a:b].decode()
+
+
 def test_chunks_cover_everything():
     import pyarrow as pa
 

@@ -1,9 +1,10 @@
 """License notices by conditional compression.
 
-Candidate blocks are runs of sentences that hold a license marker. Each is compressed by zstandard
-alone and with every template as raw dictionary; the template that saves the largest share of the
-block wins. A winner counts only if its wording is confirmed: the words of the template that the
-block lacks, and those the block has besides, are aligned and listed.
+Runs of sentences that hold a license marker, with the text around them by the length of the longest
+template, are searched for every template's words in order, across sentences and line ends. Each place
+found is compressed by zstandard alone and with every template as raw dictionary; the template that
+saves the largest share of it wins. A winner counts only if its wording is confirmed: the words of the
+template that the place lacks, and those it has besides, are aligned and listed.
 """
 
 from __future__ import annotations
@@ -50,6 +51,7 @@ TEMPLATES = {
 }
 MARKER = re.compile(rb"licen[cs]e|copyright|rights reserved|permission is hereby|redistribution and use|\bcc by\b|public domain|spdx", re.I)
 _SENTENCE = re.compile(rb"(?<=[.!?:;])[\x20\x09]+|\n")
+_EDGE = b" \t\n\v\f\r"
 _WORD = re.compile(r"[^\s.,;:!?()\"']+(?:[.\-][^\s.,;:!?()\"']+)*")
 #: Least share of a block that the winner must save, most missing words per word of the template.
 SAVED, MISSING = 0.25, 0.2
@@ -57,16 +59,22 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 _KINDS = "doc_id long, start long, length long, license string, saved double, plain_bytes long, conditional_bytes long, exact boolean, missing array<string>, extra array<string>"
 
 
-def blocks(doc: bytes) -> list[tuple[int, int]]:
-    """Byte spans of candidate blocks: sentences or lines with a marker, and neighbours with one joined."""
-    marks = [m.start() for m in MARKER.finditer(doc)]
-    if not marks:
-        return []
+def sentences(doc: bytes) -> tuple[list[int], list[int]]:
+    """Where the sentences or lines begin and end."""
     edges, end = [0], []
     for m in _SENTENCE.finditer(doc):
         end.append(m.start())
         edges.append(m.end())
     end.append(len(doc))
+    return edges, end
+
+
+def blocks(doc: bytes) -> list[tuple[int, int]]:
+    """Byte spans of candidate blocks: sentences or lines with a marker, and neighbours with one joined."""
+    marks = [m.start() for m in MARKER.finditer(doc)]
+    if not marks:
+        return []
+    edges, end = sentences(doc)
     hit = sorted({int(x) for x in np.searchsorted(edges, marks, "right") - 1})
     out: list[tuple[int, int]] = []
     last = -2
@@ -79,14 +87,52 @@ def blocks(doc: bytes) -> list[tuple[int, int]]:
     return out
 
 
+def regions(doc: bytes, reach: int) -> list[tuple[int, int]]:
+    """Byte spans of the candidate blocks with ``reach`` bytes on both sides, out to white space; those that touch are one."""
+    out: list[tuple[int, int]] = []
+    for a, b in blocks(doc):
+        a, b = max(a - reach, 0), min(b + reach, len(doc))
+        while a and doc[a - 1] not in _EDGE:
+            a -= 1
+        while b < len(doc) and doc[b] not in _EDGE:
+            b += 1
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def nearest(template: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each end in ``words`` the run up to it that is nearest to all of ``template``: cost, words it lacks, start.
+
+    A word of the template that the run lacks costs 2, one that it has besides 1.
+    """
+    place = np.arange(len(words) + 1, dtype=np.int64)
+    extra, lack = 1 << 38, (2 << 38) + (1 << 24)
+    # The cost, below it the words lacking, below them len(words) minus the start: of equal costs the shortest run.
+    best = place[::-1].copy()
+    for w in template:
+        step = best + lack
+        step[1:] = np.where(words == w, np.minimum(step[1:], best[:-1]), step[1:])
+        best = np.minimum.accumulate(step - place * extra) + place * extra
+    return best >> 38, (best >> 24) & 0x3FFF, len(words) - (best & 0xFFFFFF)
+
+
 class Matcher:
-    """Ranks the templates for a block and aligns the winner's words."""
+    """Finds the places of the templates in a text, ranks the templates for each and aligns the winner's words."""
 
     def __init__(self, templates: dict[str, str], level: int = 9):
         import zstandard as z
 
         self.names = sorted(templates)
         self.words = {k: [w.lower() for w in _WORD.findall(templates[k])] for k in self.names}
+        known = sorted({w for own in self.words.values() for w in own})
+        self.code = {w: i for i, w in enumerate(known)}
+        self.codes = {k: np.array([self.code[w] for w in own], np.int64) for k, own in self.words.items()}
+        self.bags = np.array([np.bincount(self.codes[k], minlength=len(known)) for k in self.names])
+        #: A notice's words may lie that far from its marker; wrapped and commented lines take more bytes than the template.
+        self.reach = 2 * max((len(_flat(t)) for t in templates.values()), default=0)
         own = {"level": level, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.plain = z.ZstdCompressor(**own)
         self.given = {k: z.ZstdCompressor(dict_data=z.ZstdCompressionDict(_flat(templates[k]), dict_type=z.DICT_TYPE_RAWCONTENT), **own) for k in self.names}
@@ -97,18 +143,59 @@ class Matcher:
         plain = len(self.plain.compress(text))
         ranked = sorted((len(c.compress(text)), k) for k, c in self.given.items())
         words = [w.lower() for w in _WORD.findall(text.decode())]
-        best = None
+        best, least = None, 0
         for size, name in ranked:
-            # Sizes are whole bytes: among those within two bytes of the least, the wording decides.
-            if size > ranked[0][0] + 2 or (plain - size) < SAVED * plain:
+            # Sizes are whole bytes: among those within two bytes of the least confirmed, the wording decides.
+            if best and size > least + 2 or (plain - size) < SAVED * plain:
                 break
             missing, extra = differences(self.words[name], words)
             if len(missing) <= MISSING * len(self.words[name]):
-                key = (len(missing) + len(extra), size, name)
+                key, least = (len(missing) + len(extra), size, name), least if best else size
                 if best is None or key < best[0]:
                     best = key, (name, (plain - size) / plain, plain, size, not missing and not extra, missing, extra)
         return best and best[1]
 
+    def places(self, words: np.ndarray) -> list[tuple[int, int]]:
+        """The run of words nearest to a whole template, if one lacks few enough of its words."""
+        bag = np.bincount(words[words >= 0], minlength=len(self.code))
+        found = []
+        for name, most in zip(self.names, np.minimum(self.bags, bag).sum(1), strict=True):
+            own = self.codes[name]
+            if len(own) and len(own) - most <= MISSING * len(own):
+                cost, lacking, start = nearest(own, words)
+                good = np.flatnonzero(lacking <= MISSING * len(own))
+                if len(good):
+                    end = int(good[np.argmin(cost[good])])
+                    found.append((int(cost[end]) - len(own), int(start[end]), end))
+        return [min(found)[1:]] if found else []
+
+    def notices(self, doc: bytes) -> list[tuple]:
+        """(start, end, what ``match`` says) of each confirmed notice; it takes in the rest of its first and last sentence."""
+        out: list[tuple] = []
+        around = regions(doc, self.reach)
+        edges, ends = sentences(doc) if around else ([], [])
+        for lo, hi in around:
+            text = doc[lo:hi].decode(errors="surrogateescape")
+            spans = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+            codes = np.array([self.code.get(text[a:b].lower(), -1) for a, b in spans], np.int64)
+            at = [(_bytes(text, lo, spans[i][0]), _bytes(text, lo, spans[j - 1][1])) for i, j in self.places(codes)]
+            for n, (a, b) in enumerate(at):
+                first = max(edges[int(np.searchsorted(edges, a, "right")) - 1], out[-1][1] if out else 0)
+                last = ends[int(np.searchsorted(ends, b))]
+                if n + 1 < len(at):
+                    last = min(last, at[n + 1][0])
+                for x, y in ((first, last), (a, b)):
+                    x, y = y - len(doc[x:y].lstrip(_EDGE)), x + len(doc[x:y].rstrip(_EDGE))
+                    if got := self.match(doc[x:y]):
+                        out.append((x, y, got))
+                        break
+        return out
+
+
+def _bytes(text: str, start: int, n: int) -> int:
+    """Where the text's first n characters end, in bytes, if it begins at ``start``."""
+    return start + (n if text.isascii() else len(text[:n].encode(errors="surrogateescape")))
+
 
 def _flat(text: str) -> bytes:
     return " ".join(text.lower().split()).encode()
@@ -136,7 +223,7 @@ def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, *, id_
         matcher = Matcher(templates)
         for part, docs, _ in textvec.chunks(batches):
             ids = part.column(0).to_pylist()
-            found = [(ids[i], a, b - a, *got) for i, doc in enumerate(docs) for a, b in blocks(doc) if (got := matcher.match(doc[a:b]))]
+            found = [(ids[i], a, b - a, *got) for i, doc in enumerate(docs) for a, b, got in matcher.notices(doc)]
             if found:
                 yield rows(_ARROW, **dict(zip(_ARROW.names, map(list, zip(*found, strict=True)), strict=True)))
 
