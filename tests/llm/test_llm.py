@@ -199,6 +199,18 @@ def test_wrapped_licenses():
             assert doc[a:b].decode().split()[-1] == lines[-1].split()[-1] and lines[0] in doc[a:b].decode()
 
 
+def test_every_license_of_a_block():
+    m = license_scan.Matcher(license_scan.TEMPLATES)
+    T = license_scan.TEMPLATES
+    for names in (["all-rights-reserved", "Apache-2.0"], ["MIT", "MIT"], ["CC-BY-4.0", "CC-BY-SA-4.0", "GPL-2.0", "GPL-3.0"], ["MIT-text", "Apache-2.0-header", "MIT"], ["MIT"] * 50):
+        for between in ("\n", " or ", "\n\nSome words.\n"):
+            doc = ("Title. " + between.join(T[n] for n in names)).encode()
+            got = m.notices(doc)
+            assert [x[0] for *_, x in got] == names and all(not x[5] for *_, x in got)
+            assert all(T[n].encode() in doc[a:b] for n, (a, b, _) in zip(names, got, strict=True))
+            assert all(b <= a for (_, b, _), (a, _, _) in zip(got, got[1:], strict=False))
+
+
 def test_chunks_cover_everything():
     import pyarrow as pa
 

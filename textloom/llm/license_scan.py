@@ -156,18 +156,32 @@ class Matcher:
         return best and best[1]
 
     def places(self, words: np.ndarray) -> list[tuple[int, int]]:
-        """The run of words nearest to a whole template, if one lacks few enough of its words."""
-        bag = np.bincount(words[words >= 0], minlength=len(self.code))
-        found = []
-        for name, most in zip(self.names, np.minimum(self.bags, bag).sum(1), strict=True):
-            own = self.codes[name]
-            if len(own) and len(own) - most <= MISSING * len(own):
-                cost, lacking, start = nearest(own, words)
-                good = np.flatnonzero(lacking <= MISSING * len(own))
-                if len(good):
-                    end = int(good[np.argmin(cost[good])])
-                    found.append((int(cost[end]) - len(own), int(start[end]), end))
-        return [min(found)[1:]] if found else []
+        """Runs of words nearest to a whole template that lack few enough of its words; none overlap, those that hold most go first."""
+        out: list[tuple[int, int]] = []
+        pieces = [(0, len(words))]
+        while pieces:
+            lo, hi = pieces.pop()
+            own = words[lo:hi]
+            bag = np.bincount(own[own >= 0], minlength=len(self.code))
+            found = []
+            for name, most in zip(self.names, np.minimum(self.bags, bag).sum(1), strict=True):
+                template = self.codes[name]
+                if len(template) and len(template) - most <= MISSING * len(template):
+                    cost, lacking, start = nearest(template, own)
+                    for end in np.flatnonzero((lacking <= MISSING * len(template)) & (cost < 2 * len(template))).tolist():
+                        found.append((int(cost[end]) - len(template), int(start[end]), end))
+            taken, held = np.zeros(hi - lo, bool), []
+            for _, i, j in sorted(found):
+                if not taken[i:j].any():
+                    taken[i:j] = True
+                    held.append((i, j))
+            if held:
+                held.sort()
+                out += [(lo + i, lo + j) for i, j in held]
+                # What lies between may hold notices whose nearest run overlapped a better one.
+                between = zip([0, *(j for _, j in held)], [*(i for i, _ in held), hi - lo], strict=True)
+                pieces += [(lo + i, lo + j) for i, j in between if i < j]
+        return sorted(out)
 
     def notices(self, doc: bytes) -> list[tuple]:
         """(start, end, what ``match`` says) of each confirmed notice; it takes in the rest of its first and last sentence."""
@@ -213,7 +227,7 @@ def differences(template: list[str], words: list[str]) -> tuple[list[str], list[
 
 
 def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each confirmed notice: where it is (bytes), which license, what it saved, how its wording differs.
+    """One row for each confirmed notice, also of several in one block: where it is (bytes), which license, what it saved, how its wording differs.
 
     Null and empty texts have none; repeated rows give their rows each.
     """
