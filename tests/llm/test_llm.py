@@ -54,6 +54,20 @@ def test_counts(spark, docs, bpe):
     assert token_counts.count_tokens(docs.limit(0), q.tokenizer_path()).count() == 0
 
 
+def test_fit_is_the_longest_prefix(bpe):
+    draw = random.Random(8)
+    texts = ["a" * 700, "unbelievably" * 60, "?!*" * 200, "中文字符很长的一段话没有空格" * 15, "mixed 中文ünd İx e\u0301te\u0301 don't we'll <|endoftext|>\u3000½ñ!! " * 8, "e\u0301o\u0308" * 60, "ends in a run " + "xyz" * 180]
+    texts += ["".join(draw.choices("abcst ÀÉöß'\"!?0 中文ñ\u0301\n", k=200)) for _ in range(20)]
+    for t in texts:
+        table = token_counts.PrefixTable(bpe, t.encode())
+        counts = [len(library(bpe, t[:n])) for n in range(len(t) + 1)]
+        assert table.total() == counts[-1]
+        assert [table.at(len(t[:n].encode())) for n in range(0, len(t) + 1, 7)] == counts[::7]
+        for budget in {1, 50, 100, max(counts[-1] - 1, 1)}:
+            want = len(t) if counts[-1] <= budget else max([n for n in range(1, len(t) + 1) if counts[n] <= budget and not t[n - 1].isspace()], default=0)
+            assert table.fit(budget) == len(t[:want].encode()), (t[:30], budget)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 257, 5000])
 def test_codec(n):
     for ids in (np.random.default_rng(n).integers(0, 65536, n), np.zeros(n, int), np.arange(n) % 7):
