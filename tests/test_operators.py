@@ -106,6 +106,18 @@ def test_classifiers_learn(spark):
         features.classifier("none", 1)
 
 
+def test_classifier_queries_do_the_whole_job(spark, monkeypatch):
+    from textloom.plans import queries
+
+    asked = {}
+    monkeypatch.setattr(queries, "_labelled", lambda spark, d: spark.createDataFrame([], "part string"))
+    monkeypatch.setattr(features, "evaluate", lambda kind, train, test, **given: asked.__setitem__(kind, given))
+    for kind in ("svm", "logreg", "nb"):
+        queries.QUERIES[kind](spark, "")
+    assert all(x["search"] and x.get("size", 50_000) == 50_000 for x in asked.values())
+    assert asked["svm"]["iterations"] == 10_000 and asked["logreg"]["iterations"] == 1000
+
+
 def test_generation(spark):
     class Broken:
         def generate(self, prompts):
