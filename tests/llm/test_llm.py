@@ -68,6 +68,29 @@ def test_fit_is_the_longest_prefix(bpe):
             assert table.fit(budget) == len(t[:want].encode()), (t[:30], budget)
 
 
+def test_prefixes_of_long_runs_need_no_memory(bpe, monkeypatch):
+    import base64
+    import time
+
+    draw = random.Random(9)
+    run, began = "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=20000)), time.time()
+    table = token_counts.PrefixTable(bpe, run.encode())
+    fit = table.fit(2048)
+    assert len(library(bpe, run[:fit])) <= 2048 < min(len(library(bpe, run[: fit + k])) for k in range(1, 40)) and time.time() - began < 60
+    text = base64.b64encode(draw.randbytes(9000)).decode()
+    table = token_counts.PrefixTable(bpe, text.encode())
+    fit = table.fit(500)
+    assert len(library(bpe, text[:fit])) <= 500 < min(len(library(bpe, text[: fit + k])) for k in range(1, 40))
+    # With room for next to no pairs the answers are the same.
+    word = "unbelievably" * 3 + "straße"
+    want = [len(library(bpe, word[:n])) for n in range(1, len(word) + 1)]
+    monkeypatch.setattr(token_counts._Entries, "PAIRS", 2)
+    bpe.__dict__.pop("_entries", None)
+    ends, tokens = token_counts.PrefixTable(bpe, word.encode()).inside(1)
+    assert tokens.tolist() == want and len(ends) == len(word)
+    bpe.__dict__.pop("_entries", None)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 257, 5000])
 def test_codec(n):
     for ids in (np.random.default_rng(n).integers(0, 65536, n), np.zeros(n, int), np.arange(n) % 7):
@@ -91,6 +114,19 @@ def test_files(spark, docs, bpe, monkeypatch):
     assert [r["doc_id"] for r in got] == sorted([*range(len(TEXTS)), 9])
 
 
+def test_files_of_one_row_many_times(spark):
+    df = spark.createDataFrame([(7, "the same row")], "doc_id long, text string").withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(20000)))).drop("x").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        blocks = token_codec.write_ids(df, q.tokenizer_path(), 1, Scratch(spark, "t"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["n"] for r in blocks.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect()]
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in token_codec.read_ids(blocks).collect())
+    assert len(sizes) > 1 and max(sizes) < 0.6 * sum(sizes)
+    assert got == [(k * got[0][2], 7, got[0][2]) for k in range(20000)]
+
+
 def test_packing(spark, docs):
     got = packing.pack(docs, q.tokenizer_path(), 0, Scratch(spark, "t"), packing.Capacity(tokens=64, documents=5, attention=3000)).collect()
     bins = {}
