@@ -12,16 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Most rows of an Arrow batch.
-BATCH = 1000
+#: Most rows and bytes of an Arrow batch; a larger row is a batch of its own.
+BATCH, BATCH_BYTES = 1000, 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
     """Gives executors this package where their Python path does not have it, and bounds the batches they get.
 
     Whole texts make large rows: ten thousand of them, Spark's default, are held by the JVM and by Python
-    at once.
+    at once. Bytes are bounded too, so that a batch of long texts or of coded blocks is no larger.
     """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     package = Path(__file__).resolve().parents[1]

@@ -89,10 +89,10 @@ def chunks(batches, column: str = "text", limit: int = CHUNK) -> Iterator[tuple[
             kind = pa.large_binary() if pa.types.is_large_string(part.type) else pa.binary()
             yield batch.slice(at, to - at), [x or b"" for x in part.cast(kind).to_pylist()], null
             at = to
-    _trim()
+    trim()
 
 
-def _trim() -> None:
+def trim() -> None:
     """Gives freed memory back: a Python worker outlives its task, beside the executor's heap."""
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

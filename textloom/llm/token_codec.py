@@ -295,8 +295,8 @@ _PIECES_ARROW = pa.schema([(n, pa.int64()) for n in ("file", "document", "begun"
 def write_ids(df: DataFrame, tokenizer: str, end_id: int, scratch: Scratch, table: str = "blocks", *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every text, appends ``end_id``, and writes blocks in ascending order of the id; returns the written table.
 
-    One exchange by range of the id (equal ids by their text), then each partition is one file.
-    Null texts are empty; a null id comes first.
+    One exchange by range of the id (equal ids by their text, repeated rows by their turn, so that many of
+    them still lie in several ranges), then each partition is one file. Null texts are empty; a null id comes first.
     """
 
     def encode(batches):
@@ -334,7 +334,9 @@ def write_ids(df: DataFrame, tokenizer: str, end_id: int, scratch: Scratch, tabl
             yield row()
 
     texts = columns(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    ordered = texts.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    own = ["doc_id", "tie", "turn"]
+    ordered = texts.withColumn("tie", F.xxhash64("text")).withColumn("turn", F.monotonically_increasing_id())
+    ordered = ordered.repartitionByRange(*own).sortWithinPartitions(*own)
     return scratch.keep(ordered.select("doc_id", "text").mapInArrow(encode, _BLOCKS), table)
 
 
@@ -343,13 +345,15 @@ def read_ids(blocks: DataFrame) -> DataFrame:
 
     def decode(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                (row,) = batch.slice(i, 1).to_pylist()
                 ids, keys, sizes, first, begun = decode_block(row["data"])
                 ends = np.cumsum(sizes)
                 raw = ids.astype("<u4").tobytes()
                 crc = [zlib.crc32(raw[4 * (e - s) : 4 * e]) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
                 k = len(keys)
                 yield rows(_PIECES_ARROW, file=[row["file"]] * k, document=first + np.arange(k), begun=[begun] + [0] * (k - 1), start=row["start"] + ends - sizes, doc_id=keys, n_tokens=sizes, ids_crc32=crc)
+        textvec.trim()
 
     @F.pandas_udf("long")
     def join(pieces):
