@@ -146,6 +146,38 @@ def test_plan_is_tight():
     assert plan.bins == -(-int(sizes.sum()) // 2048)
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_plan_against_item_by_item_packing(rule):
+    draw = np.random.default_rng(3)
+    for _ in range(30):
+        sizes = sorted(draw.integers(1, 40, draw.integers(1, 60)).tolist(), reverse=True)
+        limit, weight = np.array([50, 7, 1700]), np.array([1.0, 0.37, 0.71])
+        bins = []
+        for size in sizes:
+            need = np.array([size, 1, size * size])
+            open_ = [(b, limit - np.sum([[x, 1, x * x] for x in b], axis=0)) for b in bins]
+            fits = [(float((weight * (((r - need) / limit) ** 2 if rule == "norm" else -(r / limit) * (need / limit))).sum()), b) for b, r in open_ if (r >= need).all()]
+            if fits:
+                min(fits, key=lambda x: x[0])[1].append(size)
+            else:
+                bins.append([size])
+        histogram = {x: sizes.count(x) for x in set(sizes)}
+        plan = packing.plan_bins(histogram, packing.Capacity(50, 7, 1700, tuple(weight), rule))
+        got = {}
+        for size, n in histogram.items():
+            for b in plan.place(np.full(n, size), np.arange(n))[0]:
+                got.setdefault(int(b), []).append(size)
+        assert sorted(sorted(x) for x in got.values()) == sorted(sorted(x) for x in bins)
+
+
+def test_packing_one_row_many_times(spark):
+    df = spark.createDataFrame([(7, "the same row")], "doc_id long, text string").withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(30000)))).repartition(4)
+    got = packing.pack(df, q.tokenizer_path(), 0, Scratch(spark, "t"))
+    n = got.first()["length"]
+    assert got.count() == 30000 and got.select("sequence_id", "offset").distinct().count() == 30000
+    assert got.agg(F.countDistinct("sequence_id").alias("n")).first()["n"] == -(-30000 // (2048 // n))
+
+
 def test_shards(spark):
     rows = [(i, f"text {i % 300} " * (1 + i % 9)) for i in range(2000)] + [(5000 + i, "hot") for i in range(1000)] + [(9000, None), (9001, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)

@@ -7,8 +7,9 @@ every constraint and is left with the smallest weighted norm of relative residua
 
 All three needs follow from the length, so items of one length are alike and bins with equal
 residuals are alike. The plan is therefore made from the histogram of lengths alone: at most
-``tokens`` counts, whatever the corpus. It says which ranks of each length go to which bins; rows
-get their rank by counting within salted groups and look up their place. Nothing but the
+``tokens`` counts, whatever the corpus. It says which ranks of each length go to which bins; the
+tasks that cut the texts number their pieces of each length, and a row's rank is that number after the
+counts of the tasks before, so no window over equal rows is needed. Nothing but the
 histogram (no more than ``tokens`` rows) comes to the driver, and the plan that goes out has a
 size bounded by the capacity, not by the rows.
 """
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,9 +76,8 @@ def plan_bins(histogram: dict[int, int], capacity: Capacity) -> Plan:
         if state[0] >= smallest and state[1] > 0:
             groups.setdefault(state, []).append([first, count])
 
-    def fill(state: tuple[int, int, int], first: int, count: int, size: int, rank: int, left: int) -> tuple[int, int]:
-        """As many items as fit into each of these bins in turn; returns the new rank and how many bins were used."""
-        most = min(state[0] // size, state[1], state[2] // (size * size))
+    def fill(state: tuple[int, int, int], first: int, count: int, size: int, rank: int, left: int, most: int) -> tuple[int, int]:
+        """``most`` items into each of these bins in turn; returns the new rank and how many bins were used."""
         used = min(count, -(-left // most))
         whole = min(used, left // most)
         offset = capacity.tokens - state[0]
@@ -90,23 +91,31 @@ def plan_bins(histogram: dict[int, int], capacity: Capacity) -> Plan:
             rank += left
         return rank, used
 
+    def holds(state: tuple[int, int, int], size: int) -> int:
+        return min(state[0] // size, state[1], state[2] // (size * size))
+
     for size in sizes:
         total, rank = histogram[size], 0
         need = np.array([size, 1, size * size], np.int64)
         if (need > limit).any():
             raise ValueError(f"an item of {size} tokens exceeds the capacity")
-        if groups:
+        while groups and rank < total:
             states = np.array(list(groups), np.int64)
             states = states[(states >= need).all(1)]
+            if not len(states):
+                break
             if capacity.rule == "dot":
-                order = np.argsort(-((states / limit) * (need / limit) * weight).sum(1), kind="stable")
+                # One item changes which bin has the largest product: one for each bin of the best state, then anew.
+                order = np.argsort(-((states / limit) * (need / limit) * weight).sum(1), kind="stable")[:1]
             else:
+                # A bin that took an item is left with less and stays the best while the item fits.
                 order = np.argsort((weight * ((states - need) / limit) ** 2).sum(1), kind="stable")
             for state in map(tuple, states[order].tolist()):
                 waiting = groups.pop(state)
+                most = 1 if capacity.rule == "dot" else holds(state, size)
                 while waiting and rank < total:
                     first, count = waiting.pop()
-                    rank, used = fill(state, first, count, size, rank, total - rank)
+                    rank, used = fill(state, first, count, size, rank, total - rank, most)
                     if used < count:
                         waiting.append([first + used, count - used])
                 if waiting:
@@ -114,10 +123,11 @@ def plan_bins(histogram: dict[int, int], capacity: Capacity) -> Plan:
                 if rank >= total:
                     break
         if rank < total:
+            # No open bin holds the item; a new one is the only choice until it is full.
             state = tuple(limit.tolist())
-            most = min(state[0] // size, state[1], state[2] // (size * size))
+            most = holds(state, size)
             count = -(-(total - rank) // most)
-            fill(state, bins, count, size, rank, total - rank)
+            fill(state, bins, count, size, rank, total - rank, most)
             bins += count
     table = np.array(sorted(segments), np.int64).reshape(-1, 5)
     return Plan(*table.T, bins)
@@ -125,16 +135,19 @@ def plan_bins(histogram: dict[int, int], capacity: Capacity) -> Plan:
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+_CUT_ARROW = _PIECES_ARROW.append(pa.field("part", pa.int64())).append(pa.field("nth", pa.int64()))
 _PLACED_ARROW = _PIECES_ARROW.append(pa.field("sequence_id", pa.int64())).append(pa.field("offset", pa.int64()))
-#: Rows of a length that are ranked in one group.
-_GROUP = 50_000
 
 
 def token_pieces(df: DataFrame, tokenizer: str, end_id: int, most: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The ids of each text and ``end_id`` after them, cut into pieces of ``most`` only where there are more."""
+    """The ids of each text and ``end_id`` after them, cut into pieces of ``most`` only where there are more.
+
+    part: the task; nth: how many pieces of this length it made before. They hold only for a written result.
+    """
 
     def cut(batches):
-        bpe = WordBpe.at(tokenizer)
+        bpe, task = WordBpe.at(tokenizer), TaskContext.get().partitionId()
+        made = np.zeros(most + 1, np.int64)
         for part, docs, _ in textvec.chunks(batches):
             flat, at = bpe.ids(docs)
             size = np.diff(at) + 1
@@ -150,9 +163,13 @@ def token_pieces(df: DataFrame, tokenizer: str, end_id: int, most: int, *, id_co
             begin = (ends - size)[doc] + start
             raw = memoryview(whole.tobytes())
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
-            yield rows(_PIECES_ARROW, doc_id=part.column(0).cast(pa.int64()).take(pa.array(doc)), piece=piece.astype(np.int32), start=start, length=length, ids_crc32=crc)
+            order = np.argsort(length, kind="stable")
+            nth, count = np.empty(len(length), np.int64), np.bincount(length, minlength=most + 1)
+            nth[order] = textvec.ragged(made, count)
+            made += count
+            yield rows(_CUT_ARROW, doc_id=part.column(0).cast(pa.int64()).take(pa.array(doc)), piece=piece.astype(np.int32), start=start, length=length, ids_crc32=crc, part=np.full(len(nth), task), nth=nth)
 
-    return columns(df, doc_id=id_col, text=text_col).mapInArrow(cut, _PIECES)
+    return columns(df, doc_id=id_col, text=text_col).mapInArrow(cut, f"{_PIECES}, part long, nth long")
 
 
 def pack(df: DataFrame, tokenizer: str, end_id: int, scratch: Scratch, capacity: Capacity = Capacity(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,15 +182,10 @@ def pack(df: DataFrame, tokenizer: str, end_id: int, scratch: Scratch, capacity:
     pieces = scratch.keep(token_pieces(df, tokenizer, end_id, most, id_col=id_col, text_col=text_col), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     plan = plan_bins(histogram, capacity)
-    salts = max(1, sum(histogram.values()) // _GROUP)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
-    own = Window.partitionBy("salt", "length").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("rank", F.row_number().over(own) - F.lit(1).cast("long"))
-    if salts > 1:
-        # salts x lengths rows: the ranks that lower salts take.
-        counts = salted.groupBy("salt", "length").count()
-        counts = counts.select("salt", "length", (F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).alias("lower"))
-        ranked = ranked.join(counts, ["salt", "length"]).withColumn("rank", F.col("rank") + F.col("lower"))
+    # A row for each task and length: the ranks that earlier tasks take.
+    counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
+    counts = counts.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("lower"))
+    ranked = pieces.join(counts, ["part", "length"]).withColumn("rank", F.col("nth") + F.col("lower"))
     shared = scratch.spark.sparkContext.broadcast(plan)
 
     def assign(batches):
