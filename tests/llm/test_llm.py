@@ -229,6 +229,19 @@ def test_blocks_of_a_hot_cluster_lose_no_link(spark, monkeypatch):
     assert {r["component_id"] for r in minmax_dedup.near_duplicates(df, Scratch(spark, "t")).collect()} == {0}
 
 
+def test_hot_copies_and_empty_texts(spark):
+    rows = [(i, "one two three four five six") for i in range(50, 450)] + [(i, None if i % 2 else " ") for i in range(1000, 1300)] + [(i, f"w{i} x y z v u") for i in range(30)] + [(None, "one two three four five six"), (None, "alone here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = minmax_dedup.near_duplicates(df, Scratch(spark, "t")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r["n_shingles"] == 0 or r["doc_id"] is not None and r["doc_id"] < 30:
+            assert (r["component_id"], r["kept"]) == (r["doc_id"], True)
+        elif r["doc_id"] is not None:
+            assert (r["component_id"], r["kept"]) == (50, r["doc_id"] == 50)
+    assert sorted((r["component_id"] or 0, r["kept"]) for r in got if r["doc_id"] is None) == [(0, True), (50, False)]
+
+
 def test_top_k(spark):
     draw = np.random.default_rng(3)
     vectors = [[float(x) for x in draw.normal(size=6)] for _ in range(300)]

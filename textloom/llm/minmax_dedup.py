@@ -31,6 +31,8 @@ from .textvec import U
 PERMUTATIONS, BAND = 65, 5
 #: Most documents and shingles of a block, about.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Most classes of copies that are broadcast.
+HOT = 4096
 _draw = np.random.Generator(np.random.PCG64(40487))
 _XOR, _ODD = _draw.integers(0, 2**63, PERMUTATIONS, dtype=U), _draw.integers(0, 2**63, PERMUTATIONS, dtype=U) * U(2) + U(1)
 
@@ -187,14 +189,18 @@ def near_duplicates(df: DataFrame, scratch: Scratch, *, words: int = 5, percent:
     texts = columns(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     table = scratch.keep(features(texts, words), "features")
     sets = table.where("n_shingles > 0")
-    classes = sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
-    own = sets.join(classes, ["d1", "d2"]).where(F.col("doc_id") == F.col("node"))
-    keyed = own.select("node", F.explode("bands").alias("key"))
+    # One row for each class, combined before the exchange, so that copies never meet in a task.
+    classes = sets.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("doc_id").alias("node"), F.min_by(F.struct("n_shingles", "bands"), "doc_id").alias("own"))
+    classes = scratch.keep(classes.select("d1", "d2", "n", "node", "own.*"), "classes")
+    total = classes.agg(F.sum("n").alias("n")).first()["n"] or 0
+    # Fewer than HOT classes have more rows than this.
+    often = max(64, total // HOT)
+    keyed = classes.where("node is not null").select("node", F.explode("bands").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").drop("last")
     stars = keyed.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     cluster = components(stars, scratch, "stars")
     members = cluster.unionByName(cluster.select(F.col("root").alias("node"), "root").distinct())
-    members = members.join(sets.select(F.col("doc_id").alias("node"), "n_shingles").dropDuplicates(["node"]), "node")
+    members = members.join(classes.select("node", "n_shingles").dropDuplicates(["node"]), "node")
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     units = members.select("node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -209,7 +215,12 @@ def near_duplicates(df: DataFrame, scratch: Scratch, *, words: int = 5, percent:
     members_text = texts.join(units, "doc_id").select(F.xxhash64("unit").alias("unit"), "side", F.col("doc_id").alias("node"), "text")
     found = members_text.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(_confirm(words, percent), "a long, b long")
     linked = components(found, scratch, "links")
-    roots = classes.join(linked, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("component"))
-    out = table.select("doc_id", "n_shingles", "d1", "d2").join(roots, ["d1", "d2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    roots = classes.select("d1", "d2", "n", "node").join(linked, "node", "left").select("d1", "d2", "n", F.coalesce("root", "node").alias("component"))
+    # Rows of the few hot classes meet their roots by broadcast, so that no task reads a class of copies.
+    hot = F.broadcast(roots.where(F.col("n") > often).select("d1", "d2", F.col("component").alias("hot"), F.lit(True).alias("is_hot")))
+    met = sets.select("doc_id", "n_shingles", "d1", "d2").join(hot, ["d1", "d2"], "left")
+    cold = met.where("is_hot is null").join(roots.where(F.col("n") <= often), ["d1", "d2"], "left").select("doc_id", "n_shingles", "component")
+    out = cold.unionByName(met.where("is_hot").select("doc_id", "n_shingles", F.col("hot").alias("component")))
+    out = out.unionByName(table.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component")))
+    component = F.col("component")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), component.isNull()).alias("kept"))
