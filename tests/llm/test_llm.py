@@ -193,6 +193,40 @@ def test_shards(spark):
     assert sharding.shard_by_size(df.limit(0), size, 8, Scratch(spark, "t")).count() == 0
 
 
+def placed_well(got, rows, shards, near=0.05):
+    total, slots = {}, {}
+    for r in got:
+        total[r["shard"]] = total.get(r["shard"], 0) + len((r["text"] or "").encode()) + 16
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    mean = sum(total.values()) / shards
+    assert len(got) == len(rows) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert len(total) == shards and max(total.values()) < (1 + near) * mean and min(total.values()) > (1 - near) * mean
+
+
+def test_shards_of_one_row_many_times_and_clashing_columns(spark):
+    rows = [(i, f"text {i}", i, i, i, i) for i in range(2000)] + [(7, "the same row", 0, 0, 0, 0)] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string, key long, at long, shard long, size long").repartition(5)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
+    got = sharding.shard_by_size(df, size, 8, Scratch(spark, "t"))
+    assert sorted(got.columns) == sorted([*df.columns, "slot"])
+    placed_well(got.collect(), rows, 8)
+
+
+def test_ranges_beyond_the_drivers_are_cut_by_the_tasks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "_RANGE", 20)
+    monkeypatch.setattr(sharding, "_RANGES", 8)
+    rows = [(i, f"text {i % 700} " * (1 + i % 3)) for i in range(3000)] + [(9000 + i, "hot") for i in range(500)] + [(None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sharding.shard_by_size(df, F.coalesce(F.octet_length("text"), F.lit(0)) + 16, 4, Scratch(spark, "t")).collect()
+    placed_well(got, rows, 4)
+    copies = {}
+    for r in sorted(got, key=lambda r: (r["shard"], r["slot"])):
+        copies.setdefault(r["text"], []).append((r["shard"], r["slot"]))
+    # Copies are neighbours in a shard.
+    for held in copies.values():
+        assert all(b[0] != a[0] or b[1] == a[1] + 1 for a, b in zip(held, held[1:], strict=False))
+
+
 def test_near_duplicates_against_all_pairs(spark):
     draw = random.Random(4)
     words = [f"w{i}" for i in range(300)]

@@ -8,8 +8,12 @@ divided anew, until a candidate lies within the tolerance. Only sums over candid
 driver. Then every row goes to its place in one exchange.
 
 To keep a task's share small each shard is made of ranges, whose boundaries are probed alike; the
-rows below each range, counted exactly by then, number its rows. The number of ranges is bounded,
-as the driver holds their candidates; beyond it ranges grow with the input and are sorted on disk.
+rows below each range, counted exactly by then, number its rows. The driver holds the candidates of
+a bounded number of ranges; for more data the tasks cut each range into parts of its stretch of keys
+and count those themselves, in a table that is never collected.
+
+Repeated rows share a key. Where they are more than a shard's tolerance, the table is written once with a
+number for each row, which then is part of the key.
 """
 
 from __future__ import annotations
@@ -27,14 +31,14 @@ from .store import Scratch
 _LOW_BITS = 24
 #: Candidates between two neighbours of a bracket, as bits of the key.
 _STEP = 8
-#: Rows and bytes that one range of a shard has at most, about, and most ranges of all shards together.
+#: Rows and bytes that one range of a shard has at most, about, and most ranges of all shards whose candidates the driver holds.
 _RANGE, _RANGE_BYTES, _RANGES = 20_000, 8 << 20, 4096
 
 
-def order_key(text: Column, row_id: Column) -> Column:
+def order_key(text: Column, *row_id: Column) -> Column:
     """The key as an unsigned number in the order of signed longs."""
     low = (1 << _LOW_BITS) - 1
-    return F.xxhash64(text).bitwiseAND(F.lit(~low)).bitwiseOR(F.xxhash64(row_id).bitwiseAND(F.lit(low)))
+    return F.xxhash64(text).bitwiseAND(F.lit(~low)).bitwiseOR(F.xxhash64(*row_id).bitwiseAND(F.lit(low)))
 
 
 @dataclass
@@ -46,6 +50,8 @@ class Splitters:
     total_rows: int
     total_size: int
     rounds: int
+    #: Whether one key alone kept a boundary off by more than the tolerance.
+    stuck: bool = False
 
 
 def probe(keyed: DataFrame, parts: int, tolerance: float) -> Splitters:
@@ -60,7 +66,7 @@ def probe(keyed: DataFrame, parts: int, tolerance: float) -> Splitters:
     waiting: dict[int, list[int]] = {}
     found: dict[int, tuple[int, int, int]] = {}
     total = (0, 0)
-    rounds = 0
+    rounds, stuck = 0, False
     while True:
         rounds += 1
         shift = width - step
@@ -92,6 +98,7 @@ def probe(keyed: DataFrame, parts: int, tolerance: float) -> Splitters:
                 around = [x for x in starts[max(0, i - 1) : i + 1]]
                 best = min(around, key=lambda x: abs(x[0] - want))
                 if abs(best[0] - want) <= bound or shift == 0:
+                    stuck |= abs(best[0] - want) > bound and around[-1][0] - around[0][0] > 2 * bound
                     found[t] = (best[2], best[1], best[0])
                 else:
                     size_, n_, first = around[0]
@@ -101,35 +108,67 @@ def probe(keyed: DataFrame, parts: int, tolerance: float) -> Splitters:
             break
         brackets, waiting, width, step = below, nearer, shift, min(_STEP, shift)
     ordered = [found[t] for t in sorted(found)]
-    return Splitters([x[0] for x in ordered], [x[1] for x in ordered], [x[2] for x in ordered], *total, rounds)
+    return Splitters([x[0] for x in ordered], [x[1] for x in ordered], [x[2] for x in ordered], *total, rounds, stuck)
 
 
 def shard_by_size(df: DataFrame, size: Column, shards: int, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.01) -> DataFrame:
     """All rows and columns of ``df`` with shard (0 to shards - 1) and slot (from 0 without gaps), by the ``bytes`` law.
 
-    Within a shard rows are in the order of their keys. Null texts are equal to each other.
-    Repeated rows have one key and stay together. ``size``: the size of a row, over columns of df.
+    Within a shard rows are in the order of their keys. Null texts are equal to each other. Copies of a
+    text stay in one shard unless a boundary within the tolerance needs them divided. Columns named shard
+    or slot are replaced. ``size``: the size of a row, over columns of df.
     """
-    own = [f"__{x}" for x in ("key", "size", "range", "first")]
-    if set(own) & set(df.columns):
-        raise ValueError(f"columns named {own} are the operator's")
-    keyed = df.withColumn("__key", order_key(F.col(f"`{text_col}`"), F.col(f"`{id_col}`"))).withColumn("__size", size.cast("long"))
-    digest = scratch.keep(keyed.select(F.col("__key").alias("key"), F.col("__size").alias("size")), "keys")
-    whole = digest.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
-    ranges = max(-(-whole["n"] // (shards * _RANGE)), -(-whole["size"] // (shards * _RANGE_BYTES)))
-    ranges = max(1, min(ranges, _RANGES // shards))
-    at = probe(digest, shards * ranges, tolerance if ranges == 1 else tolerance / 2)
-    scratch.drop("keys")
-    shared = scratch.spark.sparkContext.broadcast((np.array([k if k < 1 << 63 else (1 << 63) - 1 for k in at.keys], np.int64), np.array([0, *at.rows], np.int64)))
-
-    @F.pandas_udf("range int, first long")
+    names = df.columns
+    own = {x: _free(x, names) for x in ("key", "size", "at", "number")}
+    number: Column | None = None
+    rows = df
+    while True:
+        ids = [F.col(f"`{id_col}`")] + ([] if number is None else [number])
+        keyed = rows.withColumn(own["key"], order_key(F.col(f"`{text_col}`"), *ids)).withColumn(own["size"], size.cast("long"))
+        digest = scratch.keep(keyed.select(F.col(own["key"]).alias("key"), F.col(own["size"]).alias("size")), "keys")
+        whole = digest.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+        wanted = max(1, -(-whole["n"] // (shards * _RANGE)), -(-whole["size"] // (shards * _RANGE_BYTES)))
+        ranges = min(wanted, max(1, _RANGES // shards))
+        at = probe(digest, shards * ranges, tolerance if ranges == 1 else tolerance / 2)
+        if not at.stuck or number is not None:
+            break
+        # Rows that are alike in id and text fill more than the tolerance: a written number tells them apart.
+        rows = scratch.keep(df.withColumn(own["number"], F.monotonically_increasing_id()), "numbered")
+        number = F.col(own["number"])
+    keys = np.array([k if k < 1 << 63 else (1 << 63) - 1 for k in at.keys], np.int64)
+    shared = scratch.spark.sparkContext.broadcast((keys, np.array([0, *at.rows], np.int64)))
+    parts = -(-wanted // ranges)
+
+    @F.pandas_udf("range int, part int, first long")
     def locate(key: pd.Series) -> pd.DataFrame:
         keys, rows = shared.value
-        where = np.searchsorted(keys, key.to_numpy(), "right")
-        shard = where // ranges
-        return pd.DataFrame({"range": where.astype("int32"), "first": rows[where] - rows[shard * ranges]})
-
-    placed = keyed.withColumn("__range", locate("__key"))
-    window = Window.partitionBy(F.col("__range.range")).orderBy("__key", F.col(f"`{id_col}`"))
-    placed = placed.withColumn("slot", F.row_number().over(window) - 1 + F.col("__range.first"))
-    return placed.withColumn("shard", F.floor(F.col("__range.range") / ranges).cast("int")).drop("__key", "__size", "__range")
+        key = key.to_numpy()
+        where = np.searchsorted(keys, key, "right")
+        low, high = np.append(-(1 << 63), keys)[where], np.append(keys, (1 << 63) - 1)[where]
+        # The share of the range's stretch that lies below the key; differences of longs may need 64 bits.
+        below, width = (key.view(np.uint64) - low.view(np.uint64)), (high.view(np.uint64) - low.view(np.uint64))
+        part = np.minimum(below / np.maximum(width, 1) * parts, parts - 1)
+        return pd.DataFrame({"range": where.astype("int32"), "part": part.astype("int32"), "first": rows[where] - rows[where // ranges * ranges]})
+
+    placed = keyed.withColumn(own["at"], locate(own["key"]))
+    place = [F.col(own["at"])["range"], F.col(own["at"])["part"]]
+    first = F.col(own["at"])["first"]
+    if parts > 1:
+        # A row for each part of a range; it meets the rows by the exchange that their numbering needs anyway.
+        counts = digest.select(locate("key").alias("at")).groupBy(F.col("at.range").alias("range"), F.col("at.part").alias("part")).agg(F.count("*").alias("n"))
+        lower = counts.select("range", "part", (F.sum("n").over(Window.partitionBy("range").orderBy("part")) - F.col("n")).alias("lower"))
+        placed = placed.join(lower, [place[0] == lower["range"], place[1] == lower["part"]])
+        first = first + F.col("lower")
+    else:
+        scratch.drop("keys")
+    order = [own["key"], F.col(f"`{id_col}`")] + ([] if number is None else [number])
+    slot = F.row_number().over(Window.partitionBy(*place).orderBy(*order)) - 1 + first
+    shard = F.floor(place[0] / ranges).cast("int")
+    return placed.select(*[F.col(f"`{c}`") for c in names if c not in ("shard", "slot")], slot.alias("slot"), shard.alias("shard"))
+
+
+def _free(name: str, names: list[str]) -> str:
+    """A name like this one that is no column yet."""
+    while name in names or name in ("range", "part", "lower", "shard", "slot"):
+        name += "_"
+    return name
