@@ -288,6 +288,34 @@ def test_top_k(spark):
         assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == query) == [(k + 1, i, -s) for k, (s, i) in enumerate(scored)]
 
 
+def test_top_k_prunes_and_loses_nothing(monkeypatch):
+    monkeypatch.setattr(maxscore, "TRAVERSED", 64)
+    draw = np.random.default_rng(6)
+    # Sizes fall off by term, as after a rotation onto principal axes; many ties.
+    vectors = np.floor(draw.normal(size=(1500, 24)) * 40 / (1 + np.arange(24)))
+    vectors[700:720] = vectors[3]
+    ids = draw.permutation(5000)[:1500]
+    shard = maxscore.Shard(ids, vectors)
+    i, at, score = shard.search(vectors[:40], ids[:40], 5)
+    for n in range(40):
+        want = sorted((-float(vectors[n] @ v), int(d)) for d, v in zip(ids, vectors, strict=True) if d != ids[n])[:5]
+        assert [(-s, int(shard.ids[p])) for s, p in zip(score[i == n], at[i == n], strict=True)] == want
+    assert shard.traversed + shard.probed < 0.8 * shard.all
+
+
+def test_top_k_of_many_shards_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(maxscore, "SHARD", 300)
+    monkeypatch.setattr(maxscore, "QUERIES", 40)
+    draw = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in draw.integers(-3, 4, 5)]) for i in range(400)] + [(7, [1.0] * 5)] * 200
+    v = spark.createDataFrame(rows, "vec_id long, v array<double>").repartition(3)
+    got = maxscore.top_k(v, v.where("vec_id % 20 = 0"), Scratch(spark, "t")).collect()
+    for query, own in rows[:400:20]:
+        want = sorted((-int(np.dot(own, e)), i) for i, e in rows if i != query)[:5]
+        assert sorted((r["rank"], -r["score"], r["vec_id"]) for r in got if r["query_id"] == query) == [(n + 1, *x) for n, x in enumerate(want)]
+    assert maxscore.top_k(v.limit(0), v.limit(0), Scratch(spark, "t")).count() == 0
+
+
 def test_base_counts():
     text = "a b\na b\n\n#x $y\na b c d e f g h a b c d e f g h"
     c = quality.base_counts([text.encode(), b"", b"\n\n"])

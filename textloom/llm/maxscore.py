@@ -1,13 +1,15 @@
 """Exact top-k by inner product with MaxScore over the components as terms.
 
-A vector is a document whose terms are its non-zero components. Every shard of candidates keeps a
-posting array for each term and its smallest and largest value, which bound what the term can add
-to a query's score. A query's terms are ordered by the spread of their bounds: the essential ones
-are traversed for all documents of the shard, the others are probed, term group by term group,
-only for documents whose score so far plus the remaining bounds can still reach the shard's
-present k-th score. Shards return their k best; a merge keeps the k best of all.
-
-Queries go out in blocks of a fixed number, so a broadcast never grows with the data.
+A vector is a document whose terms are its non-zero components. A shard of candidates keeps a posting
+array for each term and its smallest and largest value, which bound what the term can add to a
+query's score. Each query has a running k-th best score. A query's terms are ordered by the spread of
+their bounds; the non-essential ones are the longest tail whose upper bounds stay below the running
+score together: a document without essential terms can't reach it. The essential postings are traversed for all documents of a block, the others are probed, a group of terms
+at a time, only for documents whose score so far plus the remaining bounds still reaches the running
+score. Shards return their k best; a merge keeps the k best of all.
+
+Blocks of queries meet shards of candidates by an exchange: every block goes to every shard once and
+every shard to every block, both of bounded size. Nothing is collected or broadcast.
 """
 
 from __future__ import annotations
@@ -17,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import columns, rows
+from .arrow import columns
 from .store import Scratch
 
-#: Queries of a broadcast, candidates of a shard handled at once, share of the bounds that the essential terms hold.
-QUERIES, SHARD, ESSENTIAL = 2048, 1 << 13, 0.7
+#: Numbers in a block of queries and in a shard of candidates, about; candidates traversed at once.
+QUERIES, SHARD, TRAVERSED = 1 << 18, 1 << 21, 1 << 12
 _ARROW = pa.schema([(n, pa.int64()) for n in ("query_id", "vec_id", "score")])
 #: Above this, products are summed as Python integers.
 _EXACT = 2.0**52
@@ -43,50 +45,61 @@ def quantised(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
 class Shard:
     """Postings of some candidates: one array for each term, absent terms as 0."""
 
-    def __init__(self, ids: np.ndarray, vectors: list[np.ndarray], terms: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids = ids[order]
-        self.postings = np.zeros((terms, len(ids)))
-        for column, i in enumerate(order):
-            self.postings[: len(vectors[i]), column] = vectors[i]
-        self.least, self.most = self.postings.min(1), self.postings.max(1)
+        self.ids, self.postings = ids[order], np.ascontiguousarray(vectors[order].T)
+        if len(ids):
+            self.least, self.most = self.postings.min(1), self.postings.max(1)
+        else:
+            self.least = self.most = np.zeros(len(self.postings))
+        #: Postings read in traversal and in probing, and all there were.
+        self.traversed = self.probed = self.all = 0
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each query the rows (query number, position, score) of its k best other candidates."""
+        """For each query the rows (query number, position, score) of its k best other candidates, ties to the smaller id."""
         terms = len(self.postings)
         q = np.zeros((len(queries), terms))
         width = min(terms, queries.shape[1])
         q[:, :width] = queries[:, :width]
-        high = np.maximum(q * self.least, q * self.most)
-        low = np.minimum(q * self.least, q * self.most)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if np.abs(q).max(initial=0) * max(np.abs(self.least).max(initial=0), np.abs(self.most).max(initial=0)) * max(terms, 1) >= _EXACT:
             return self._plain(q, own, k)
-        for i in range(len(q)):
-            term = np.argsort(-(high[i] - low[i]), kind="stable")
-            spread = np.cumsum((high[i] - low[i])[term])
-            essential = int(np.searchsorted(spread, ESSENTIAL * spread[-1])) + 1 if terms else 0
-            alive = np.arange(len(self.ids))
-            at = np.searchsorted(self.ids, own[i])
-            score = q[i, term[:essential]] @ self.postings[term[:essential]] if terms else np.zeros(len(self.ids))
-            alive = alive[self.ids != own[i]] if at < len(self.ids) and self.ids[at] == own[i] else alive
-            score = score[alive]
-            done = essential
-            while done < terms and len(alive) > k:
-                rest = term[done:]
-                # The k-th largest score that is certain; whoever cannot reach it goes.
-                certain = np.partition(score, len(score) - k)[len(score) - k] + low[i, rest].sum()
-                keep = score + high[i, rest].sum() >= certain
+        high = np.maximum(q * self.least, q * self.most)
+        low = np.minimum(q * self.least, q * self.most)
+        out = [self._one(q[i], int(own[i]), high[i], low[i], k) for i in range(len(q))]
+        number = np.repeat(np.arange(len(out)), [len(at) for at, _ in out])
+        return number, np.concatenate([at for at, _ in out] or [np.zeros(0, int)]), np.concatenate([s for _, s in out] or [np.zeros(0)])
+
+    def _one(self, q: np.ndarray, own: int, high: np.ndarray, low: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        term = np.argsort(low - high, kind="stable")
+        q, postings = q[term], self.postings
+        # What the terms from each one on can add at most.
+        rest = np.append(np.cumsum(high[term][::-1])[::-1], 0.0)
+        best_at, best, running = np.zeros(0, np.int64), np.zeros(0), -np.inf
+        for begin in range(0, len(self.ids), TRAVERSED if len(self.ids) > TRAVERSED else max(1, len(self.ids))):
+            block = slice(begin, min(begin + TRAVERSED, len(self.ids)))
+            size = block.stop - block.start
+            self.all += size * len(term)
+            # Essential: until the rest alone can't reach the running score; bounds may rise where they are negative.
+            reach = np.flatnonzero(rest >= running)
+            essential = min(int(reach[-1]) + 1, len(term)) if len(reach) else 0
+            score = q[:essential] @ postings[term[:essential], block]
+            self.traversed += size * essential
+            alive = np.flatnonzero((score + rest[essential] >= running) & (self.ids[block] != own))
+            score, done = score[alive], essential
+            while done < len(term) and len(alive):
+                step = slice(done, min(len(term), done + max(2, (len(term) - done) // 3)))
+                score = score + q[step] @ postings[np.ix_(term[step], alive + begin)]
+                self.probed += len(alive) * (step.stop - done)
+                done = step.stop
+                keep = score + rest[done] >= running
                 alive, score = alive[keep], score[keep]
-                step = rest[: max(1, len(rest) // 3)]
-                score = score + q[i, step] @ self.postings[np.ix_(step, alive)]
-                done += len(step)
-            if done < terms:
-                rest = term[done:]
-                score = score + q[i, rest] @ self.postings[np.ix_(rest, alive)]
-            best = np.lexsort((alive, -score))[:k]
-            out.append((np.full(len(best), i), alive[best], score[best]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 3
+            if len(alive):
+                best_at, best = np.concatenate([best_at, alive + begin]), np.concatenate([best, score])
+                # Positions are in the order of ids.
+                first = np.lexsort((best_at, -best))[:k]
+                best_at, best = best_at[first], best[first]
+                running = best[-1] if len(best) == k else -np.inf
+        return best_at, best
 
     def _plain(self, q: np.ndarray, own: np.ndarray, k: int) -> tuple:
         """Components too large for exact sums of doubles: Python integers, all terms."""
@@ -105,43 +118,29 @@ def top_k(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 5)
     Both tables have (vec_id, v) as ``quantised`` gives them. Vectors of unlike length meet in the terms
     they share. Repeated ids are candidates each. Scores beyond a long fail the job.
     """
-    spark = vectors.sparkSession
-    vectors = scratch.keep(vectors, "vectors")
-    bounds = queries.agg(F.count("*").alias("n")).first()["n"]
-    blocks = max(1, -(-bounds // QUERIES))
-    # A block holds about QUERIES rows; it is collected for a broadcast, one block after the other.
-    numbered = scratch.keep(queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))), "queries")
-    found = None
-    for b in range(blocks):
-        block = numbered.where(F.col("part") == b).select("vec_id", "v").collect()
-        if not block:
-            continue
-        shared = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in block], np.int64), _rectangle([r["v"] for r in block])))
-
-        def search(batches, shared=shared):
-            own, q = shared.value
-
-            def flush(ids, vectors):
-                shard = Shard(np.concatenate(ids), [np.asarray(x) for x in vectors], max(map(len, vectors), default=0))
-                i, at, score = shard.search(q, own, k)
-                if len(i):
-                    yield rows(_ARROW, query_id=own[np.asarray(i, np.int64)], vec_id=shard.ids[np.asarray(at, np.int64)], score=pa.array([int(s) for s in score], pa.int64()))
-
-            ids, held, n = [], [], 0
-            for batch in batches:
-                ids.append(batch.column(0).to_numpy())
-                held += batch.column(1).to_numpy(zero_copy_only=False).tolist()
-                n += batch.num_rows
-                if n >= SHARD:
-                    yield from flush(ids, held)
-                    ids, held, n = [], [], 0
-            if n:
-                yield from flush(ids, held)
-
-        one = vectors.mapInArrow(search, "query_id long, vec_id long, score long")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    vectors, queries = scratch.keep(vectors, "vectors"), scratch.keep(queries, "queries")
+
+    def parts(df: DataFrame, numbers: int) -> int:
+        held = df.agg(F.sum(F.greatest(F.size("v"), F.lit(1))).alias("n")).first()["n"] or 0
+        return max(1, -(-held // numbers))
+
+    shards, blocks = parts(vectors, SHARD), parts(queries, QUERIES)
+    # By the row's place in the written table, so that repeated rows are divided too.
+    turn = F.xxhash64(F.monotonically_increasing_id())
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    candidates = vectors.withColumn("shard", F.pmod(turn, F.lit(shards)).cast("int")).withColumn("block", spread(blocks))
+    asked = queries.withColumn("block", F.pmod(turn, F.lit(blocks)).cast("int")).withColumn("shard", spread(shards))
+
+    def search(some: pa.Table, those: pa.Table) -> pa.Table:
+        if not len(some) or not len(those):
+            return _ARROW.empty_table()
+        shard = Shard(some.column("vec_id").to_numpy(), _rectangle(some.column("v")))
+        own = those.column("vec_id").to_numpy()
+        i, at, score = shard.search(_rectangle(those.column("v")), own, k)
+        return pa.table([pa.array(own[np.asarray(i, np.int64)], pa.int64()), pa.array(shard.ids[np.asarray(at, np.int64)], pa.int64()), pa.array([int(x) for x in score], pa.int64())], schema=_ARROW)
+
+    met = candidates.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block"))
+    found = met.applyInArrow(search, "query_id long, vec_id long, score long")
     best = [F.desc("score"), F.asc("vec_id")]
     # Many shards meet in two steps, so that no task gets a query's rows of all shards.
     partial = found.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(32)))
@@ -150,8 +149,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 5)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _rectangle(vectors: list) -> np.ndarray:
-    out = np.zeros((len(vectors), max(map(len, vectors), default=0)))
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+def _rectangle(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Rows of the vectors, shorter ones filled with 0."""
+    held = vectors.combine_chunks()
+    held = pa.concat_arrays(held.chunks) if isinstance(held, pa.ChunkedArray) else held
+    size = np.diff(held.offsets.to_numpy())
+    out = np.zeros((len(size), size.max(initial=0)))
+    out[np.arange(out.shape[1]) < size[:, None]] = held.flatten().to_numpy(zero_copy_only=False)
     return out
