@@ -368,6 +368,55 @@ def test_every_license_of_a_block():
             assert all(b <= a for (_, b, _), (a, _, _) in zip(got, got[1:], strict=False))
 
 
+def test_a_place_that_lacks_what_it_may_still_holds_a_mark():
+    m = license_scan.Matcher(license_scan.TEMPLATES)
+    for name, words in m.words.items():
+        marks, may = license_scan.marks(words), int(license_scan.MISSING * len(words))
+        # The worst places: as many marks go as may go.
+        gone, left = may, []
+        for w in words:
+            if w in marks and gone:
+                gone -= 1
+            else:
+                left.append(w)
+        text = " ".join(["some"] * 20 + left + ["words"] * 20).encode()
+        assert license_scan.blocks(text, m.marker), name
+        assert license_scan.regions(text, m.reach, m.marker) == [(0, len(text))]
+
+
+def test_scan_of_awkward_rows_against_every_window(spark):
+    m = license_scan.Matcher(license_scan.TEMPLATES)
+    draw, rows = random.Random(11), [(1, None, "x"), (2, "", "x"), (None, "All rights reserved.", "x"), (3, "All rights reserved.", "x"), (3, "All rights reserved.", "x"), (4, "word " * 30000, "x")]
+    for i in range(10, 60):
+        name = draw.choice(m.names)
+        own = license_scan.TEMPLATES[name].split()
+        if draw.random() < 0.4:
+            own[draw.randrange(len(own))] = "zzz"
+        rows.append((i, " ".join(["lorem ipsum dolor."] * draw.randint(0, 9) + own + ["Sit amet."] * draw.randint(0, 9)), "x"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, license string").repartition(3)
+    got = license_scan.scan_licenses(df).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["doc_id"], []).append(r)
+    assert len(found[3]) == 2 and len(found[None]) == 1 and not {1, 2, 4} & set(found)
+    for i, text, _ in rows[6:]:
+        words = [w.lower() for w in license_scan._WORD.findall(text)]
+        # By brute force: the fewest words of a template that any window of its length or one less lacks.
+        lacks = {}
+        for name, own in m.words.items():
+            for size in (len(own), len(own) - 1):
+                for k in range(max(1, len(words) - size + 1)):
+                    missing, _ = license_scan.differences(own, words[k : k + size])
+                    lacks[name] = min(lacks.get(name, (9, 0)), (len(missing) / len(own), -len(own)))
+        best = min(lacks.values())
+        if best[0] <= license_scan.MISSING:
+            assert len(found[i]) == 1 and lacks[found[i][0]["license"]][0] <= license_scan.MISSING
+            assert found[i][0]["exact"] == (best[0] == 0 and "zzz" not in words)
+        else:
+            assert i not in found
+    assert license_scan.scan_licenses(df.limit(0)).count() == 0
+
+
 def test_chunks_cover_everything():
     import pyarrow as pa
 
@@ -382,6 +431,33 @@ def test_languages_held_out_and_awkward_rows(spark):
     assert len(rows) > 100 and np.mean([r.lang == r.lang_pred for r in rows]) > 0.97
 
 
+def test_mixtures_against_all_sets_and_small_shares(spark):
+    from itertools import combinations
+
+    from textloom.llm.lang_id import ROUNDS, WINDOW, Languages, window_codes
+
+    draw, names = random.Random(12), ["aa", "bb", "cc"]
+    letters = {"aa": "abcde", "bb": "fghij", "cc": "klmno"}
+    make = lambda k, n: " ".join("".join(draw.choices(letters[k], k=5)) for _ in range(n))
+    counts = np.stack([np.bincount(window_codes([make(k, 4000).encode()])[0], minlength=1 << 15) for k in names], 1).astype(float)
+    model = Languages(names, counts)
+    for text in (make("aa", 50), make("aa", 30) + " " + make("bb", 20), make("bb", 40) + " " + make("cc", 40) + " " + make("aa", 40), make("aa", 4000) + " " + make("cc", 30)):
+        codes, _ = window_codes([text.encode()])
+        best = None
+        for size in (1, 2, 3):
+            for own in combinations(range(3), size):
+                share = np.full(size, 1 / size)
+                for _ in range(ROUNDS * 20):
+                    p = model.share[codes][:, own] * share
+                    share = (p / p.sum(1, keepdims=True)).mean(0)
+                value = np.log((model.share[codes][:, own] * share).sum(1)).sum() / WINDOW - 0.5 * np.log(max(len(codes) / WINDOW, 2)) * size
+                best = max(best or (-np.inf,), (value, own, share))
+        chosen, shares = model.mixture(codes)
+        assert sorted(chosen) == list(best[1]) and np.allclose(shares, [best[2][best[1].index(c)] for c in chosen], atol=0.01)
+    # The last text has less than one part in a hundred of its third language, and it is found.
+    assert len(chosen) == 2 and shares[1] < 0.01
+
+
 def test_languages_of_a_sample_with_repeated_ids(spark):
     from textloom.llm.lang_id import fit_languages, infer_languages
 

@@ -1,7 +1,8 @@
 """License notices by conditional compression.
 
-Runs of sentences that hold a license marker, with the text around them by the length of the longest
-template, are searched for every template's words in order, across sentences and line ends. Each place
+A place can only be confirmed if it holds at least one of a template's marks, more of its rarest-looking words
+than a confirmed place may lack. Runs of sentences that hold a mark, with the text around them by the length of
+the longest template, are searched for every template's words in order, across sentences and line ends. Each place
 found is compressed by zstandard alone and with every template as raw dictionary; the template that
 saves the largest share of it wins. A winner counts only if its wording is confirmed: the words of the
 template that the place lacks, and those it has besides, are aligned and listed.
@@ -49,12 +50,17 @@ TEMPLATES = {
     "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
     "all-rights-reserved": "All rights reserved.",
 }
-MARKER = re.compile(rb"licen[cs]e|copyright|rights reserved|permission is hereby|redistribution and use|\bcc by\b|public domain|spdx", re.I)
 _SENTENCE = re.compile(rb"(?<=[.!?:;])[\x20\x09]+|\n")
 _EDGE = b" \t\n\v\f\r"
 _WORD = re.compile(r"[^\s.,;:!?()\"']+(?:[.\-][^\s.,;:!?()\"']+)*")
 #: Least share of a block that the winner must save, most missing words per word of the template.
 SAVED, MISSING = 0.25, 0.2
+#: Words of the templates that much other text holds; they are marks only where a template has no others.
+_PLAIN = frozenset(
+    "a all and any are as be by conditions either following for form forms free general in included including is it language may met modify not "
+    "of option or persons program provided public publish published required rights software specific terms that the this to under use used "
+    "version with without work".split()
+)
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("license", pa.string()), ("saved", pa.float64()), ("plain_bytes", pa.int64()), ("conditional_bytes", pa.int64()), ("exact", pa.bool_()), ("missing", pa.list_(pa.string())), ("extra", pa.list_(pa.string()))])
 _KINDS = "doc_id long, start long, length long, license string, saved double, plain_bytes long, conditional_bytes long, exact boolean, missing array<string>, extra array<string>"
 
@@ -69,13 +75,25 @@ def sentences(doc: bytes) -> tuple[list[int], list[int]]:
     return edges, end
 
 
-def blocks(doc: bytes) -> list[tuple[int, int]]:
-    """Byte spans of candidate blocks: sentences or lines with a marker, and neighbours with one joined."""
-    marks = [m.start() for m in MARKER.finditer(doc)]
-    if not marks:
+def marks(words: list[str]) -> set[str]:
+    """Words of which a confirmed place holds at least one: it lacks fewer than these occurrences."""
+    least = int(MISSING * len(words) + 1e-9) + 1
+    return set(sorted(words, key=lambda w: (w in _PLAIN, -len(w), w))[:least])
+
+
+def marker(templates: dict[str, str]) -> re.Pattern[bytes]:
+    """What finds the marks of all templates."""
+    found = sorted({m for t in templates.values() for m in marks([w.lower() for w in _WORD.findall(t)])}, key=lambda m: (-len(m), m))
+    return re.compile(rb"(?<!\w)(?:" + b"|".join(re.escape(m.encode()) for m in found) + rb")(?!\w)" if found else rb"(?!)", re.I)
+
+
+def blocks(doc: bytes, mark: re.Pattern[bytes] | None = None) -> list[tuple[int, int]]:
+    """Byte spans of candidate blocks: sentences or lines with a mark, and neighbours with one joined."""
+    at = [m.start() for m in (mark or marker(TEMPLATES)).finditer(doc)]
+    if not at:
         return []
     edges, end = sentences(doc)
-    hit = sorted({int(x) for x in np.searchsorted(edges, marks, "right") - 1})
+    hit = sorted({int(x) for x in np.searchsorted(edges, at, "right") - 1})
     out: list[tuple[int, int]] = []
     last = -2
     for i in hit:
@@ -87,10 +105,10 @@ def blocks(doc: bytes) -> list[tuple[int, int]]:
     return out
 
 
-def regions(doc: bytes, reach: int) -> list[tuple[int, int]]:
+def regions(doc: bytes, reach: int, mark: re.Pattern[bytes] | None = None) -> list[tuple[int, int]]:
     """Byte spans of the candidate blocks with ``reach`` bytes on both sides, out to white space; those that touch are one."""
     out: list[tuple[int, int]] = []
-    for a, b in blocks(doc):
+    for a, b in blocks(doc, mark):
         a, b = max(a - reach, 0), min(b + reach, len(doc))
         while a and doc[a - 1] not in _EDGE:
             a -= 1
@@ -127,6 +145,7 @@ class Matcher:
 
         self.names = sorted(templates)
         self.words = {k: [w.lower() for w in _WORD.findall(templates[k])] for k in self.names}
+        self.marker = marker(templates)
         known = sorted({w for own in self.words.values() for w in own})
         self.code = {w: i for i, w in enumerate(known)}
         self.codes = {k: np.array([self.code[w] for w in own], np.int64) for k, own in self.words.items()}
@@ -186,7 +205,7 @@ class Matcher:
     def notices(self, doc: bytes) -> list[tuple]:
         """(start, end, what ``match`` says) of each confirmed notice; it takes in the rest of its first and last sentence."""
         out: list[tuple] = []
-        around = regions(doc, self.reach)
+        around = regions(doc, self.reach, self.marker)
         edges, ends = sentences(doc) if around else ([], [])
         for lo, hi in around:
             text = doc[lo:hi].decode(errors="surrogateescape")
