@@ -57,8 +57,6 @@ class Languages:
         chosen, shares, value = [best], np.ones(1), alone[best] / WINDOW - price
         for k in range(2, len(order) + 1):
             own = order[:k]
-            if share[own[-1]] < 0.01:
-                break
             part = p[:, own]
             s = self._em(part, n, total)
             now = n @ np.log(part @ s + 1e-300) / WINDOW - price * k

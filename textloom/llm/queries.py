@@ -34,7 +34,7 @@ def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     model = fit_languages(documents, where=remainder != 0)
     found = infer_languages(documents, model)
-    return found.select("doc_id", (remainder == 0).alias("held_out"), "lang_pred", "score", "languages", "proportions")
+    return found.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "languages", "proportions")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
