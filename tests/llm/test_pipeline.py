@@ -128,3 +128,118 @@ def test_mixing_awkward_rows(spark):
     assert mixing.mix(table.limit(0), model, names, targets, q.tokenizer_path(), Scratch(spark, "t")).count() == 0
     untaught = mixing.fit_domains(table, labels.limit(0), domain, names)
     assert mixing.mix(table, untaught, names, targets, q.tokenizer_path(), Scratch(spark, "t")).count() == len(rows)
+
+
+def test_emitted_rates_and_copies_meet_the_targets(spark):
+    got = q.op10_soft_membership_mixing(spark, "/root/testdata/sf0.01").collect()
+    p, n = np.array([r["posterior"] for r in got]), np.array([r["n_tokens"] for r in got], float)
+    rate, copies = (np.array([r[c] for r in got], float) for c in ("rate", "copies"))
+    want = np.array([q.TARGETS[d] for d in q.DOMAINS])
+    total = (rate * n) @ p
+    assert np.abs(total / total.sum() / want - 1).max() < 3 * mixing.TOLERANCE
+    # Copies round by a draw; four standard deviations of it.
+    part = rate - np.floor(rate)
+    assert (np.abs((copies * n) @ p - total) <= 4 * np.sqrt((part * (1 - part) * n**2) @ p**2) + 1e-6).all()
+    # An independent nonnegative least-squares solution, by coordinates, does no better than to meet them.
+    wanted = want * total[0] / want[0]
+    a, r = (n[:, None] * p).T, np.ones(len(n))
+    gap, norm = a @ r - wanted, (a**2).sum(0) + 1e-12
+    for _ in range(60):
+        for i in range(len(r)):
+            new = max(r[i] - a[:, i] @ gap / norm[i], 0.0)
+            gap += a[:, i] * (new - r[i])
+            r[i] = new
+    assert np.abs(total / wanted - 1).max() <= np.abs(gap / wanted).max() + 3 * mixing.TOLERANCE
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    rows = [(i, f"{'good' if i % 2 else 'bad'} plain words {i}") for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    model = mixing.fit_domains(table, table.limit(0), F.lit(None).cast("string"), ["a", "b"])
+    with pytest.warns(UserWarning, match="miss their targets"):
+        mixing.mix(table, model, ["a", "b"], {"a": 0.99, "b": 0.01}, q.tokenizer_path(), Scratch(spark, "t"), anchor="a").count()
+
+
+def test_rows_are_repeated_with_all_their_columns(spark):
+    rows = [(i, f"good plain words {i}", i, "r") for i in range(40)] + [(None, None, 0, "r"), (3, "good plain words 3", 3, "r")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, copies long, rate string")
+    model = mixing.fit_domains(table, table.limit(0), F.lit(None).cast("string"), ["a", "b"])
+    args = (model, ["a", "b"], {"a": 0.5, "b": 0.5}, q.tokenizer_path())
+    times = Counter()
+    for r in mixing.mix(table, *args, Scratch(spark, "t")).collect():
+        times[r["doc_id"]] += r["copies"]
+    got = mixing.mix_rows(table, *args, Scratch(spark, "t"))
+    assert got.columns == table.columns and Counter(r["doc_id"] for r in got.collect()) == +times
+    assert mixing.mix_rows(table.limit(0), *args, Scratch(spark, "t")).count() == 0
+
+
+def test_quality_of_awkward_rows(spark):
+    good, bad = " ".join(f"word{i}" for i in range(40)), " ".join(["a b c d e f g h"] * 9)
+    rows = [(1, good, 7), (1, good, 7), (2, bad, 7), (3, None, 7), (4, "", 7), (None, good, 7), (5, good + " x" * 100000, 7)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, kept long").repartition(3)
+    for model in (None, quality.fit_quality(table, spark.createDataFrame([(1, 1), (2, 0), (9, 1)], "doc_id long, quality int"))):
+        got = quality.score_quality(table, model).collect()
+        assert len(got) == len(rows) and {r["doc_id"] for r in got if r["base_failed"]} == {2, 3, 4, 5}
+        kept = quality.keep_good(table, model)
+        assert kept.columns == table.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in got if r["kept"])
+        assert quality.score_quality(table.limit(0), model).count() == 0
+    # Repeated rows and labels of an id count once in the fit.
+    y, features = quality.ngrams.sampled(table, spark.createDataFrame([(1, 1), (1, 1), (2, 0), (9, 1)], "doc_id long, y int"), 1.0, id_col="doc_id", text_col="text")
+    assert y.tolist() == [1, 0] and features.size == 2 and set(features.row.tolist()) == {0, 1}
+
+
+CONTRACTS = {
+    "op1_language_mixture": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op2_best_fit_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+    "op3_histogram_sort_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op4_maxscore_top_k": "query_id bigint, rank int, vec_id bigint, score bigint",
+    "op5_conditional_license_scan": "doc_id bigint, start bigint, length bigint, license string",
+    "op6_context_mixing_ids": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+    "op7_prefix_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+    "op8_minmax_near_dedup": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+    "op9_calibrated_quality": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+    "op10_soft_membership_mixing": "doc_id bigint, n_tokens bigint, rate double, copies int",
+}
+EACH = {"op1", "op3", "op6", "op7", "op8", "op9", "op10"}
+
+
+@pytest.fixture(scope="module")
+def awkward(tmp_path_factory):
+    """The smallest tables with awkward rows added: nulls, empty and very long texts, clashing columns; and empty ones."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    root = tmp_path_factory.mktemp("tables")
+    for name in ("documents", "labels", "embeddings"):
+        t = pq.read_table(f"{D}/{name}.parquet")
+        (root / "none").mkdir(exist_ok=True)
+        pq.write_table(t.slice(0, 0), root / "none" / f"{name}.parquet")
+        if name == "documents":
+            more = [(70001, None), (70002, ""), (70003, " \n\t "), (70004, "word " * 60000), (70005, "中文 текст ½ e\u0301 <|endoftext|>"), (70006, "a" * 30000)]
+            extra = pa.Table.from_pylist([{f.name: {"doc_id": i, "text": x}.get(f.name) for f in t.schema} for i, x in more], schema=t.schema)
+            t = pa.concat_tables([t, extra])
+            for clash in ("key", "length", "shard_", "tokens", "features"):
+                t = t.append_column(clash, pa.array([1] * len(t)))
+        (root / "odd").mkdir(exist_ok=True)
+        pq.write_table(t, root / "odd" / f"{name}.parquet")
+    return root
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACTS))
+def test_registered_queries_keep_their_contracts(spark, awkward, name):
+    got = getattr(q, name)(spark, str(awkward / "odd"))
+    kinds = dict(got.dtypes)
+    for each in CONTRACTS[name].split(", "):
+        column, kind = each.split(" ")
+        assert kinds.get(column) == kind, (name, column, kinds.get(column))
+    rows, n = got.collect(), spark.read.parquet(str(awkward / "odd" / "documents.parquet")).count()
+    if name.split("_")[0] in EACH:
+        assert len(rows) == n and len({r["doc_id"] for r in rows}) == n
+    if name.startswith("op9"):
+        held = {r["doc_id"]: r for r in rows}
+        for r in spark.read.parquet(str(awkward / "odd" / "documents.parquet")).select("doc_id", "text").collect():
+            text, own = r["text"] or "", words(r["text"])
+            lines = [x for x in text.split("\n") if words(x)]
+            want = (len(own), sum(map(len, own)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)))
+            assert tuple(held[r["doc_id"]][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")) == want
+    assert getattr(q, name)(spark, str(awkward / "none")).count() == 0

@@ -113,6 +113,24 @@ def fit_languages(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return Languages(names, np.stack([total[x] for x in names], 1).astype(np.float64)) if names else None
 
 
+def predicted(docs: list[bytes], model: Languages | None) -> tuple[list[str], list[float], list[list[str]], list[list[float]]]:
+    """For each text its main language and that one's share, the chosen languages and their shares."""
+    letters = np.zeros(256, bool)
+    letters[65:91] = letters[97:123] = True
+    codes, at = window_codes(docs)
+    name, score, sets, shares = [], [], [], []
+    for i, doc in enumerate(docs):
+        if model is None or not (letters[np.frombuffer(doc, np.uint8)].any() or any(map(str.isalpha, doc.decode()))):
+            name.append("und"), score.append(0.0), sets.append([]), shares.append([])
+            continue
+        own, share = model.mixture(codes[at[i] : at[i + 1]])
+        name.append(model.names[own[0]])
+        score.append(float(min(1.0, share[0])))
+        sets.append([model.names[k] for k in own])
+        shares.append(share.tolist())
+    return name, score, sets, shares
+
+
 def infer_languages(df: DataFrame, model: Languages | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row: lang_pred, its share as score, and the chosen languages and shares.
 
@@ -121,21 +139,20 @@ def infer_languages(df: DataFrame, model: Languages | None, *, id_col: str = "do
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def infer(batches):
-        model = shared.value
-        letters = np.zeros(256, bool)
-        letters[65:91] = letters[97:123] = True
         for part, docs, _ in textvec.chunks(batches):
-            codes, at = window_codes(docs)
-            name, score, sets, shares = [], [], [], []
-            for i, doc in enumerate(docs):
-                if model is None or not (letters[np.frombuffer(doc, np.uint8)].any() or any(map(str.isalpha, doc.decode()))):
-                    name.append("und"), score.append(0.0), sets.append([]), shares.append([])
-                    continue
-                own, share = model.mixture(codes[at[i] : at[i + 1]])
-                name.append(model.names[own[0]])
-                score.append(float(min(1.0, share[0])))
-                sets.append([model.names[k] for k in own])
-                shares.append(share.tolist())
+            name, score, sets, shares = predicted(docs, shared.value)
             yield rows(_ARROW, doc_id=part.column(0).cast(pa.int64()), lang_pred=name, score=score, languages=sets, proportions=shares)
 
     return columns(df, doc_id=id_col, text=text_col).mapInArrow(infer, _KINDS)
+
+
+def keep_main(df: DataFrame, model: Languages | None, least: float, *, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, of which one language has this share; decided where they are, without an exchange."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches):
+        for part, docs, _ in textvec.chunks(batches, text_col):
+            name, score, *_ = predicted(docs, shared.value)
+            yield part.filter(pa.array([n != "und" and s >= least for n, s in zip(name, score, strict=True)], pa.bool_()))
+
+    return df.mapInArrow(keep, df.schema)

@@ -9,72 +9,79 @@ every document's rate follows. The step is preconditioned by the inverse of the
 curvature (domains by domains), so a few dozen passes suffice.
 
 The overall size is what leaves the ``anchor`` domain as it is: the others shrink or grow to their
-shares beside it. Copies are the rate's whole part and, by a hash of the id, its
-fraction; rates within ``SNAP`` of 1 are 1.
+shares beside it. A document near 1 stays at 1: what the gradients ask of it counts only beyond ``SNAP``.
+That is part of the rates whose totals the passes sum, so the totals that are met are those of the rates
+given out. Copies are the rate's whole part and, by a hash of the id, its fraction.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import ngrams, textvec
-from .arrow import columns, rows
+from .arrow import columns
 from .store import Scratch
 from .wordbpe import WordBpe
 
-#: Most labelled rows of the classifier's fit; passes; relative miss at which they end; pull to 1; snap to 1.
+#: Most labelled rows of the classifier's fit; passes; relative miss at which they end; pull to 1; change that is left out.
 SAMPLE, PASSES, TOLERANCE, PULL, SNAP = 2000, 40, 1e-3, 1e-4, 0.05
+#: Relative miss of a domain that is reported.
+REPORTED = 0.01
 #: Least chi-square statistics of a feature to choose from: of 3 * 2**18 features, and with copies among
 #: the rows, hundreds reach the usual bounds by chance; few rows cannot reach high ones.
 SCREENS = (15.0, 30.0, 60.0)
-_SCORED = "doc_id long, n_tokens long, posterior array<double>"
-_SCORED_ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("posterior", pa.list_(pa.float64()))])
-
-
 def fit_domains(documents: DataFrame, labels: DataFrame, domain, names: list[str], *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> ngrams.Model:
     """The classifier from at most ``sample`` labelled rows; ``domain`` is a column of ``labels`` with a name or null.
 
-    A quarter of the rows, which the fits have not seen, choose the screen and the slope.
+    A quarter of the rows, which the fits have not seen, choose the screen and the slope. Repeated ids count
+    once; what comes to the driver are hashed features of at most ``sample`` texts.
     """
     chosen = labels.select(F.col(f"`{id_col}`").alias("doc_id"), domain.alias("domain")).where(F.col("domain").isin(names) & F.col("doc_id").isNotNull())
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(sample)
-    got = columns(documents, doc_id=id_col, text=text_col).join(F.broadcast(chosen), "doc_id").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["domain"], r["text"] or ""))
-    texts, y = [(r["text"] or "").encode() for r in got], np.array([names.index(r["domain"]) for r in got], np.int64)
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("domain")) - 1
+    chosen = chosen.select(F.col("doc_id").cast("long"), place.cast("int").alias("y"))
+    y, features = ngrams.sampled(documents, chosen, 0.5, id_col=id_col, text_col=text_col)
     held = np.arange(len(y)) % 4 == 3
-    seen, unseen = [t for t, h in zip(texts, held, strict=True) if not h], [t for t, h in zip(texts, held, strict=True) if h]
-    best, features = None, ngrams.counted(seen, 0.5)
+    seen, unseen = features.part(~held), features.part(held)
+    best = None
     for screen in SCREENS:
-        model = ngrams.fit(seen, y[~held], len(names), steps=60, screen=screen, evenness=1.0, norm=0.5, features=features)
+        model = ngrams.fit(seen, y[~held], len(names), steps=60, screen=screen, evenness=1.0, norm=0.5)
         found = ngrams.tempered(model, unseen, y[held])
         if best is None or found[0] < best[0]:
             best = found
     return best[1]
 
 
-def posteriors(df: DataFrame, model: ngrams.Model, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens (by the tokenizer), posterior over the domains."""
+def posteriors(df: DataFrame, model: ngrams.Model, tokenizer: str, *, text_col: str = "text", names: tuple[str, str] = ("n_tokens", "posterior")) -> DataFrame:
+    """All rows and columns, then the tokens (by the tokenizer) and the posterior over the domains under these names."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
         model, bpe = shared.value, WordBpe.at(tokenizer)
-        for part, docs, _ in textvec.chunks(batches):
+        for part, docs, _ in textvec.chunks(batches, text_col):
             p = model.probabilities(docs)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(docs) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
-            yield rows(_SCORED_ARROW, doc_id=part.column(0).cast(pa.int64()), n_tokens=bpe.counts(docs), posterior=flat)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(bpe.counts(docs), pa.int64()), flat], names=[*part.schema.names, *names])
 
-    return columns(df, doc_id=id_col, text=text_col).mapInArrow(score, _SCORED)
+    kinds = T.StructType([*df.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(T.DoubleType()))])
+    return df.mapInArrow(score, kinds)
 
 
 def rates(p: np.ndarray, history: list[np.ndarray], pull: float) -> np.ndarray:
-    """Document rates after the gradients of all passes so far, from 1, projected to be nonnegative each time."""
+    """Document rates after the gradients of all passes so far, from 1, projected each time.
+
+    Of what they ask, ``SNAP`` is left out on both sides of 1; the projection leaves room for it below 0.
+    """
     r = np.ones(len(p))
     for g in history:
-        r = np.maximum(r - p @ g - pull * (r - 1), 0)
-    return r
+        r = np.maximum(r - p @ g - pull * (r - 1), -SNAP)
+    return np.maximum(1 + np.sign(r - 1) * np.maximum(np.abs(r - 1) - SNAP, 0), 0)
 
 
 def fit_rates(scored: DataFrame, targets: np.ndarray, *, anchor: int = 0, passes: int = PASSES) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -131,21 +138,45 @@ def mix(df: DataFrame, model: ngrams.Model, names: list[str], targets: dict[str,
     """One row for each row: doc_id, n_tokens, posterior, rate, copies.
 
     Null and empty texts have no tokens and the posterior of the classifier's bias. Repeated rows are mixed
-    each, alike. Domains without tokens are left out of the fit. An empty table gives an empty result.
+    each, alike. Domains without tokens are left out of the fit. An empty table gives an empty result. A
+    domain whose expected total misses its target by more than ``REPORTED`` is warned of.
     """
-    scored = scratch.keep(posteriors(df, model, tokenizer, id_col=id_col, text_col=text_col), "posteriors")
-    history, _, _ = fit_rates(scored, np.array([targets[n] for n in names], np.float64), anchor=names.index(anchor) if anchor else 0)
+    scored = posteriors(columns(df, doc_id=id_col, text=text_col), model, tokenizer).withColumn("doc_id", F.col("doc_id").cast("long"))
+    scored = scratch.keep(scored.drop("text"), "posteriors")
+    return _mixed(scored, names, targets, anchor, F.col("doc_id"), ("n_tokens", "posterior")).select("doc_id", "n_tokens", "posterior", "rate", "copies")
+
+
+def mix_rows(df: DataFrame, model: ngrams.Model, names: list[str], targets: dict[str, float], tokenizer: str, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", anchor: str | None = None) -> DataFrame:
+    """Every row with all its columns as often as ``mix`` says; scored rows are written and read again, without an exchange."""
+    own = []
+    for name in ("n_tokens", "posterior", "rate", "copies"):
+        while name in df.columns:
+            name += "_"
+        own.append(name)
+    scored = scratch.keep(posteriors(df, model, tokenizer, text_col=text_col, names=(own[0], own[1])), "posteriors")
+    mixed = _mixed(scored, names, targets, anchor, F.col(f"`{id_col}`"), (own[0], own[1]), own[2], own[3])
+    # Rows without copies go first, so that no sequence is empty.
+    repeated = mixed.where(F.col(own[3]) > 0).withColumn(own[3], F.explode(F.sequence(F.lit(1), F.col(own[3]))))
+    return repeated.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def _mixed(scored: DataFrame, names: list[str], targets: dict[str, float], anchor: str | None, row_id: Column, given: tuple[str, str], rate: str = "rate", copies: str = "copies") -> DataFrame:
+    """Adds the rate and the copies."""
+    fitted = scored.select(F.col(given[0]).alias("n_tokens"), F.col(given[1]).alias("posterior"))
+    history, total, wanted = fit_rates(fitted, np.array([targets[n] for n in names], np.float64), anchor=names.index(anchor) if anchor else 0)
+    off = [f"{n}: {t:.0f} tokens, wanted {w:.0f}" for n, t, w in zip(names, total, wanted, strict=True) if t > 0 and w > 0 and abs(t - w) > REPORTED * w]
+    if off:
+        warnings.warn("the rates miss their targets; " + "; ".join(off), stacklevel=3)
     shared = scored.sparkSession.sparkContext.broadcast(history)
 
     @F.pandas_udf("double")
-    def rate(posterior):
+    def found(posterior):
         import pandas as pd
 
         if not len(posterior):
             return pd.Series([], dtype="float64")
         return pd.Series(rates(np.stack(posterior.to_numpy()), shared.value, PULL))
 
-    mixed = scored.withColumn("rate", rate("posterior"))
-    mixed = mixed.withColumn("rate", F.when(F.abs(F.col("rate") - 1) <= SNAP, 1.0).otherwise(F.col("rate")))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
-    return mixed.withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
+    draw = F.pmod(F.xxhash64(row_id.cast("long"), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
+    mixed = scored.withColumn(rate, found(F.col(given[1])))
+    return mixed.withColumn(copies, F.floor(F.col(rate) + draw).cast("int"))

@@ -5,8 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import textvec
+from .arrow import columns
 from .textvec import U
 
 BITS = 18
@@ -26,7 +31,9 @@ def families(docs: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray
     ptr = np.searchsorted(starts, at)
     out.append(((word >> U(64 - BITS)).astype(np.int32), ptr[:-1], ptr[1:]))
     pair = textvec.mix(word[:-1] * U(3) + word[1:]) if len(word) > 1 else np.zeros(0, U)
-    out.append(((pair >> U(64 - BITS)).astype(np.int32), ptr[:-1], np.maximum(ptr[1:] - 1, ptr[:-1])))
+    # A last text without words begins behind the last pair.
+    first = np.minimum(ptr[:-1], len(pair))
+    out.append(((pair >> U(64 - BITS)).astype(np.int32), first, np.maximum(ptr[1:] - 1, first)))
     return out
 
 
@@ -63,29 +70,73 @@ class Model:
         return softmax(self.slope * scores(docs, self.weights, self.bias, self.norm) + np.array([0.0] * (len(self.bias) - 1) + [self.shift]))
 
 
-def counted(docs: list[bytes], norm: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, feature and value of every feature of every text."""
-    row, column, value = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
-    for part in textvec.parts(docs):
-        for f, (index, first, last) in enumerate(families(docs[part])):
-            for i in range(len(first)):
-                own, n = np.unique(index[first[i] : last[i]], return_counts=True)
-                if len(own):
-                    row.append(np.full(len(own), part.start + i, np.int32))
-                    column.append(own + np.int32(f << BITS))
-                    value.append((n / n.sum() ** norm).astype(np.float32))
-    return np.concatenate(row), np.concatenate(column), np.concatenate(value)
+@dataclass
+class Features:
+    """Text, feature and value of every feature of ``size`` texts."""
+
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+    size: int
+
+    @classmethod
+    def of(cls, docs: list[bytes], norm: float) -> "Features":
+        row, column, value = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+        for part in textvec.parts(docs):
+            for f, (index, first, last) in enumerate(families(docs[part])):
+                for i in range(len(first)):
+                    own, n = np.unique(index[first[i] : last[i]], return_counts=True)
+                    if len(own):
+                        row.append(np.full(len(own), part.start + i, np.int32))
+                        column.append(own + np.int32(f << BITS))
+                        value.append((n / n.sum() ** norm).astype(np.float32))
+        return cls(np.concatenate(row), np.concatenate(column), np.concatenate(value), len(docs))
+
+    def part(self, chosen: np.ndarray) -> "Features":
+        """Those of the chosen texts (booleans), numbered anew."""
+        place, own = np.cumsum(chosen, dtype=np.int32) - 1, chosen[self.row]
+        return Features(place[self.row[own]], self.column[own], self.value[own], int(chosen.sum()))
+
+    def scores(self, model: "Model") -> np.ndarray:
+        """(texts, classes) under the model, whose ``norm`` is that of the values."""
+        flat = model.weights.reshape(-1, len(model.bias))
+        return np.stack([np.bincount(self.row, self.value * flat[self.column, k], minlength=self.size) for k in range(flat.shape[1])], 1) + model.bias
+
+
+def sampled(documents: DataFrame, chosen: DataFrame, norm: float, *, id_col: str, text_col: str) -> tuple[np.ndarray, Features]:
+    """Classes and features of the chosen (doc_id, y), counted where the texts are, in order of id and class.
+
+    Of several texts of an id the one with the smallest hash counts. So no more texts than were chosen come to
+    the driver, as hashed features, at most ``3 << BITS`` of each, whatever their length.
+    """
+
+    def count(batches):
+        for part, docs, _ in textvec.chunks(batches):
+            for i, doc in enumerate(docs):
+                own = Features.of([doc], norm)
+                yield pa.RecordBatch.from_arrays([*part.slice(i, 1).columns[:2], pa.array([own.column], pa.list_(pa.int32())), pa.array([own.value], pa.list_(pa.float32()))], names=["doc_id", "y", "feature", "value"])
 
+    rows = columns(documents, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(chosen), "doc_id")
+    # Combined before the exchange, so that repeated rows never meet.
+    once = rows.groupBy("doc_id", "y").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"))
+    found = once.mapInArrow(count, "doc_id long, y int, feature array<int>, value array<float>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    feature, value = (found.column(k).combine_chunks() for k in ("feature", "value"))
+    if not len(found):
+        return np.zeros(0, np.int64), Features.of([], norm)
+    size = pc.list_value_length(feature).to_numpy(zero_copy_only=False)
+    return found.column("y").to_numpy().astype(np.int64), Features(np.repeat(np.arange(len(size), dtype=np.int32), size), pc.list_flatten(feature).to_numpy(zero_copy_only=False), pc.list_flatten(value).to_numpy(zero_copy_only=False), len(size))
 
-def fit(docs: list[bytes], y: np.ndarray, classes: int, *, steps: int = 80, penalty: float = 0.1, share: float = 0.005, screen: float = 15.0, evenness: float = 0.5, norm: float = 1.0, features: tuple | None = None) -> Model:
+
+def fit(docs: list[bytes] | Features, y: np.ndarray, classes: int, *, steps: int = 80, penalty: float = 0.1, share: float = 0.005, screen: float = 15.0, evenness: float = 0.5, norm: float = 1.0) -> Model:
     """Softmax regression by Adam on the relative frequencies of each family, for features that ``share`` of the texts have.
 
     screen: least chi-square statistic of a feature's presence by class.
     evenness: from 0, features count as they are, to 1, all are scaled to the same mean square.
     norm: at 1 a feature counts by its frequency, at 0.5 rare words of a long text weigh more.
-    features: ``counted(docs, norm)``, where it is at hand.
+    docs: the texts, or their features with the same ``norm``.
     """
-    row, column, value = counted(docs, norm) if features is None else features
+    given = docs if isinstance(docs, Features) else Features.of(docs, norm)
+    row, column, value, texts = given.row, given.column, given.value, given.size
     weights = np.zeros((3, 1 << BITS, classes), np.float32)
     base = np.log(np.bincount(y, minlength=classes) + 1.0)
     if not len(row):
@@ -93,18 +144,18 @@ def fit(docs: list[bytes], y: np.ndarray, classes: int, *, steps: int = 80, pena
     used, column = np.unique(column, return_inverse=True)
     # Features of few texts, and those about as frequent in every class, say more about those texts than about the class.
     seen, size = np.bincount(column, minlength=len(used)), np.bincount(y, minlength=classes)
-    common = seen >= max(3, share * len(docs))
+    common = seen >= max(3, share * texts)
     chi = np.zeros(len(used))
     for k in range(classes):
-        expected = seen * size[k] / len(docs)
-        chi += (np.bincount(column[y[row] == k], minlength=len(used)) - expected) ** 2 / (expected + 1e-9) / (1 - expected / len(docs))
+        expected = seen * size[k] / texts
+        chi += (np.bincount(column[y[row] == k], minlength=len(used)) - expected) ** 2 / (expected + 1e-9) / (1 - expected / texts)
     common &= chi >= screen
     if not common.any():
         return Model(weights, base - base.mean(), norm=norm)
     keep = common[column]
     place = np.cumsum(common) - 1
     used, row, column, value = used[common], row[keep], place[column[keep]], value[keep]
-    scale = np.sqrt(np.bincount(column, value**2, minlength=len(used)) / len(docs)) + 1e-7
+    scale = np.sqrt(np.bincount(column, value**2, minlength=len(used)) / texts) + 1e-7
     scale = scale**evenness * scale.max(initial=1e-7) ** (1 - evenness)
     value = (value / scale[column]).astype(np.float32)
     target = np.eye(classes)[y]
@@ -112,9 +163,9 @@ def fit(docs: list[bytes], y: np.ndarray, classes: int, *, steps: int = 80, pena
     m, v = np.zeros_like(w), np.zeros_like(w)
     mb, vb = np.zeros(classes), np.zeros(classes)
     for t in range(1, steps + 1):
-        z = np.stack([np.bincount(row, value * w[column, k], minlength=len(docs)) for k in range(classes)], 1) + b
-        gap = (softmax(z) - target) / len(docs)
-        grad = np.stack([np.bincount(column, value * gap[row, k], minlength=len(used)) for k in range(classes)], 1) + penalty / len(docs) * w
+        z = np.stack([np.bincount(row, value * w[column, k], minlength=texts) for k in range(classes)], 1) + b
+        gap = (softmax(z) - target) / texts
+        grad = np.stack([np.bincount(column, value * gap[row, k], minlength=len(used)) for k in range(classes)], 1) + penalty / texts * w
         gb = gap.sum(0)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
@@ -126,9 +177,13 @@ def fit(docs: list[bytes], y: np.ndarray, classes: int, *, steps: int = 80, pena
     return Model(weights, b, norm=norm)
 
 
-def calibrate(model: Model, docs: list[bytes], y: np.ndarray, steps: int = 60) -> Model:
+def _scored(model: Model, docs: list[bytes] | Features) -> np.ndarray:
+    return docs.scores(model) if isinstance(docs, Features) else scores(docs, model.weights, model.bias, model.norm)
+
+
+def calibrate(model: Model, docs: list[bytes] | Features, y: np.ndarray, steps: int = 60) -> Model:
     """Platt's slope and intercept for the last of two classes, by Newton steps on rows the model has not seen."""
-    z = scores(docs, model.weights, model.bias, model.norm)
+    z = _scored(model, docs)
     x = z[:, 1] - z[:, 0]
     good = y.sum()
     t = np.where(y == 1, (good + 1) / (good + 2), 1 / (len(y) - good + 2))
@@ -143,11 +198,11 @@ def calibrate(model: Model, docs: list[bytes], y: np.ndarray, steps: int = 60) -
     return Model(model.weights, model.bias, max(a, 0.05), c, model.norm)
 
 
-def tempered(model: Model, docs: list[bytes], y: np.ndarray) -> tuple[float, Model]:
+def tempered(model: Model, docs: list[bytes] | Features, y: np.ndarray) -> tuple[float, Model]:
     """The model with the slope, of a fixed grid, under which rows it has not seen are likeliest; before it their mean loss."""
     if not len(y):
         return 0.0, model
-    z = scores(docs, model.weights, model.bias, model.norm)
+    z = _scored(model, docs)
 
     def loss(slope: float) -> float:
         return -float(np.log(0.999 * softmax(slope * z)[np.arange(len(y)), y] + 0.001 / z.shape[1]).sum()) + 1e-3 * slope

@@ -19,7 +19,7 @@ SAMPLE, THRESHOLD = 2400, 0.5
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_ARROW = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in _NAMES), ("p_good", pa.float64())])
+_ARROW = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in _NAMES), ("p_good", pa.float64()), ("base_failed", pa.bool_()), ("kept", pa.bool_())])
 
 
 def base_counts(docs: list[bytes]) -> dict[str, np.ndarray]:
@@ -75,21 +75,28 @@ def _repeated(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def fit_quality(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> ngrams.Model | None:
-    """The classifier, or None if the labelled rows at hand are of one kind only."""
+    """The classifier, or None if the labelled rows at hand are of one kind only.
+
+    Repeated ids count once; what comes to the driver are hashed features of at most ``sample`` texts.
+    """
     chosen = columns(labels, doc_id=id_col, y=label_col).where("y in (0, 1) and doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
     # At most ``sample`` rows of two numbers.
-    got = columns(documents, doc_id=id_col, text=text_col).join(F.broadcast(chosen), "doc_id").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["y"], r["text"] or ""))
-    texts = [(r["text"] or "").encode() for r in got]
-    y = np.array([r["y"] for r in got], np.int64)
+    y, features = ngrams.sampled(documents, chosen.select(F.col("doc_id").cast("long"), F.col("y").cast("int")), 1.0, id_col=id_col, text_col=text_col)
     if len(set(y.tolist())) < 2:
         return None
-    turn = np.arange(len(y)) % 4 == 3
-    train, rest = np.flatnonzero(~turn), np.flatnonzero(turn)
-    if len(set(y[train].tolist())) < 2:
-        train = np.arange(len(y))
-    model = ngrams.fit([texts[i] for i in train], y[train], 2)
-    return ngrams.calibrate(model, [texts[i] for i in rest], y[rest]) if len(set(y[rest].tolist())) == 2 else model
+    rest = np.arange(len(y)) % 4 == 3
+    train = ~rest if len(set(y[~rest].tolist())) == 2 else np.ones(len(y), bool)
+    model = ngrams.fit(features.part(train), y[train], 2)
+    return ngrams.calibrate(model, features.part(rest), y[rest]) if len(set(y[rest].tolist())) == 2 else model
+
+
+def verdicts(docs: list[bytes], model: ngrams.Model | None, threshold: float = THRESHOLD) -> dict[str, np.ndarray]:
+    """The base counts of each text, p_good, base_failed and kept."""
+    out = base_counts(docs)
+    out["p_good"] = model.probabilities(docs)[:, 1] if model is not None else np.ones(len(docs))
+    out["base_failed"] = (out["n_words"] < 20) | (100 * out["n_repeat_words"] > 30 * out["n_words"])
+    out["kept"] = ~out["base_failed"] & (out["p_good"] >= threshold)
+    return out
 
 
 def score_quality(df: DataFrame, model: ngrams.Model | None, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -100,12 +107,19 @@ def score_quality(df: DataFrame, model: ngrams.Model | None, *, id_col: str = "d
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
-        model = shared.value
         for part, docs, _ in textvec.chunks(batches):
-            p = model.probabilities(docs)[:, 1] if model is not None else np.ones(len(docs))
-            yield rows(_ARROW, doc_id=part.column(0).cast(pa.int64()), **base_counts(docs), p_good=p)
+            yield rows(_ARROW, doc_id=part.column(0).cast(pa.int64()), **verdicts(docs, shared.value, threshold))
 
     kinds = ", ".join(f"{n} long" for n in _NAMES)
-    scored = columns(df, doc_id=id_col, text=text_col).mapInArrow(score, f"doc_id long, {kinds}, p_good double")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("p_good") >= threshold))
+    return columns(df, doc_id=id_col, text=text_col).mapInArrow(score, f"doc_id long, {kinds}, p_good double, base_failed boolean, kept boolean")
+
+
+def keep_good(df: DataFrame, model: ngrams.Model | None, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, that ``score_quality`` keeps; decided where they are, without an exchange."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches):
+        for part, docs, _ in textvec.chunks(batches, text_col):
+            yield part.filter(pa.array(verdicts(docs, shared.value, threshold)["kept"]))
+
+    return df.mapInArrow(keep, df.schema)

@@ -110,12 +110,12 @@ def domain_label():
     return F.when(F.col("quality") == 0, "poor").when(F.col("toxic") == 1, "toxic").when((F.col("quality") == 1) & (F.col("toxic") == 0), "clean")
 
 
-def mixed_documents(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
-    """The rates of all documents; the overall size keeps the clean domain whole."""
-    from .mixing import fit_domains, mix
+def mixed_documents(spark: SparkSession, documents: DataFrame, sf_dir: str, *, repeat: bool = False) -> DataFrame:
+    """The rates of all documents, or all documents repeated by them; the overall size keeps the clean domain whole."""
+    from .mixing import fit_domains, mix, mix_rows
 
     model = fit_domains(documents, table(spark, sf_dir, "labels"), domain_label(), DOMAINS)
-    return mix(documents, model, DOMAINS, TARGETS, tokenizer_path(), Scratch(spark, "mixing"), anchor="clean")
+    return (mix_rows if repeat else mix)(documents, model, DOMAINS, TARGETS, tokenizer_path(), Scratch(spark, "mixing"), anchor="clean")
 
 
 def op10_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
