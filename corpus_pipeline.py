@@ -2,13 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns the
 columns of ``documents`` (the last: the packed pieces). A stage's result is written as Parquet and
-read again before the next.
+read again before the next. Only near-dedup exchanges rows: the other filters decide where the rows are.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from textloom.llm import queries as q
 from textloom.llm.store import Scratch
@@ -17,40 +16,31 @@ from textloom.llm.store import Scratch
 MAIN_SHARE = 0.5
 
 
-def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """Rows of docs by the decision on their id: one row of (doc_id, copies) at most for each id, copies above 0."""
-    return docs.join(decided, "doc_id", "left_semi").select(docs.columns)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the classifier."""
-    from textloom.llm.quality import fit_quality, score_quality
+    """Documents that pass the base rules and the classifier; rows without an id, which no later stage could name, go too."""
+    from textloom.llm.quality import fit_quality, keep_good
 
-    model = fit_quality(docs, q.table(spark, sf_dir, "labels"))
-    return _kept(docs, score_quality(docs, model).where("kept"))
+    return keep_good(docs.where("doc_id is not null"), fit_quality(docs, q.table(spark, sf_dir, "labels")))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters, mainly in one language."""
-    from textloom.llm.lang_id import fit_languages, infer_languages
+    from textloom.llm.lang_id import fit_languages, keep_main
 
-    found = infer_languages(docs, fit_languages(docs))
-    return _kept(docs, found.where((F.col("lang_pred") != "und") & (F.col("score") >= MAIN_SHARE)))
+    return keep_main(docs, fit_languages(docs), MAIN_SHARE)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; repeated rows of it are one."""
     from textloom.llm.minmax_dedup import near_duplicates
 
-    found = near_duplicates(docs, Scratch(spark, "pipeline-dedup"))
-    return _kept(docs, found.where("kept")).dropDuplicates(["doc_id"])
+    found = near_duplicates(docs, Scratch(spark, "pipeline-dedup")).where("kept")
+    return docs.join(found, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their copies say: none, one or more rows."""
-    mixed = q.mixed_documents(spark, docs, sf_dir).where("copies > 0").select("doc_id", "copies")
-    repeated = docs.join(mixed, "doc_id").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(docs.columns)
+    return q.mixed_documents(spark, docs, sf_dir, repeat=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
