@@ -184,8 +184,22 @@ def test_quality_of_awkward_rows(spark):
         assert kept.columns == table.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in got if r["kept"])
         assert quality.score_quality(table.limit(0), model).count() == 0
     # Repeated rows and labels of an id count once in the fit.
-    y, features = quality.ngrams.sampled(table, spark.createDataFrame([(1, 1), (1, 1), (2, 0), (9, 1)], "doc_id long, y int"), 1.0, id_col="doc_id", text_col="text")
-    assert y.tolist() == [1, 0] and features.size == 2 and set(features.row.tolist()) == {0, 1}
+    chosen = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (9, 1)], "doc_id long, y int")
+    y, held, features = quality.ngrams.sampled(table, chosen, 2, 1.0, screen=0.0, share=0.0, id_col="doc_id", text_col="text")
+    assert y.tolist() == [1, 0] and not held.any() and features.size == 2
+
+
+def test_sampled_features_are_those_a_fit_on_the_texts_uses(spark):
+    ngrams = quality.ngrams
+    docs = q.table(spark, "/root/testdata/sf0.01", "documents")
+    chosen = q.table(spark, "/root/testdata/sf0.01", "labels").where("quality is not null").select("doc_id", F.col("quality").alias("y")).distinct()
+    y, held, features = ngrams.sampled(docs, chosen, 2, 1.0, screen=ngrams.SCREEN, id_col="doc_id", text_col="text")
+    rows = sorted((r["doc_id"], r["y"], (r["text"] or "").encode()) for r in docs.join(chosen, "doc_id").select("doc_id", "y", "text").collect())
+    assert y.tolist() == [r[1] for r in rows] and 0.1 < held.mean() < 0.4
+    plain = ngrams.fit([t for (_, _, t), h in zip(rows, held, strict=True) if not h], y[~held], 2)
+    model = ngrams.fit(features.part(~held), y[~held], 2)
+    assert (model.weights != 0).sum() > 0 and np.allclose(model.weights, plain.weights, atol=1e-5) and np.allclose(model.bias, plain.bias, atol=1e-5)
+    assert np.allclose(features.scores(model), ngrams.scores([r[2] for r in rows], plain.weights, plain.bias, 1.0), atol=1e-3)
 
 
 CONTRACTS = {

@@ -46,8 +46,7 @@ def fit_domains(documents: DataFrame, labels: DataFrame, domain, names: list[str
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(sample)
     place = F.array_position(F.array(*map(F.lit, names)), F.col("domain")) - 1
     chosen = chosen.select(F.col("doc_id").cast("long"), place.cast("int").alias("y"))
-    y, features = ngrams.sampled(documents, chosen, 0.5, id_col=id_col, text_col=text_col)
-    held = np.arange(len(y)) % 4 == 3
+    y, held, features = ngrams.sampled(documents, chosen, len(names), 0.5, screen=min(SCREENS), id_col=id_col, text_col=text_col)
     seen, unseen = features.part(~held), features.part(held)
     best = None
     for screen in SCREENS:

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from . import textvec
 from .arrow import columns
+from .store import Scratch
 from .textvec import U
 
 BITS = 18
+#: Least share of the texts that have a feature, and its least chi-square statistic.
+SHARE, SCREEN = 0.005, 15.0
 
 
 def families(docs: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -103,31 +106,69 @@ class Features:
         return np.stack([np.bincount(self.row, self.value * flat[self.column, k], minlength=self.size) for k in range(flat.shape[1])], 1) + model.bias
 
 
-def sampled(documents: DataFrame, chosen: DataFrame, norm: float, *, id_col: str, text_col: str) -> tuple[np.ndarray, Features]:
-    """Classes and features of the chosen (doc_id, y), counted where the texts are, in order of id and class.
+def sampled(documents: DataFrame, chosen: DataFrame, classes: int, norm: float, *, screen: float, share: float = SHARE, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray, Features]:
+    """Classes of the chosen (doc_id, y), which of them are held out, and their features, in order of id and class.
 
-    Of several texts of an id the one with the smallest hash counts. So no more texts than were chosen come to
-    the driver, as hashed features, at most ``3 << BITS`` of each, whatever their length.
+    Of several texts of an id the one with the smallest hash counts. About a quarter, by a hash of the id, is
+    held out, unless a class would be left without texts. Features are counted where the texts are; only
+    those that pass ``fit``'s bounds on the texts not held out come to the driver, never the texts.
     """
-
-    def count(batches):
-        for part, docs, _ in textvec.chunks(batches):
-            for i, doc in enumerate(docs):
-                own = Features.of([doc], norm)
-                yield pa.RecordBatch.from_arrays([*part.slice(i, 1).columns[:2], pa.array([own.column], pa.list_(pa.int32())), pa.array([own.value], pa.list_(pa.float32()))], names=["doc_id", "y", "feature", "value"])
-
+    scratch = Scratch(documents.sparkSession, "sample")
     rows = columns(documents, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(chosen), "doc_id")
     # Combined before the exchange, so that repeated rows never meet.
     once = rows.groupBy("doc_id", "y").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"))
-    found = once.mapInArrow(count, "doc_id long, y int, feature array<int>, value array<float>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    once = scratch.keep(once.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(4)) == 3), "texts")
+    size = {(r["y"], r["held"]): r["n"] for r in once.groupBy("y", "held").agg(F.count("*").alias("n")).collect()}
+    if not size:
+        return np.zeros(0, np.int64), np.zeros(0, bool), Features.of([], norm)
+    if any((y, False) not in size for y, _ in size):
+        once = once.withColumn("held", F.lit(False))
+        size = {(y, False): size.get((y, False), 0) + size.get((y, True), 0) for y, _ in size}
+    sizes = [size.get((k, False), 0) for k in range(classes)]
+    texts = sum(sizes)
+
+    def presence(batches):
+        n = np.zeros((classes, 3 << BITS), np.int32)
+        for part, docs, _ in textvec.chunks(batches):
+            own, y = Features.of(docs, norm), part.column(0).to_numpy()
+            for k in range(classes):
+                n[k] += np.bincount(own.column[y[own.row] == k], minlength=3 << BITS).astype(np.int32)
+        for k in range(classes):
+            at = np.flatnonzero(n[k])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.full(len(at), k), pa.int32()), pa.array(n[k][at])], names=["feature", "y", "n"])
+
+    counts = once.where("not held").select("y", "text").mapInArrow(presence, "feature int, y int, n int").groupBy("feature")
+    counts = counts.agg(*[F.sum(F.when(F.col("y") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(classes)])
+    seen, chi = sum((F.col(f"n{k}") for k in range(classes)), F.lit(0)), F.lit(0.0)
+    for k, n in enumerate(sizes):
+        expected = seen * (n / texts)
+        chi += (F.col(f"n{k}") - expected) ** 2 / (expected + 1e-9) / (1 - F.when(expected < texts, expected / texts).otherwise(0.0))
+    # A hair below the bounds, which ``fit`` applies again.
+    kept = counts.where((seen >= max(3, share * texts) - 1e-6) & (chi >= screen * (1 - 1e-6))).select("feature").collect()
+    shared = scratch.spark.sparkContext.broadcast(np.sort(np.array([r["feature"] for r in kept], np.int32)))
+
+    def count(batches):
+        wanted = np.zeros(3 << BITS, bool)
+        wanted[shared.value] = True
+        for part, docs, _ in textvec.chunks(batches):
+            own = Features.of(docs, norm)
+            # One family follows the other; here all of a text come together.
+            mine = np.flatnonzero(wanted[own.column])
+            mine = mine[np.argsort(own.row[mine], kind="stable")]
+            ends = pa.array(np.searchsorted(own.row[mine], np.arange(len(docs) + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.ListArray.from_arrays(ends, pa.array(own.column[mine])), pa.ListArray.from_arrays(ends, pa.array(own.value[mine]))], names=["doc_id", "y", "held", "feature", "value"])
+
+    found = once.select("doc_id", "y", "held", "text").mapInArrow(count, "doc_id long, y int, held boolean, feature array<int>, value array<float>").toArrow()
+    found = found.sort_by([("doc_id", "ascending"), ("y", "ascending")])
     feature, value = (found.column(k).combine_chunks() for k in ("feature", "value"))
-    if not len(found):
-        return np.zeros(0, np.int64), Features.of([], norm)
-    size = pc.list_value_length(feature).to_numpy(zero_copy_only=False)
-    return found.column("y").to_numpy().astype(np.int64), Features(np.repeat(np.arange(len(size), dtype=np.int32), size), pc.list_flatten(feature).to_numpy(zero_copy_only=False), pc.list_flatten(value).to_numpy(zero_copy_only=False), len(size))
+    length = pc.list_value_length(feature).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(length), dtype=np.int32), length)
+    features = Features(row, pc.list_flatten(feature).to_numpy(zero_copy_only=False), pc.list_flatten(value).to_numpy(zero_copy_only=False), len(length))
+    scratch.close()
+    return found.column("y").to_numpy().astype(np.int64), found.column("held").to_numpy(zero_copy_only=False).astype(bool), features
 
 
-def fit(docs: list[bytes] | Features, y: np.ndarray, classes: int, *, steps: int = 80, penalty: float = 0.1, share: float = 0.005, screen: float = 15.0, evenness: float = 0.5, norm: float = 1.0) -> Model:
+def fit(docs: list[bytes] | Features, y: np.ndarray, classes: int, *, steps: int = 80, penalty: float = 0.1, share: float = SHARE, screen: float = SCREEN, evenness: float = 0.5, norm: float = 1.0) -> Model:
     """Softmax regression by Adam on the relative frequencies of each family, for features that ``share`` of the texts have.
 
     screen: least chi-square statistic of a feature's presence by class.

@@ -81,13 +81,12 @@ def fit_quality(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_i
     """
     chosen = columns(labels, doc_id=id_col, y=label_col).where("y in (0, 1) and doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
     # At most ``sample`` rows of two numbers.
-    y, features = ngrams.sampled(documents, chosen.select(F.col("doc_id").cast("long"), F.col("y").cast("int")), 1.0, id_col=id_col, text_col=text_col)
+    chosen = chosen.select(F.col("doc_id").cast("long"), F.col("y").cast("int"))
+    y, held, features = ngrams.sampled(documents, chosen, 2, 1.0, screen=ngrams.SCREEN, id_col=id_col, text_col=text_col)
     if len(set(y.tolist())) < 2:
         return None
-    rest = np.arange(len(y)) % 4 == 3
-    train = ~rest if len(set(y[~rest].tolist())) == 2 else np.ones(len(y), bool)
-    model = ngrams.fit(features.part(train), y[train], 2)
-    return ngrams.calibrate(model, features.part(rest), y[rest]) if len(set(y[rest].tolist())) == 2 else model
+    model = ngrams.fit(features.part(~held), y[~held], 2)
+    return ngrams.calibrate(model, features.part(held), y[held]) if len(set(y[held].tolist())) == 2 else model
 
 
 def verdicts(docs: list[bytes], model: ngrams.Model | None, threshold: float = THRESHOLD) -> dict[str, np.ndarray]:
