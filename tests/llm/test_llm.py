@@ -276,6 +276,14 @@ def test_hot_copies_and_empty_texts(spark):
     assert sorted((r["component_id"] or 0, r["kept"]) for r in got if r["doc_id"] is None) == [(0, True), (50, False)]
 
 
+def test_components_of_stars_and_chains(spark):
+    from textloom.llm.components import components
+
+    edges = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1000, 1040)] + [(1040, 150), (5, 5), (7001, 7000), (7000, 7002)]
+    got = components(spark.createDataFrame(edges, "a long, b long").repartition(3), Scratch(spark, "t"), "x")
+    assert {r["node"]: r["root"] for r in got.collect()} == {**{i: 0 for i in [*range(1, 300), *range(1000, 1041)]}, 7001: 7000, 7002: 7000}
+
+
 def test_top_k(spark):
     draw = np.random.default_rng(3)
     vectors = [[float(x) for x in draw.normal(size=6)] for _ in range(300)]

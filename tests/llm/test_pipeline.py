@@ -160,6 +160,16 @@ def test_targets_out_of_reach_are_reported(spark):
         mixing.mix(table, model, ["a", "b"], {"a": 0.99, "b": 0.01}, q.tokenizer_path(), Scratch(spark, "t"), anchor="a").count()
 
 
+def test_a_rare_domain_is_not_repeated_without_end(spark):
+    p = np.concatenate([np.tile([0.99, 0.005, 0.005], (2000, 1)), np.tile([0.1, 0.9, 0.0], (200, 1)), np.tile([0.02, 0.0, 0.98], (4, 1))])
+    scored = spark.createDataFrame([(100, x.tolist()) for x in p], "n_tokens long, posterior array<double>").repartition(3)
+    with pytest.warns(UserWarning, match="would have to grow"):
+        history, total, wanted = mixing.fit_rates(scored, np.array([0.8, 0.1, 0.1]))
+    r = mixing.rates(p, history, mixing.PULL)
+    assert wanted[2] == pytest.approx(mixing.GROWTH * 100 * p[:, 2].sum()) and np.abs(total / wanted - 1).max() < 0.02
+    assert r.max() < 20 and abs(r[:2000].mean() - 1) < 0.1
+
+
 def test_rows_are_repeated_with_all_their_columns(spark):
     rows = [(i, f"good plain words {i}", i, "r") for i in range(40)] + [(None, None, 0, "r"), (3, "good plain words 3", 3, "r")]
     table = spark.createDataFrame(rows, "doc_id long, text string, copies long, rate string")

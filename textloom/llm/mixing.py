@@ -31,8 +31,8 @@ from .wordbpe import WordBpe
 
 #: Most labelled rows of the classifier's fit; passes; relative miss at which they end; pull to 1; change that is left out.
 SAMPLE, PASSES, TOLERANCE, PULL, SNAP = 2000, 40, 1e-3, 1e-4, 0.05
-#: Relative miss of a domain that is reported.
-REPORTED = 0.01
+#: Relative miss of a domain that is reported; how many times its tokens a domain may be asked for.
+REPORTED, GROWTH = 0.01, 4.0
 #: Least chi-square statistics of a feature to choose from: of 3 * 2**18 features, and with copies among
 #: the rows, hundreds reach the usual bounds by chance; few rows cannot reach high ones.
 SCREENS = (15.0, 30.0, 60.0)
@@ -84,7 +84,11 @@ def rates(p: np.ndarray, history: list[np.ndarray], pull: float) -> np.ndarray:
 
 
 def fit_rates(scored: DataFrame, targets: np.ndarray, *, anchor: int = 0, passes: int = PASSES) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The gradients of the passes, the domain totals they lead to and those wanted."""
+    """The gradients of the passes, the domain totals they lead to and those wanted.
+
+    A domain too rare for its share is wanted ``GROWTH`` times, which is warned of: to reach it, few documents
+    would be repeated without end.
+    """
     spark, k = scored.sparkSession, len(targets)
 
     def gathered(history: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,6 +122,10 @@ def fit_rates(scored: DataFrame, targets: np.ndarray, *, anchor: int = 0, passes
         return history, total, total
     at = anchor if live[anchor] else int(np.flatnonzero(live)[0])
     wanted = share * total[at] / share[at]
+    rare = live & (wanted > GROWTH * total)
+    if rare.any():
+        warnings.warn(f"domains {np.flatnonzero(rare).tolist()} would have to grow {(wanted[rare] / total[rare]).round(1).tolist()} times; {GROWTH} is aimed at", stacklevel=2)
+        wanted = np.where(rare, GROWTH * total, wanted)
     best, trail = (np.inf, history, total), []
     for _ in range(passes):
         miss = (total - wanted) / np.maximum(wanted, 1.0)
@@ -127,8 +135,9 @@ def fit_rates(scored: DataFrame, targets: np.ndarray, *, anchor: int = 0, passes
         trail.append(worst)
         if worst < TOLERANCE or len(trail) > 4 and worst > 0.98 * trail[-5]:
             break
-        ridge = 1e-3 * np.trace(curve) / k + 1e-9
-        history = [*history, 0.8 * np.linalg.solve(curve + ridge * np.eye(k), total - wanted)]
+        # By domain, so that a small one moves as fast as a large one.
+        ridge = np.diag(1e-3 * np.diag(curve) + 1e-9)
+        history = [*history, 0.8 * np.linalg.solve(curve + ridge, total - wanted)]
         total, curve = gathered(history)
     return best[1], best[2], wanted
 

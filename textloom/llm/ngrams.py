@@ -110,7 +110,7 @@ def sampled(documents: DataFrame, chosen: DataFrame, classes: int, norm: float,
     """Classes of the chosen (doc_id, y), which of them are held out, and their features, in order of id and class.
 
     Of several texts of an id the one with the smallest hash counts. About a quarter, by a hash of the id, is
-    held out, unless a class would be left without texts. Features are counted where the texts are; only
+    held out, but nothing of a class of which nothing else is left. Features are counted where the texts are; only
     those that pass ``fit``'s bounds on the texts not held out come to the driver, never the texts.
     """
     scratch = Scratch(documents.sparkSession, "sample")
@@ -121,9 +121,9 @@ def sampled(documents: DataFrame, chosen: DataFrame, classes: int, norm: float,
     size = {(r["y"], r["held"]): r["n"] for r in once.groupBy("y", "held").agg(F.count("*").alias("n")).collect()}
     if not size:
         return np.zeros(0, np.int64), np.zeros(0, bool), Features.of([], norm)
-    if any((y, False) not in size for y, _ in size):
-        once = once.withColumn("held", F.lit(False))
-        size = {(y, False): size.get((y, False), 0) + size.get((y, True), 0) for y, _ in size}
+    alone = [y for y, h in size if h and (y, False) not in size]
+    once = once.withColumn("held", F.col("held") & ~F.col("y").isin(alone))
+    size |= {(y, False): size[y, True] for y in alone}
     sizes = [size.get((k, False), 0) for k in range(classes)]
     texts = sum(sizes)
 
