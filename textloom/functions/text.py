@@ -102,6 +102,7 @@ def remove_duplicate_sentences(c: Column) -> Column:
     return F.array_join(first_of_each(F.transform(F.split(strip(c), r"(?U)(?<=[.!?])\s+", -1), strip)), " ")
 
 
+#: Fixed value: three or more copies of a phrase with commas between.
 _COMMA = re.compile(r"(.{20,200}?)(?:,\s*\1){2,}", re.IGNORECASE)
 
 

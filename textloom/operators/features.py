@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+from itertools import chain, pairwise
 from math import log, sqrt
 
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import CountVectorizer, StringIndexer
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.sources.io import exists
+
 from .metrics import summary
-from .quota import seeded
+from .quota import seeded, seeded_rank
 
 _TOKEN = r"([\p{L}\p{N}_]{2,})"
+#: Distinct terms that a task holds before it hands its counts on.
+_HELD = 1 << 20
 
 
 def terms(c: Column) -> Column:
@@ -26,21 +35,83 @@ def terms(c: Column) -> Column:
     return F.concat(w, F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>")))
 
 
-def term_counts(df: DataFrame) -> DataFrame:
-    return df.select("row_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("row_id", "term").agg(F.count("*").alias("tf"))
+_WORD = re.compile(r"\w{2,}")
+
+
+def counted(text: str) -> Counter[str]:
+    """``terms`` of one text and how often each comes."""
+    w = _WORD.findall(text.lower())
+    return Counter(chain(w, map(" ".join, pairwise(w))))
+
+
+def vocabulary(df: DataFrame, size: int = 50_000, least: int = 2) -> DataFrame:
+    """(term, df) of the ``size`` most frequent terms that ``least`` texts have; ties by term.
 
+    Tasks count their own texts, so that one exchange of a task's distinct terms is all there is.
+    """
 
-def vocabulary(counts: DataFrame, size: int = 50_000, least: int = 2) -> DataFrame:
-    """(term, df) of the ``size`` most frequent terms that ``least`` texts have; ties by term."""
-    t = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= least)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        total: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64()), pa.array([total[t] for t in seen], pa.int64())], names=["term", "df", "total"])
+            seen.clear()
+            total.clear()
+            return out
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                own = counted(text or "")
+                seen.update(own.keys())
+                total.update(own)
+                if len(seen) > _HELD:
+                    yield flush()
+        yield flush()
+
+    parts = df.select("text").mapInArrow(count, "term string, df long, total long")
+    t = parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).where(F.col("df") >= least)
     return t.orderBy(F.desc("total"), "term").limit(size).select("term", "df")
 
 
-def tfidf(df: DataFrame, counts: DataFrame, terms_: DataFrame, n: int) -> DataFrame:
-    """(row_id, term, weight) for texts counted by ``term_counts``; ``n``: texts that the vocabulary was learnt from."""
-    raw = counts.join(terms_, "term").withColumn("raw", (1 + F.ln("tf")) * (F.ln(F.lit(1.0 + n) / (1 + F.col("df"))) + 1))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("row_id")))
-    return raw.select("row_id", "term", (F.col("raw") / norm).alias("weight"))
+def tfidf(df: DataFrame, terms_: DataFrame, n: int) -> DataFrame:
+    """(row_id, term, weight) of each text's own terms; ``n``: texts that the vocabulary was learnt from.
+
+    The vocabulary, bounded by its size, goes out once; counts and norms are made in the row, without an exchange.
+    """
+    idf = {r["term"]: log((1.0 + n) / (1 + r["df"])) + 1 for r in terms_.collect()}
+    shared = df.sparkSession.sparkContext.broadcast(idf)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            ids, names, weights = [], [], []
+            for row_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = [(t, (1 + log(c)) * known[t]) for t, c in counted(text or "").items() if t in known]
+                norm = sqrt(sum(w * w for _, w in own)) or 1.0
+                ids += [row_id] * len(own)
+                names += [t for t, _ in own]
+                weights += [w / norm for _, w in own]
+                if len(ids) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(weights, pa.float64())], names=["row_id", "term", "weight"])
+                    ids, names, weights = [], [], []
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(weights, pa.float64())], names=["row_id", "term", "weight"])
+
+    return df.select("row_id", "text").mapInArrow(weigh, "row_id long, term string, weight double")
+
+
+def save_features(table: DataFrame, root: str, key: str, part: str) -> None:
+    """Keeps a prepared table under the key of what it was made from."""
+    table.write.mode("overwrite").parquet(f"{root.rstrip('/')}/tfidf-{key}-{part}.parquet")
+
+
+def load_features(spark: SparkSession, root: str, key: str, part: str, rows: int) -> DataFrame | None:
+    """The kept table, or None if there is none or it has another number of rows."""
+    path = f"{root.rstrip('/')}/tfidf-{key}-{part}.parquet"
+    if not exists(spark, path):
+        return None
+    table = spark.read.parquet(path)
+    return table if table.count() == rows else None
 
 
 def cache_key(train: DataFrame, test: DataFrame) -> str:
@@ -98,18 +169,21 @@ def index_labels(train: DataFrame, column: str = "label"):
 
 def folds(df: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
     """Adds a fold by class in seeded order."""
-    own = Window.partitionBy("label").orderBy(seeded(seed, "row_id"), "row_id")
-    return df.withColumn("fold", ((F.row_number().over(own) - 1) % k).cast("int"))
+    return seeded_rank(df, ["label"], seeded(seed, "row_id")).withColumn("fold", ((F.col("rank") - 1) % k).cast("int")).drop("rank")
+
+
+#: At which the optimisers end, as the scripts' library has it by default.
+TOLERANCE = 1e-4
 
 
 def classifier(kind: str, n: int, **params):
     """'svm', 'logreg' or 'nb', and its grid; n: training rows, by which the inverse penalty C is scaled."""
     if kind == "svm":
-        one = LinearSVC(maxIter=params.get("iterations", 50))
+        one = LinearSVC(maxIter=params.get("iterations", 50), tol=TOLERANCE)
         model = OneVsRest(classifier=one)
         return model, ParamGridBuilder().addGrid(one.regParam, [1 / (c * n) for c in (0.01, 0.1, 1, 10)]).build()
     if kind == "logreg":
-        model = LogisticRegression(family="multinomial", maxIter=params.get("iterations", 100))
+        model = LogisticRegression(family="multinomial", maxIter=params.get("iterations", 100), tol=TOLERANCE)
         return model, ParamGridBuilder().addGrid(model.regParam, [1 / (c * n) for c in (0.01, 0.1, 1, 10)]).build()
     if kind == "nb":
         model = NaiveBayes(modelType="multinomial")
@@ -124,7 +198,7 @@ def evaluate(kind: str, train: DataFrame, test: DataFrame, *, search: bool = Fal
     prepared = [transform(indexer.transform(x)).select("row_id", F.col("label").alias("name"), F.col("label_index").alias("label"), "features") for x in (train, test)]
     model, grid = classifier(kind, train.count(), **params)
     if search:
-        fitted = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=MacroF1(), foldCol="fold", numFolds=3).fit(folds(prepared[0]).persist())
+        fitted = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=MacroF1(), foldCol="fold", numFolds=3, parallelism=4).fit(folds(prepared[0]).persist())
     else:
         fitted = Pipeline(stages=[model]).fit(prepared[0])
     scored = fitted.transform(prepared[1]).select("label", "prediction")

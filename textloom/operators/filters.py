@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,7 +76,7 @@ LEAK_PATTERNS = [
     r"(?:^|\n)user\s*\n",
     r"\[[А-ЯЁ_]{4,}\]",
 ]
-#: A phrase of three or more words three times in a row.
+#: Fixed value: a phrase of three or more words three times in a row.
 STUCK = re.compile(r"(\b\w+(?:\s+\w+){2,})\s+\1\s+\1")
 
 
@@ -158,33 +159,40 @@ def similarity_threshold(attempt: Column) -> Column:
     return F.round(F.least(F.lit(0.95) + F.greatest(F.lit(0), attempt - 2) * 0.01, F.lit(0.98)), 2)
 
 
-#: Vectors of a class in one block.
+#: Vectors of a class in one block, about.
 BLOCK = 1024
 
 
 def max_similarity(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """(cand_id, similarity): the largest cosine with a vector of the same class; candidates of classes without any are left out.
 
-    Both have (id column, label, embedding). The existing vectors of a class meet the candidates as
-    blocks, one matrix product each, not as pairs of rows.
+    Both have (id column, label, embedding). Blocks of a class's candidates meet blocks of its distinct
+    existing vectors, one matrix product each, and nothing is paired row by row.
     """
-    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-    sizes = existing.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    blocks = existing.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("embedding"), F.col("blocks")))
-    blocks = blocks.groupBy("label", "block").agg(F.collect_list("embedding").alias("held"))
-
-    @F.pandas_udf("double")
-    def best(vectors: pd.Series, held: pd.Series) -> pd.Series:
-        out = np.empty(len(vectors))
-        seen: dict[int, np.ndarray] = {}
-        for i, (v, h) in enumerate(zip(vectors, held, strict=True)):
-            matrix = seen.get(id(h))
-            if matrix is None:
-                matrix = seen[id(h)] = unit(np.stack(h).astype(np.float64))
-            out[i] = (matrix @ unit(np.asarray(v, np.float64)[None])[0]).max()
-        return pd.Series(out)
-
-    met = candidates.join(blocks, "label").select("cand_id", best("embedding", "held").alias("s"))
+
+    def blocked(df: DataFrame, salt: Column, name: str) -> tuple[DataFrame, DataFrame]:
+        sizes = df.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"{name}s"))
+        return df.join(sizes, "label").withColumn(name, F.pmod(salt, F.col(f"{name}s")).cast("int")), sizes
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked, asked_sizes = blocked(candidates.select("cand_id", "label", "embedding"), F.xxhash64("cand_id"), "a")
+    held, held_sizes = blocked(existing.select("label", "embedding").distinct(), F.xxhash64("embedding"), "b")
+    asked = asked.join(held_sizes, "label").withColumn("b", every("bs")).select("label", "a", "b", "cand_id", "embedding")
+    held = held.join(asked_sizes, "label").withColumn("a", every("as")).select("label", "a", "b", "embedding")
+
+    def unit(column: pa.ChunkedArray) -> np.ndarray:
+        v = np.stack(column.to_numpy()).astype(np.float64)
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+    def best(some: pa.Table, those: pa.Table) -> pa.Table:
+        if not len(some) or not len(those):
+            return pa.table({"cand_id": some.column("cand_id").slice(0, 0), "s": pa.array([], pa.float64())})
+        return pa.table({"cand_id": some.column("cand_id"), "s": pa.array((unit(some.column("embedding")) @ unit(those.column("embedding")).T).max(1))})
+
+    # Both may come from one table; new names tell their columns apart.
+    asked, held = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (asked, held))
+    kind = candidates.schema["cand_id"].dataType.simpleString()
+    met = asked.groupBy("label", "a", "b").cogroup(held.groupBy("label", "a", "b")).applyInArrow(best, f"cand_id {kind}, s double")
     return met.groupBy("cand_id").agg(F.max("s").alias("similarity"))
 
 

@@ -256,8 +256,7 @@ def cv_folds(spark, d):
 
 def tfidf_weights(spark, d):
     docs = documents(spark, d)
-    counts = features.term_counts(docs)
-    out = features.tfidf(docs, counts, features.vocabulary(counts), docs.count())
+    out = features.tfidf(docs, features.vocabulary(docs), docs.count())
     return out.select("row_id", "term", F.round("weight", 6).alias("weight"))
 
 

@@ -46,7 +46,7 @@ def with_row_id(df: DataFrame) -> DataFrame:
     return df.withColumn("row_id", F.monotonically_increasing_id())
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
@@ -60,7 +60,7 @@ def load_stage(spark: SparkSession, root: str, stage: int) -> tuple[DataFrame, i
     if stage not in STAGES:
         raise ValueError(f"unknown stage {stage}; there are {STAGES}")
     for s in range(stage, -1, -1):
-        if _exists(spark, _stage(root, s)):
+        if exists(spark, _stage(root, s)):
             return check_columns(spark.read.parquet(_stage(root, s)), _stage(root, s)), s
     raise FileNotFoundError(f"no stage up to {stage} in {root}")
 
@@ -81,7 +81,7 @@ def save_split(df: DataFrame, root: str) -> None:
 
 def load_test(spark: SparkSession, root: str) -> DataFrame:
     path = f"{root.rstrip('/')}/test.parquet"
-    if not _exists(spark, path):
+    if not exists(spark, path):
         raise FileNotFoundError(f"no test set at {path}; split the table first")
     return check_columns(spark.read.parquet(path), path)
 
@@ -97,7 +97,7 @@ class PairCache:
 
     def read(self, pending: DataFrame) -> DataFrame:
         """Pairs whose label is still pending."""
-        if not _exists(self.spark, self.path):
+        if not exists(self.spark, self.path):
             return self.spark.createDataFrame([], PAIRS)
         return self.spark.read.schema(PAIRS).parquet(self.path).join(pending.select("label").distinct(), "label", "left_semi")
 
@@ -145,7 +145,8 @@ _configs: dict[tuple[str, str], PipelineConfig] = {}
 
 
 def load_pipeline_config(path: str | Path, gpu: str = "L4") -> PipelineConfig:
-    """The configuration with the profile of a GPU; read once for each."""
+    """The configuration with the profile of a GPU, whose name may be in lower case; read once for each."""
+    gpu = gpu.upper()
     key = (str(path), gpu)
     if key not in _configs:
         raw = json.loads(Path(path).read_text(encoding="utf-8"))
