@@ -167,3 +167,55 @@ def test_sources(spark, tmp_path):
 def test_empty_tables(spark):
     t = table(spark, [])
     assert dedup.clean_table(t, "x").count() == 0 and quota.stratified_split(t).count() == 0 and metrics.report(spark.createDataFrame([], "label string, prediction string")).count() == 0
+
+
+def test_rounds_with_pairs_and_a_cache(spark, tmp_path):
+    data = table(spark, [(i, f"one two three four {i} " + "word%d " % i * 3, "a" if i < 3 else "b") for i in range(12)])
+
+    def propose(slots, attempt):
+        return slots.select(F.xxhash64("label", "slot").alias("cand_id"), "label", F.concat_ws(" ", F.lit("new"), F.lit(attempt), "slot", "text").alias("text"), F.col("text").alias("original"))
+
+    cache = io.PairCache(spark, str(tmp_path / "pairs"))
+    cache.append(spark.createDataFrame([("a", "kept of an earlier run", "x"), ("zz", "of no needy class", "x")], io.PAIRS))
+    calls = []
+
+    def on_pairs(pairs):
+        calls.append(pairs.count())
+        cache.append(pairs)
+
+    stage = generation.Stage(target=6, least_length=5, schedule=False)
+    out = generation.augment(data, stage, propose, lambda d: d.withColumn("score", F.lit(9.0)), lambda d, n: d.persist(), on_pairs=on_pairs, cached=cache.read(data.where("label = 'a'").select("label")))
+    assert {r["label"]: r["count"] for r in out.groupBy("label").count().collect()} == {"a": 6, "b": 9}
+    assert "kept of an earlier run" in {r["text"] for r in out.collect()} and "of no needy class" not in {r["text"] for r in out.collect()}
+    assert calls == [2] and cache.read(data.select("label")).count() == 3
+
+
+def test_ranks_equal_one_window(spark):
+    from pyspark.sql import Window
+
+    t = table(spark, [(i, "t", "hot" if i % 10 else f"c{i}") for i in range(5000)])
+    got = quota.seeded_rank(t, ["label"], quota.seeded(42, "row_id"))
+    plain = t.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(quota.seeded(42, "row_id"), "row_id")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_features_of_the_same_terms(spark):
+    texts = ["Кот и пес, кот", "", None, "a bb_1 bb_1 ß ½ ²", "İstanbul ǅ ΑΣ"]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string")
+    for r in df.withColumn("t", features.terms(F.col("text"))).collect():
+        assert sorted(features.counted(r["text"] or "").elements()) == sorted(r["t"] or [])
+
+
+def test_small_operators(spark, tmp_path):
+    assert generation.generate_text(lambda: generation.EchoGenerator(), "a b") in ("a b", "b a") and generation.generate_text(lambda: generation.EchoGenerator(), " ") is None
+    (tmp_path / "c.json").write_text('{"gpu_profiles": {"L4": {"x": 1}}, "pipeline": {}}')
+    assert io.load_pipeline_config(tmp_path / "c.json", "l4").gpu == {"x": 1}
+    with pytest.raises(ValueError):
+        io.load_pipeline_config(tmp_path / "c.json", "none")
+    (tmp_path / "m.json").write_text('{"model_name": "m"}')
+    with pytest.raises(KeyError):
+        io.load_model_config(tmp_path / "m.json")
+    (tmp_path / "p.txt").write_text(" hi \n")
+    assert io.load_prompt_template("p", tmp_path) == "hi"
+    with pytest.raises(FileNotFoundError):
+        io.load_prompt(tmp_path / "none.txt")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -94,9 +94,46 @@ def judge(df: DataFrame, make: Callable[[], TextGenerator], prompt: str = "promp
     return answered.withColumn("score", T.parse_score(F.coalesce("__answer", F.lit("")))).withColumn("parse_ok", ok).drop("__answer")
 
 
+#: How a judge is asked: sure of itself and brief.
+JUDGE_SAMPLING = {"temperature": 0.1, "top_p": 0.9, "max_tokens": 8}
+
+
+def generate_text(make: Callable[[], TextGenerator], prompt: str) -> str | None:
+    """The answer to one prompt, on the driver; None if there is none."""
+    (answer,) = make().generate([prompt])
+    return answer.strip() or None if answer else None
+
+
+def class_context(examples: DataFrame, make: Callable[[], TextGenerator], template: Column, fallback: str = "Письма этого класса похожи на примеры.") -> DataFrame:
+    """(label, context) for (label, examples): the first paragraph of the answer to the template, or the fixed sentence.
+
+    ``template`` names the fields {class_name} and {examples}. A class whose prompt fails has the fallback.
+    """
+    prompt = T.fill_template(template, {"class_name": F.col("label"), "examples": F.col("examples")})
+    answered = run_generator(examples.select("label", prompt.alias("prompt")), make)
+    first = T.first_paragraph(F.col("answer"))
+    return answered.select("label", F.coalesce(F.when(first != "", first), F.lit(fallback)).alias("context"))
+
+
+def judge_examples(df: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
+    """(label, examples): one draw of up to k texts of a class, shared by all candidates that are judged."""
+    return quota.examples(df, k, seed=seed)
+
+
+def score_texts(candidates: DataFrame, examples: DataFrame, context: DataFrame, make: Callable[[], TextGenerator], template: Column) -> DataFrame:
+    """Candidates (cand_id, label, text) with score and parse_ok, best first in each class, ties by cand_id.
+
+    ``template`` names the fields {class_name}, {context}, {examples} and {text}; a class without examples or context has empty ones.
+    """
+    known = candidates.join(examples.select("label", "examples"), "label", "left").join(context.select("label", "context"), "label", "left")
+    fields = {"class_name": F.col("label"), "context": F.coalesce("context", F.lit("")), "examples": F.coalesce("examples", F.lit("")), "text": F.col("text")}
+    scored = judge(known.withColumn("prompt", T.fill_template(template, fields)), make)
+    return scored.select(*candidates.columns, "score", "parse_ok").orderBy("label", F.desc("score"), "cand_id")
+
+
 @dataclass(frozen=True)
 class Stage:
-    """Classes with low <= n < high grow to target."""
+    """Classes with low <= n < high grow to target. ``schedule``: whether the bound on similarity rises by attempt."""
 
     target: int
     low: int = 0
@@ -105,6 +142,7 @@ class Stage:
     rounds: int = 5
     least_score: float = 5.0
     least_length: int = 500
+    schedule: bool = True
 
 
 def augment(
@@ -114,16 +152,23 @@ def augment(
     score: Callable[[DataFrame], DataFrame],
     keep: Callable[[DataFrame, str], DataFrame],
     embed: Callable[[DataFrame], DataFrame] | None = None,
+    on_pairs: Callable[[DataFrame], None] | None = None,
+    cached: DataFrame | None = None,
     **checks,
 ) -> DataFrame:
     """Rounds for all needy classes at once, until quotas are met or rounds run out; returns data and the new rows.
 
-    propose(slots, attempt): candidates (cand_id, label, text) for slots (label, slot, row_id, text);
+    propose(slots, attempt): candidates (cand_id, label, text), with ``original`` where they come in pairs, for
+    slots (label, slot, row_id, text); on_pairs: gets the pairs (label, translated, original) of each round, to be
+    cached; cached: such pairs of an interrupted run, which count as accepted;
     score: adds a score; keep(table, name): writes a round's table and reads it back, which cuts the
     lineage. The driver holds only whether any class still needs rows.
     """
     needs = keep(quota.need(data, stage.low, stage.high or stage.target, stage.target), "needs")
     accepted = None
+    if cached is not None:
+        held = cached.join(needs.select("label"), "label", "left_semi").select("label", F.col("translated").alias("text"), F.concat(F.lit("0-"), F.sha2("translated", 256)).alias("made"))
+        accepted = keep(held.dropDuplicates(["label", "made"]), "accepted-0")
     for attempt in range(1, stage.rounds + 1):
         open_ = needs if accepted is None else needs.join(accepted.groupBy("label").agg(F.count("*").alias("got")), "label", "left").withColumn("need", F.col("need") - F.coalesce("got", F.lit(0))).drop("got")
         open_ = keep(open_.where("need > 0"), f"open-{attempt}")
@@ -132,9 +177,14 @@ def augment(
         wanted = open_.withColumn("need", F.col("need") * stage.oversample + 1)
         slots = quota.round_robin(data, wanted, seed=42 + attempt).join(data.select("row_id", "text"), "row_id")
         existing = data if accepted is None else data.select("label", "text").unionByName(accepted.select("label", "text"))
-        threshold = min(0.95 + max(0, attempt - 2) * 0.01, 0.98)
-        good = filters.validate(propose(slots, attempt), existing, least=stage.least_length, embed=embed, high=threshold, **checks)
-        best = filters.select_scored(score(good), open_, stage.least_score).select("label", "text", F.concat_ws("-", F.lit(str(attempt)), F.col("cand_id").cast("string")).alias("made"))
+        threshold = min(0.95 + max(0, attempt - 2) * 0.01, 0.98) if stage.schedule else 0.95
+        proposed = propose(slots, attempt)
+        good = filters.validate(proposed, existing, least=stage.least_length, embed=embed, high=threshold, **checks)
+        best = filters.select_scored(score(good), open_, stage.least_score)
+        if on_pairs is not None:
+            best = keep(best, f"pairs-{attempt}")
+            on_pairs(best.select("label", F.col("text").alias("translated"), "original"))
+        best = best.select("label", "text", F.concat_ws("-", F.lit(str(attempt)), F.col("cand_id").cast("string")).alias("made"))
         best = best if accepted is None else accepted.unionByName(best)
         accepted = keep(best, f"accepted-{attempt}")
     if accepted is None:

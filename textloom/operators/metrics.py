@@ -37,3 +37,8 @@ def delta(results: DataFrame, base: str = "baseline", other: str = "augmented")
     a = long.where(F.col("stage") == other).select("model", "metric", F.col("value").alias("a"))
     b = long.where(F.col("stage") == base).select("model", "metric", F.col("value").alias("b"))
     return a.join(b, ["model", "metric"]).select("model", "metric", F.round(F.col("a") - F.col("b"), 4).alias("delta"))
+
+
+def results_pivot(results: DataFrame, metric: str = "macro_f1") -> DataFrame:
+    """(model, baseline, augmented) of a metric, as a chart shows them; a stage that was not run is null."""
+    return results.groupBy("model").pivot("stage", ["baseline", "augmented"]).agg(F.first(metric))

@@ -25,6 +25,13 @@ def _first_of_each(items: str, joined: str) -> str:
 SELECT row_id, array_to_string(list_filter(l, lambda x, i: k[i] <> '' AND list_position(k, k[i]) = i), {joined}) AS text FROM k"""
 
 
+_ODD = """SELECT doc_id AS row_id, source AS label, CASE doc_id % 6
+  WHEN 0 THEN text || ' дело-1, дело-2, дело-3 дело-4, дело-5, дело-66 конец'
+  WHEN 1 THEN repeat(text, 3) || ' Публичная оферта ' || text
+  WHEN 2 THEN replace(text, ' ', ' ' || chr(9) || ' ') || chr(10) || ' ' || chr(10) || chr(10) || text
+  WHEN 3 THEN text || ' 漢字 かな'
+  WHEN 4 THEN ' ' || chr(10) || chr(9) || ' '
+  ELSE 'Конечно, вот письмо работа работа РАБОТА. [НАЗВАНИЕ_КО] ' || text END AS text FROM documents"""
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 _ANOMALY = f"NOT (len(list_distinct({_WORDS})) < 50 AND len({_WORDS}) > 200)"
 _SPLIT = """SELECT row_id, label, CASE WHEN n > 1 AND r <= greatest(1, CAST(floor(n * 0.2) AS BIGINT)) THEN 'test' ELSE 'train' END AS part
@@ -79,13 +86,13 @@ SELECT label, count(*) AS n FROM d WHERE {_ANOMALY} AND {_strip('text')} <> '' G
     "cycling_numbered_lines": rf"""WITH b AS (SELECT doc_id AS row_id, text, list_transform(string_split(text, chr(10)), lambda x: regexp_replace({_strip('x')}, '^\d+\.\s*', '')) AS l FROM documents),
 o AS (SELECT row_id, text, l, list_filter(l, lambda x, i: list_position(l, x) = i) AS u FROM b)
 SELECT row_id, CASE WHEN len(u) * 2 < len(l) THEN array_to_string(u, chr(10)) ELSE text END AS text FROM o""",
-    "incremental_list": rf"SELECT doc_id AS row_id, regexp_replace(text, '({_TOKEN})(?:[,\s]+{_TOKEN}){{3,}}[,\s]+({_TOKEN})', '\1 ... \2', 'g') AS text FROM documents",
-    "trim_attached": f"SELECT doc_id AS row_id, CASE WHEN length(text) > 4000 AND regexp_matches(text, {_TRIGGERS}) THEN {_strip(f'substr(text, 1, instr(text, regexp_extract(text, {_TRIGGERS})) - 1)')} ELSE text END AS text FROM documents",
-    "normalize_ws": rf"SELECT doc_id AS row_id, {_strip(f"regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{_S}*\n+', chr(10) || chr(10), 'g')")} AS text FROM documents",
+    "incremental_list": rf"SELECT row_id, regexp_replace(text, '({_TOKEN})(?:[,\s]+{_TOKEN}){{3,}}[,\s]+({_TOKEN})', '\1 ... \2', 'g') AS text FROM ({_ODD})",
+    "trim_attached": f"SELECT row_id, CASE WHEN length(text) > 4000 AND regexp_matches(text, {_TRIGGERS}) THEN {_strip(f'substr(text, 1, instr(text, regexp_extract(text, {_TRIGGERS})) - 1)')} ELSE text END AS text FROM ({_ODD})",
+    "normalize_ws": rf"SELECT row_id, {_strip(f"regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{_S}*\n+', chr(10) || chr(10), 'g')")} AS text FROM ({_ODD})",
     "exact_dedup": "SELECT min(doc_id) AS row_id FROM documents GROUP BY text, source",
     "cross_label_dedup": "SELECT doc_id AS row_id FROM (SELECT *, count(*) OVER (PARTITION BY text) AS n FROM documents) WHERE NOT (n > 1 AND source = 'src0')",
     "anomalous_texts": f"SELECT doc_id AS row_id FROM documents WHERE {_ANOMALY}",
-    "empty_filter": f"SELECT doc_id AS row_id FROM documents WHERE {_strip('text')} <> ''",
+    "empty_filter": f"SELECT row_id FROM ({_ODD}) WHERE {_strip('text')} <> ''",
     "class_distribution": "SELECT lang AS label, count(*) AS n FROM documents GROUP BY lang",
     "classes_to_augment": "SELECT lang AS label, count(*) AS n FROM documents GROUP BY lang HAVING count(*) < 150",
     "need_per_class": "SELECT lang AS label, count(*) AS n, 200 - count(*) AS need, count_if(length(text) >= 1000) AS n_original FROM documents GROUP BY lang HAVING count(*) < 200",
@@ -98,8 +105,8 @@ SELECT row_id, CASE WHEN len(u) * 2 < len(l) THEN array_to_string(u, chr(10)) EL
     "short_filter": f"SELECT doc_id AS row_id FROM documents WHERE length({_strip('text')}) >= 500",
     "language_filter": "SELECT doc_id AS row_id FROM documents WHERE NOT regexp_matches(lower(text), '[éèêçàùäöüßñóíá]')",
     "degenerate_ratio": f"SELECT doc_id AS row_id FROM documents WHERE len({_RATIO}) < 3 OR len(list_distinct({_RATIO})) / len({_RATIO}) >= 0.2",
-    "foreign_scripts": rf"SELECT doc_id AS row_id FROM documents WHERE NOT regexp_matches(text, '{T.FOREIGN}')",
-    "prompt_leak": f"SELECT doc_id AS row_id FROM documents WHERE NOT ({_LEAK})",
+    "foreign_scripts": rf"SELECT row_id FROM ({_ODD}) WHERE NOT regexp_matches(text, '{T.FOREIGN}')",
+    "prompt_leak": f"SELECT row_id FROM ({_ODD}) WHERE NOT ({_LEAK})",
     "cosine_filter": """SELECT cand_id, round(s, 6) AS similarity FROM (
   SELECT a.vec_id AS cand_id, max(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS s
   FROM embeddings a LEFT JOIN embeddings b ON a.label = b.label AND b.vec_id % 5 <> 0 WHERE a.vec_id % 5 = 0 GROUP BY a.vec_id) WHERE s IS NULL OR (s >= 0.2 AND s < 0.35)""",
@@ -128,6 +135,27 @@ SELECT row_id, array_to_string(list_transform(p, lambda x, i: CASE WHEN i = 3 TH
   UNION ALL SELECT 'macro_f1', a.macro_f1, b.macro_f1 FROM ({_SUMMARY.format(_report(_FIXED))}) a, ({_SUMMARY.format(_report(_PRED))}) b)""",
     "label_index": "SELECT doc_id AS row_id, CAST(dense_rank() OVER (ORDER BY source) - 1 AS INTEGER) AS label_index FROM documents",
     "cv_folds": "SELECT doc_id AS row_id, CAST((row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) - 1) % 3 AS INTEGER) AS fold FROM documents",
+    "repeated_words": rf"""WITH p AS (SELECT row_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') AS w, regexp_split_to_array(text, '[\p{{L}}\p{{N}}_]+') AS g FROM ({_ODD}))
+SELECT row_id, array_to_string(list_transform(g, lambda x, i: CASE WHEN i > 1 AND i <= len(w) AND lower(w[i]) = lower(w[i - 1]) AND regexp_full_match(x, '{_S}+') THEN '' ELSE x || coalesce(w[i], '') END), '') AS text FROM p""",
+    "classes_ascending": "SELECT lang AS label, count(*) AS n FROM documents GROUP BY lang",
+    "generate_batch": "SELECT doc_id AS row_id, CASE WHEN length(text) % 7 = 0 OR length(text) % 5 = 0 OR trim(reverse(text)) = '' THEN NULL ELSE reverse(text) END AS answer FROM documents",
+    "class_context": f"""WITH p AS (SELECT source AS label, source || ': ' || max(text) AS p FROM documents GROUP BY source),
+a AS (SELECT label, CASE WHEN length(p) % 7 = 0 OR length(p) % 5 = 0 THEN NULL ELSE {_strip("string_split(reverse(p), chr(10) || chr(10))[1]")} END AS a FROM p)
+SELECT label, coalesce(nullif(a, ''), 'none') AS context FROM a""",
+    "judge_examples": "SELECT lang AS label, string_agg(text, chr(10) || '---' || chr(10) ORDER BY r) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS r FROM documents) WHERE r <= 5 GROUP BY lang",
+    "score_texts": """WITH e AS (SELECT lang, string_agg(text, chr(10) || '---' || chr(10) ORDER BY r) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS r FROM documents) WHERE r <= 3 GROUP BY lang),
+s AS (SELECT doc_id, lang, (length(lang) + length(CASE WHEN lang = 'en' THEN '' ELSE 'ctx' END) + length(examples) + length(text) + 3) % 12 AS n FROM documents JOIN e USING (lang))
+SELECT doc_id AS cand_id, lang AS label, CASE WHEN n BETWEEN 1 AND 10 THEN CAST(n AS DOUBLE) ELSE 10.0 END AS score, true AS parse_ok FROM s""",
+    "back_translate": f"SELECT row_id, {_strip("text || '~en~ru'")} AS back_translated FROM ({_HELD})",
+    "results_pivot": "SELECT lang AS model, count(*) AS baseline, CASE WHEN lang <> 'fr' THEN count_if(length(text) > 1000) END AS augmented FROM documents GROUP BY lang",
+    "raw_json": "SELECT text, source AS label FROM documents",
+    "csv_round_trip": "SELECT text, source AS label FROM documents",
+    "stage_fallback": f"""WITH s AS (SELECT d.source AS label, d.text, p.part FROM documents d JOIN ({_SPLIT}) p ON p.row_id = d.doc_id)
+SELECT label, 'asked 3' AS asked, 1 AS stage, count(*) AS n, CAST(sum(length(text || '!')) AS BIGINT) AS chars FROM s WHERE part = 'train' GROUP BY label
+UNION ALL SELECT label, 'asked 0', 0, count(*), CAST(sum(length(text)) AS BIGINT) FROM s WHERE part = 'train' GROUP BY label
+UNION ALL SELECT label, 'test', 0, count(*), CAST(sum(length(text)) AS BIGINT) FROM s WHERE part = 'test' GROUP BY label""",
+    "pair_cache": "SELECT lang AS label, reverse(text) AS translated, text AS original FROM documents WHERE lang IN (SELECT lang FROM documents GROUP BY lang HAVING count(*) < 150)",
+    "feature_cache": "SELECT doc_id AS row_id, CAST(length(text) AS INTEGER) AS n FROM documents",
     "tfidf_weights": r"""WITH w AS (SELECT doc_id AS row_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM documents),
 t AS (SELECT row_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
 c AS (SELECT row_id, term, count(*) AS tf FROM t GROUP BY row_id, term),

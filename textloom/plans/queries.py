@@ -5,6 +5,9 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import dedup, features, filters, generation, metrics, quota
+from textloom.sources import io
 
 DROPPED = "src0"
 
@@ -24,6 +28,24 @@ def _scalar(rule: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: documents(spark, d).select("row_id", rule(F.col("text")).alias("text"))
 
 
+def _odd(spark: SparkSession, d: str, label: str = "source") -> DataFrame:
+    """Every document with something of its own that the rules are about, by its id: lists, attachments, blanks, other scripts."""
+    text, n = F.col("text"), F.col("row_id") % 6
+    own = (
+        F.when(n == 0, F.concat(text, F.lit(" дело-1, дело-2, дело-3 дело-4, дело-5, дело-66 конец")))
+        .when(n == 1, F.concat(F.repeat(text, F.lit(3)), F.lit(" Публичная оферта "), text))
+        .when(n == 2, F.concat(F.replace(text, F.lit(" "), F.lit(" \t ")), F.lit("\n \n\n"), text))
+        .when(n == 3, F.concat(text, F.lit(" 漢字 かな")))
+        .when(n == 4, F.lit(" \n\t "))
+        .otherwise(F.concat(F.lit("Конечно, вот письмо работа работа РАБОТА. [НАЗВАНИЕ_КО] "), text))
+    )
+    return documents(spark, d, label).withColumn("text", own)
+
+
+def _odd_scalar(rule: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: _odd(spark, d).select("row_id", rule(F.col("text")).alias("text"))
+
+
 def _candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Existing rows: English documents; candidates: all documents, as a generator would hand them in."""
     all_ = spark.read.parquet(f"{d}/documents.parquet")
@@ -56,7 +78,7 @@ def anomalous_texts(spark, d):
 
 
 def empty_filter(spark, d):
-    return dedup.remove_empty(documents(spark, d)).select("row_id")
+    return dedup.remove_empty(_odd(spark, d)).select("row_id")
 
 
 def class_distribution(spark, d):
@@ -115,11 +137,11 @@ def degenerate_phrase(spark, d):
 
 
 def foreign_scripts(spark, d):
-    return documents(spark, d).where(filters.no_foreign_script(F.col("text"))).select("row_id")
+    return _odd(spark, d).where(filters.no_foreign_script(F.col("text"))).select("row_id")
 
 
 def prompt_leak(spark, d):
-    return documents(spark, d).where(filters.no_prompt_leak(F.col("text"))).select("row_id")
+    return _odd(spark, d).where(filters.no_prompt_leak(F.col("text"))).select("row_id")
 
 
 def cosine_filter(spark, d):
@@ -260,6 +282,123 @@ def tfidf_weights(spark, d):
     return out.select("row_id", "term", F.round("weight", 6).alias("weight"))
 
 
+class Reverse:
+    """A stand-in for a model: the prompt backwards. It fails on prompts of a multiple of 7 characters and has no answer to those of 5."""
+
+    def generate(self, prompts: list[str]) -> list[str | None]:
+        if any(len(p) % 7 == 0 for p in prompts):
+            raise RuntimeError("a prompt that fails")
+        return [None if len(p) % 5 == 0 else p[::-1] for p in prompts]
+
+
+class Length:
+    """A judge's stand-in: the prompt's length, to the base of 12, out of ten."""
+
+    def generate(self, prompts: list[str]) -> list[str | None]:
+        return [f"Оценка {len(p) % 12}/10" for p in prompts]
+
+
+class Shift:
+    """A translator's stand-in: a mark for each direction."""
+
+    def translate(self, texts: list[str], source: str, target: str) -> list[str]:
+        return [f"{t}~{target}" for t in texts]
+
+
+def classes_ascending(spark, d):
+    return quota.by_count(documents(spark, d, "lang"))
+
+
+def generate_batch(spark, d):
+    return generation.run_generator(documents(spark, d).select("row_id", F.col("text").alias("prompt")), Reverse).select("row_id", "answer")
+
+
+def class_context(spark, d):
+    shown = documents(spark, d).groupBy("label").agg(F.max("text").alias("examples"))
+    return generation.class_context(shown, Reverse, F.lit("{class_name}: {examples}"), "none")
+
+
+def judge_examples(spark, d):
+    return generation.judge_examples(documents(spark, d, "lang"), 5)
+
+
+def score_texts(spark, d):
+    docs = documents(spark, d, "lang")
+    context = docs.groupBy("label").agg(F.lit("ctx").alias("context")).where("label <> 'en'")
+    candidates = docs.select(F.col("row_id").alias("cand_id"), "label", "text")
+    return generation.score_texts(candidates, generation.judge_examples(docs, 3), context, Length, F.lit("{class_name} {context} {examples} {text}")).drop("text")
+
+
+def back_translate(spark, d):
+    return generation.back_translate(_placeheld(spark, d), Shift).select("row_id", "back_translated")
+
+
+def results_pivot(spark, d):
+    rows = documents(spark, d, "lang").groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.length("text") > 1000).alias("k"))
+    both = [rows.select(F.lit(s).alias("stage"), F.col("label").alias("model"), F.col(c).alias("macro_f1")) for s, c in (("baseline", "n"), ("augmented", "k"))]
+    return metrics.results_pivot(both[0].unionByName(both[1].where("model <> 'fr'")))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder where driver and executors both see it, deleted when the process ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    path = f"{root.rstrip('/')}/textloom-queries/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the session may have ended first; the folder is then left
+        return
+
+
+def raw_json(spark, d):
+    """Documents written as JSON arrays of objects, read as the raw input is."""
+    path = _folder(spark, "json")
+    rows = documents(spark, d).select(F.struct("text", "label", F.col("row_id").alias("idx")).alias("row"), F.pmod(F.xxhash64("row_id"), F.lit(16)).alias("part"))
+    # One array is one file, as a reader of whole files needs it.
+    rows.groupBy("part").agg(F.to_json(F.collect_list("row")).alias("value")).write.partitionBy("part").text(path)
+    return io.read_raw_json(spark, path).select("text", "label")
+
+
+def csv_round_trip(spark, d):
+    path = _folder(spark, "csv")
+    io.write_csv(documents(spark, d).select("label", "row_id", "text"), path)
+    return io.read_csv(spark, path)
+
+
+def stage_fallback(spark, d):
+    """Stage 1 is written; stages 3 and 0 are asked for, and the test set."""
+    root, split = _folder(spark, "stages"), quota.stratified_split(documents(spark, d))
+    io.save_split(split, root)
+    io.save_stage(split.where("part = 'train'").withColumn("text", F.concat("text", F.lit("!"))), root, 1)
+    found = [(f"asked {n}", *io.load_stage(spark, root, n)) for n in (3, 0)] + [("test", io.load_test(spark, root), 0)]
+    parts = [t.groupBy("label").agg(F.lit(asked).alias("asked"), F.lit(s).alias("stage"), F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")) for asked, t, s in found]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def pair_cache(spark, d):
+    """Pairs appended twice, read for the classes that are pending, and gone once retired."""
+    cache, docs = io.PairCache(spark, _folder(spark, "pairs")), documents(spark, d, "lang")
+    pairs = docs.select("label", F.reverse("text").alias("translated"), F.col("text").alias("original"))
+    cache.append(pairs.where("label <> 'en'"))
+    cache.append(pairs.where("label = 'en'"))
+    return cache.read(quota.classes_to_augment(docs, 0, 150))
+
+
+def feature_cache(spark, d):
+    """Weights kept under the key of their tables and found again."""
+    docs, root = documents(spark, d), _folder(spark, "features")
+    key = features.cache_key(docs, docs)
+    features.save_features(docs.select("row_id", F.length("text").alias("n")), root, key, "train")
+    found = features.load_features(spark, root, key, "train", docs.count())
+    assert found is not None and features.load_features(spark, root, key, "train", 1) is None and features.load_features(spark, root, key, "test", 1) is None
+    return found
+
+
 def _labelled(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("row_id"), "text", F.col("lang").alias("label"))
     return quota.stratified_split(docs)
@@ -280,15 +419,11 @@ def _model(kind):
 def _augmented(stage):
     def run(spark, d):
         data = documents(spark, d, "lang")
-        written: dict[str, DataFrame] = {}
+        folder = _folder(spark, f"augment-{stage}")
 
         def keep(table: DataFrame, name: str) -> DataFrame:
-            folder = spark.conf.get("spark.checkpoint.dir", None)
-            if folder is None:
-                return written.setdefault(name, table.persist())
-            path = f"{folder.rstrip('/')}/textloom/augment-{stage}-{spark.sparkContext.applicationId}-{abs(hash(d))}/{name}"
-            table.write.mode("overwrite").parquet(path)
-            return spark.read.schema(table.schema).parquet(path)
+            table.write.mode("overwrite").parquet(f"{folder}/{name}")
+            return spark.read.schema(table.schema).parquet(f"{folder}/{name}")
 
         def propose(slots: DataFrame, attempt: int) -> DataFrame:
             if stage == 3:
@@ -301,7 +436,7 @@ def _augmented(stage):
             return good.withColumn("score", (F.length("text") % 10 + 1).cast("double"))
 
         n = data.count()
-        plan = {1: generation.Stage(target=n // 8, rounds=2), 2: generation.Stage(target=n // 7, rounds=2, oversample=3), 3: generation.Stage(target=n // 6, rounds=2, oversample=3, least_score=2.5)}[stage]
+        plan = {1: generation.Stage(target=n // 8), 2: generation.Stage(target=n // 7, oversample=3), 3: generation.Stage(target=n // 6, rounds=20, oversample=3, least_score=2.5, schedule=False)}[stage]
         out = generation.augment(data, plan, propose, score, keep)
         return out.groupBy("label").agg(F.count("*").alias("n"))
 
@@ -310,18 +445,18 @@ def _augmented(stage):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flagship": flagship,
-    "repeated_words": _scalar(T.remove_repeated_words),
+    "repeated_words": _odd_scalar(T.remove_repeated_words),
     "repeated_sequences": _scalar(T.remove_repeated_sequences),
     "remove_duplicate_lines": _scalar(T.remove_duplicate_lines),
     "remove_duplicate_sentences": _scalar(T.remove_duplicate_sentences),
     "comma_phrases": _scalar(T.remove_repeated_comma_phrases),
     "cycling_numbered_lines": _scalar(T.remove_cycling_numbered_lines),
-    "incremental_list": _scalar(T.remove_incremental_list),
-    "trim_attached": _scalar(T.trim_attached_documents),
-    "normalize_ws": _scalar(T.normalize_whitespace),
+    "incremental_list": _odd_scalar(T.remove_incremental_list),
+    "trim_attached": _odd_scalar(T.trim_attached_documents),
+    "normalize_ws": _odd_scalar(T.normalize_whitespace),
     "clean_chain": clean_pipeline,
 }
-for _f in (exact_dedup, cross_label_dedup, anomalous_texts, empty_filter, class_distribution, classes_to_augment, need_per_class, stratified_split, train_test_counts, threshold_counts, report_markers, prompt_examples, dedup_vs_existing, short_filter, language_filter, degenerate_ratio, degenerate_phrase, foreign_scripts, prompt_leak, cosine_filter, validation_chain, similarity_schedule, parse_score, judge_topk, judge_topk_pairs, mean_scores, round_robin_sources, round_robin_reshuffled, mask_placeholders, unmask_placeholders, first_paragraph, fill_prompt, pair_semi_join, pair_restore_by_text, union_stages, confusion, class_report, balanced_accuracy, macro_f1, delta_table, label_index, cv_folds, tfidf_weights):
+for _f in (exact_dedup, cross_label_dedup, anomalous_texts, empty_filter, class_distribution, classes_to_augment, need_per_class, stratified_split, train_test_counts, threshold_counts, report_markers, prompt_examples, dedup_vs_existing, short_filter, language_filter, degenerate_ratio, degenerate_phrase, foreign_scripts, prompt_leak, cosine_filter, validation_chain, similarity_schedule, parse_score, judge_topk, judge_topk_pairs, mean_scores, round_robin_sources, round_robin_reshuffled, mask_placeholders, unmask_placeholders, first_paragraph, fill_prompt, pair_semi_join, pair_restore_by_text, union_stages, confusion, class_report, balanced_accuracy, macro_f1, delta_table, label_index, cv_folds, tfidf_weights, classes_ascending, generate_batch, class_context, judge_examples, score_texts, back_translate, results_pivot, raw_json, csv_round_trip, stage_fallback, pair_cache, feature_cache):
     QUERIES[_f.__name__] = _f
 for _k in ("svm", "logreg", "nb"):
     QUERIES[_k] = _model(_k)
