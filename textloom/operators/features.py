@@ -174,6 +174,8 @@ def folds(df: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
 
 #: At which the optimisers end, as the scripts' library has it by default.
 TOLERANCE = 1e-4
+#: Rows of a task of the optimisers, about.
+_ROWS = 2000
 
 
 def classifier(kind: str, n: int, **params):
@@ -196,9 +198,12 @@ def evaluate(kind: str, train: DataFrame, test: DataFrame, *, search: bool = Fal
     indexer = index_labels(train)
     transform = vectorizer(size)(train)
     prepared = [transform(indexer.transform(x)).select("row_id", F.col("label").alias("name"), F.col("label_index").alias("label"), "features") for x in (train, test)]
-    model, grid = classifier(kind, train.count(), **params)
+    n = train.count()
+    model, grid = classifier(kind, n, **params)
+    # Optimisers pass over the rows many times: few tasks for few rows, and vectors made once.
+    prepared[0] = prepared[0].repartition(max(1, n // _ROWS)).persist()
     if search:
-        fitted = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=MacroF1(), foldCol="fold", numFolds=3, parallelism=4).fit(folds(prepared[0]).persist())
+        fitted = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=MacroF1(), foldCol="fold", numFolds=3, parallelism=4).fit(folds(prepared[0]).repartition(max(1, n // _ROWS)).persist())
     else:
         fitted = Pipeline(stages=[model]).fit(prepared[0])
     scored = fitted.transform(prepared[1]).select("label", "prediction")
