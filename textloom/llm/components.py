@@ -25,10 +25,12 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         both = held.unionByName(held.select(F.col("u").alias("v"), F.col("v").alias("u")))
         often = max(64, state[0] // HOT)
         least = both.groupBy("v").agg(F.count("*").alias("n"), F.least("v", F.min("u")).alias("m"))
-        large = _met(both.where("u > v"), least, often).select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        # Written between the stars: in one plan with the second, every branch of it would hold the first again.
+        large = scratch.keep(_met(both.where("u > v"), least, often).select(F.col("u").alias("v"), F.col("m").alias("u")).distinct(), f"{name}-{turn}-large")
         down = large.groupBy("v").agg(F.count("*").alias("n"), F.min("u").alias("m"))
         small = _met(large, down, often).where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
         now = scratch.keep(small.unionByName(down.select("v", F.col("m").alias("u"))).distinct(), f"{name}-{turn}")
+        scratch.drop(f"{name}-{turn}-large")
         scratch.drop(f"{name}-{turn - 1}")
         held, before, state = now, state, _state(now)
         if state == before:
