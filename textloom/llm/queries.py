@@ -122,6 +122,19 @@ def op10_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_documents(spark, table(spark, sf_dir, "documents"), sf_dir)
 
 
+#: Fifteen minutes in microseconds.
+WINDOW = 15 * 60 * 1_000_000
+
+
+def op12_sliding_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rolling import rolling_median
+
+    cents = F.when(~F.isnan("value") & (F.abs("value") < 1e15), F.floor(F.col("value") * F.lit(100.0) + F.lit(0.5)))
+    found = rolling_median(table(spark, sf_dir, "clicks"), Scratch(spark, "rolling"), id_col="click_id", time_col="ts", series_col="kind", value=cents, window=WINDOW)
+    far = F.when(F.col("n") >= 1, F.abs(F.col("value") * 2 - F.col("median2")) * 2 > F.col("mad4") * 2)
+    return found.select(F.col("id").alias("click_id"), F.col("series").alias("kind"), "n", "median2", "mad4", far.alias("far"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -142,5 +155,24 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
+#: Every window's cents as a sorted list; the middle two of the list and of its distances.
+OP12_SQL = """
+WITH c AS (
+  SELECT click_id, epoch_us(ts) AS us, kind, CAST(floor(100 * value + 0.5) AS BIGINT) AS cents
+  FROM (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY ts DESC NULLS LAST, kind DESC NULLS LAST, value DESC NULLS LAST) AS nth FROM clicks)
+  WHERE nth = 1 AND ts IS NOT NULL
+), w AS (
+  SELECT *, list_sort(coalesce(list(cents) FILTER (WHERE cents IS NOT NULL) OVER (PARTITION BY kind ORDER BY us RANGE BETWEEN 899999999 PRECEDING AND CURRENT ROW), [])) AS held FROM c
+), m AS (
+  SELECT *, len(held) AS n, held[(len(held) + 1) // 2] + held[len(held) // 2 + 1] AS median2 FROM w
+), d AS (
+  SELECT *, list_sort(list_transform(held, lambda x: abs(2 * x - median2))) AS apart FROM m
+), f AS (
+  SELECT *, apart[(n + 1) // 2] + apart[n // 2 + 1] AS mad4 FROM d
+)
+SELECT click_id, kind, CAST(n AS BIGINT) AS n, median2, mad4, CASE WHEN n >= 1 THEN 2 * abs(2 * cents - median2) > 2 * mad4 END AS far FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_maxscore_top_k": OP4_SQL}
+    return {"op4_maxscore_top_k": OP4_SQL, "op12_sliding_median": OP12_SQL}
