@@ -122,6 +122,12 @@ def op10_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_documents(spark, table(spark, sf_dir, "documents"), sf_dir)
 
 
+def op11_radix_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"), Scratch(spark, "divergence"))
+
+
 #: Fifteen minutes in microseconds.
 WINDOW = 15 * 60 * 1_000_000
 
@@ -167,6 +173,41 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
+#: The same shares for every group and kept term, pairs of groups term by term.
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), t AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), k AS (
+  SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN k USING (lang, term) GROUP BY lang, source, term
+), f AS (
+  SELECT lang, source, term, CAST(coalesce(c, 0) AS HUGEINT) AS c FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)
+), p AS (
+  SELECT *, 1 + 1000000000 * (c + 2) // (sum(c) OVER (PARTITION BY lang, source) + 2 * count(*) OVER (PARTITION BY lang, source)) AS p FROM f
+), l AS (
+  SELECT lang, term, sum(c) AS c FROM f GROUP BY lang, term
+), q AS (
+  SELECT lang, term, 1 + 1000000000 * (c + 2) // (sum(c) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang)) AS q FROM l
+), s AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3
+), u AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM u) WHERE part = 'pair' OR rank <= 10
+"""
+
 #: Every window's cents as a sorted list; the middle two of the list and of its distances.
 OP12_SQL = """
 WITH c AS (
@@ -207,4 +248,4 @@ FROM e GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_maxscore_top_k": OP4_SQL, "op12_sliding_median": OP12_SQL, "op13_template_compiler": OP13_SQL}
+    return {"op4_maxscore_top_k": OP4_SQL, "op11_radix_divergence": OP11_SQL, "op12_sliding_median": OP12_SQL, "op13_template_compiler": OP13_SQL}
