@@ -31,9 +31,9 @@ def test_tries_merge_as_counters_add(width):
         for name, c in counters.items():
             whole.update({(p, name): n for p, n in c.items()})
         for batch in trie.Trie.of(made(counters)).below(width):
-            for row in batch.to_pylist():
-                written[row["prefix"]].append(trie.read(row))
-                assert all(p[:width] == row["prefix"] for p in written[row["prefix"]][-1][0])
+            for prefix, parts in trie.read(batch):
+                written[prefix].append(parts)
+                assert all(p[:width] == prefix for p in parts[0])
     got = {}
     for tries in written.values():
         merged = trie.Trie.of([trie.Trie.of(tries[:2]).parts(), *tries[2:]])

@@ -26,7 +26,7 @@ from .store import Scratch
 #: Fixed values of the contract: bytes of terms (letters, and all of UTF-8 beyond ASCII), the scale of shares.
 TERM, SCALE = re.compile(rb"[A-Za-z\x80-\xff]+"), 10**9
 #: Bytes of the prefixes; counters held before they are written, and merged at once; groups of a block; cells of a matrix.
-WIDTH, HELD, MERGED, BLOCK, CELLS = 3, 300_000, 1_000_000, 512, 1 << 19
+WIDTH, HELD, MERGED, BLOCK, CELLS = 3, 600_000, 300_000, 512, 1 << 19
 #: Longest text whose terms are listed at once.
 LISTED = 1 << 20
 
@@ -63,19 +63,23 @@ def written(tallies: dict[tuple[str, str | None], Counter]):
 
 
 def merge(batches, least: int):
-    """Kept leaves of the tries, which come in order of their prefix: lang, term, sources, counts. The root is always kept."""
-    held, size, prefix = [], 0, None
+    """Kept leaves of the tries, which come in order of their prefix: lang, term, sources, counts. The root is always kept.
+
+    Neighbouring prefixes are merged together; what lies below one that is larger by itself is merged as it comes.
+    """
+    held, size, before = [], 0, None
     for batch in batches:
-        for row in batch.to_pylist():
-            if held and row["prefix"] != prefix:
-                yield from _leaves(trie.Trie.of(held), least)
-                held, size = [], 0
-            prefix = row["prefix"]
-            held.append(trie.read(row))
-            size += len(row["counts"])
-            if size > MERGED and len(held) > 1:
-                held = [trie.Trie.of(held).parts()]
-                size = 0
+        for prefix, parts in trie.read(batch):
+            if size > MERGED:
+                if prefix != before:
+                    yield from _leaves(trie.Trie.of(held), least)
+                    held, size = [], 0
+                else:
+                    held = [trie.Trie.of(held).parts()]
+                    size = 0
+            before = prefix
+            held.append(parts)
+            size += len(parts[4])
     if held:
         yield from _leaves(trie.Trie.of(held), least)
     textvec.trim()

@@ -8,7 +8,6 @@ that edge. Its counters are (group, count) pairs, sparse and in order of the gro
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -68,32 +67,56 @@ class Trie:
 
     def below(self, width: int) -> Iterator[pa.RecordBatch]:
         """A written trie for each prefix of at most ``width`` bytes."""
-        made: list[tuple] = []
-        for prefix, leaves in groupby(range(len(self.paths)), key=lambda i: self.paths[i][:width]):
-            leaves = list(leaves)
-            a, b = np.searchsorted(self.leaf, [leaves[0], leaves[-1] + 1])
-            used, groups = np.unique(self.group[a:b], return_inverse=True)
-            own = [self.paths[i] for i in leaves]
-            shared = [0, *map(common, own, own[1:])]
-            names = [self.names[i] for i in used]
-            widths = np.bincount(self.leaf[a:b] - leaves[0], minlength=len(leaves))
-            made.append((prefix, [x[0] for x in names], [x[1] for x in names], shared, [p[n:] for p, n in zip(own, shared, strict=True)], widths, groups, self.count[a:b]))
-            if len(made) == 512:
-                yield _batch(made)
-                made = []
-        if made:
-            yield _batch(made)
-
-
-def _batch(made: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*made, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
-
-
-def read(row: dict) -> tuple:
-    """The parts of a written trie."""
-    paths, before = [], b""
-    for n, edge in zip(row["shared"], row["edges"], strict=True):
-        before = before[:n] + edge
-        paths.append(before)
-    widths = np.array(row["widths"], np.int64)
-    return paths, list(zip(row["langs"], row["sources"], strict=True)), np.repeat(np.arange(len(paths)), widths), np.array(row["groups"], np.int64), np.array(row["counts"], np.int64)
+        if not self.paths:
+            return
+        shared = depths(self.paths)
+        # Neighbours that share fewer bytes than the prefix has are below different prefixes.
+        starts = np.flatnonzero(shared < width)
+        shared[starts] = 0
+        part = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(self.paths))))[self.leaf]
+        names, local = np.unique(part * len(self.names) + self.group, return_inverse=True)
+        first = np.searchsorted(names, np.arange(len(starts) + 1) * len(self.names))
+        own = [self.names[i] for i in (names % len(self.names)).tolist()]
+        lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)
+        leaves, counters = np.append(starts, len(self.paths)), np.append(np.searchsorted(self.leaf, starts), len(self.leaf))
+        columns = [
+            pa.array([self.paths[i][:width] for i in starts.tolist()], pa.binary()),
+            lists(first, pa.array([x[0] for x in own], pa.string())),
+            lists(first, pa.array([x[1] for x in own], pa.string())),
+            lists(leaves, pa.array(shared.astype(np.int32))),
+            lists(leaves, pa.array([p[n:] for p, n in zip(self.paths, shared.tolist(), strict=True)], pa.binary())),
+            lists(leaves, pa.array(np.bincount(self.leaf, minlength=len(self.paths)).astype(np.int32))),
+            lists(counters, pa.array((local - first[part]).astype(np.int32))),
+            lists(counters, pa.array(self.count)),
+        ]
+        made = pa.RecordBatch.from_arrays(columns, schema=SCHEMA)
+        for i in range(0, made.num_rows, 512):
+            yield made.slice(i, 512)
+
+
+def depths(paths: list[bytes]) -> np.ndarray:
+    """Bytes that each of the sorted paths shares with the one before it."""
+    head = np.array(paths, "S8").view(np.uint8).reshape(-1, 8)
+    size = np.fromiter(map(len, paths), np.int64, len(paths))
+    differ = head[1:] != head[:-1]
+    out = np.zeros(len(paths), np.int64)
+    out[1:] = np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), 8), np.minimum(size[1:], size[:-1]))
+    for i in np.flatnonzero((out == 8) & (size > 8) & (np.concatenate([[0], size[:-1]]) > 8)).tolist():
+        out[i] = common(paths[i - 1], paths[i])
+    return out
+
+
+def read(batch: pa.RecordBatch) -> Iterator[tuple[bytes, tuple]]:
+    """Prefix and parts of each written trie."""
+    flat = {f: batch.column(f).flatten() for f in SCHEMA.names[1:]}
+    ends = {f: np.concatenate([[0], np.cumsum(batch.column(f).value_lengths().to_numpy(zero_copy_only=False))]).tolist() for f in ("langs", "edges", "groups")}
+    names = list(zip(flat["langs"].to_pylist(), flat["sources"].to_pylist(), strict=True))
+    edges, shared = flat["edges"].to_pylist(), flat["shared"].to_pylist()
+    widths, groups, counts = (flat[f].to_numpy().astype(np.int64) for f in ("widths", "groups", "counts"))
+    for i, prefix in enumerate(batch.column("prefix").to_pylist()):
+        (a, b), (c, d), (e, f) = ((ends[x][i], ends[x][i + 1]) for x in ("langs", "edges", "groups"))
+        paths, before = [], b""
+        for n, edge in zip(shared[c:d], edges[c:d], strict=True):
+            before = before[:n] + edge
+            paths.append(before)
+        yield prefix, (paths, names[a:b], np.repeat(np.arange(d - c), widths[c:d]), groups[e:f], counts[e:f])
