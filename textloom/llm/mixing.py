@@ -2,20 +2,23 @@
 
 A softmax regression fitted on labelled rows gives each document a posterior over domains. With
 ``n`` tokens and posterior ``p`` a document at rate ``r`` adds ``r * n * p`` to the domain totals.
-Projected gradient descent minimises the squared relative misses of the totals plus a small pull
-of the rates towards 1, over nonnegative rates: each pass sums the totals over all partitions, and
-only those few sums come to the driver; what goes out is the sequence of gradients, from which
-every document's rate follows. The step is preconditioned by the inverse of the totals' own
-curvature (domains by domains), so a few dozen passes suffice.
+Of all rates from 0 to ``MOST`` that meet the wanted totals, those nearest to 1 (least squares by
+tokens, and by a pull to exactly 1) are a projection: ``r = clip(1 - shrunk(p @ asked), 0, MOST)``,
+where ``asked`` has one number for each domain. It is fitted by projected gradient in its lazy form:
+the gradients of the squared misses are summed, and the sum is projected. First on a histogram of
+the posteriors with a bounded number of cells, on the driver, each step through the inverse
+curvature of the documents that move and with a line search on the dual of the squares, which is
+concave; then in passes over all documents, whose sums correct it, until the gap is closed.
 
 The overall size is what leaves the ``anchor`` domain as it is: the others shrink or grow to their
-shares beside it. A document near 1 stays at 1: what the gradients ask of it counts only beyond ``SNAP``.
-That is part of the rates whose totals the passes sum, so the totals that are met are those of the rates
-given out. Copies are the rate's whole part and, by a hash of the id, its fraction.
+shares beside it. A domain whose share cannot be reached with rates up to ``MOST`` is left out, with
+a warning: it then moves as the others need, and they meet their targets as without it. Copies are
+the rate's whole part and, by a hash of the id, its fraction.
 """
 
 from __future__ import annotations
 
+import math
 import warnings
 
 import numpy as np
@@ -29,13 +32,17 @@ from .arrow import columns
 from .store import Scratch
 from .wordbpe import WordBpe
 
-#: Most labelled rows of the classifier's fit; passes; relative miss at which they end; pull to 1; change that is left out.
-SAMPLE, PASSES, TOLERANCE, PULL, SNAP = 2000, 40, 1e-3, 1e-4, 0.05
-#: Relative miss of a domain that is reported; how many times its tokens a domain may be asked for.
-REPORTED, GROWTH = 0.01, 4.0
+#: Most labelled rows of the classifier's fit; passes over all documents; relative miss at which they end.
+SAMPLE, PASSES, TOLERANCE = 2000, 12, 1e-3
+#: What is asked of a rate counts only beyond this, so that documents near 1 stay at 1; highest rate; relative miss of a domain that is not met.
+PULL, MOST, REPORTED = 0.05, 16.0, 0.01
+#: Most cells of the histogram of posteriors, steps on it, and the unit of its whole-number sums.
+CELLS, STEPS, UNIT = 1 << 15, 150, 1 << 16
 #: Least chi-square statistics of a feature to choose from: of 3 * 2**18 features, and with copies among
 #: the rows, hundreds reach the usual bounds by chance; few rows cannot reach high ones.
 SCREENS = (15.0, 30.0, 60.0)
+
+
 def fit_domains(documents: DataFrame, labels: DataFrame, domain, names: list[str], *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> ngrams.Model:
     """The classifier from at most ``sample`` labelled rows; ``domain`` is a column of ``labels`` with a name or null.
 
@@ -72,28 +79,79 @@ def posteriors(df: DataFrame, model: ngrams.Model, tokenizer: str, *, text_col:
     return df.mapInArrow(score, kinds)
 
 
-def rates(p: np.ndarray, history: list[np.ndarray], pull: float) -> np.ndarray:
-    """Document rates after the gradients of all passes so far, from 1, projected each time.
-
-    Of what they ask, ``SNAP`` is left out on both sides of 1; the projection leaves room for it below 0.
-    """
-    r = np.ones(len(p))
-    for g in history:
-        r = np.maximum(r - p @ g - pull * (r - 1), -SNAP)
-    return np.maximum(1 + np.sign(r - 1) * np.maximum(np.abs(r - 1) - SNAP, 0), 0)
-
-
-def fit_rates(scored: DataFrame, targets: np.ndarray, *, anchor: int = 0, passes: int = PASSES) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The gradients of the passes, the domain totals they lead to and those wanted.
-
-    A domain too rare for its share is wanted ``GROWTH`` times, which is warned of: to reach it, few documents
-    would be repeated without end.
-    """
+def rates(p: np.ndarray, asked: np.ndarray, pull: float = PULL) -> np.ndarray:
+    """Document rates for what is asked of the domains."""
+    s = p @ asked
+    return np.clip(1 - np.sign(s) * np.maximum(np.abs(s) - pull, 0), 0, MOST)
+
+
+def _gain(s: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """The least value of half the squared move, the pull and ``s * r`` over the rates, which ``r`` takes."""
+    return 0.5 * (r - 1) ** 2 + PULL * np.abs(r - 1) + s * r
+
+
+def solve(n: np.ndarray, p: np.ndarray, wanted: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, bool]:
+    """What to ask of the domains ``live`` so that tokens ``n`` with posteriors ``p`` meet the totals wanted, and whether they do."""
+    asked, k = np.zeros(p.shape[1]), np.flatnonzero(live)
+    full = (p * n[:, None]).T @ p
+    scale = np.maximum(wanted[k], 1.0)
+
+    def at(x):
+        s, r = p @ x, rates(p, x)
+        return (n * r) @ p - wanted, s, r, float(n @ _gain(s, r) - x[k] @ wanted[k])
+
+    gap, s, r, value = at(asked)
+    for _ in range(STEPS):
+        if np.abs(gap[k] / scale).max(initial=0.0) < 1e-9:
+            return asked, True
+        moving = (np.abs(s) > PULL) & (r > 0) & (r < MOST)
+        curve = (p * (n * moving)[:, None]).T @ p
+        curve = curve[np.ix_(k, k)] + np.diag(1e-6 * np.diag(full)[k] + 1e-9)
+        if not moving.any():
+            curve = full[np.ix_(k, k)] + np.diag(1e-6 * np.diag(full)[k] + 1e-9)
+        step = np.zeros_like(asked)
+        step[k] = np.linalg.solve(curve, gap[k])
+        for halved in range(40):
+            trial = asked + step * 0.5**halved
+            found = at(trial)
+            if found[3] >= value + 1e-4 * 0.5**halved * float(step[k] @ gap[k]):
+                break
+        else:
+            break
+        asked, (gap, s, r, value) = trial, found
+    return asked, bool(np.abs(gap[k] / scale).max(initial=0.0) < TOLERANCE)
+
+
+def histogram(scored: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and mean posteriors of at most ``CELLS`` cells of the posteriors; the sums are whole numbers, alike in any order."""
+    grid = 1
+    while math.comb(2 * grid + k - 1, k - 1) <= CELLS and grid < 1 << 10:
+        grid *= 2
+
+    def gather(batches):
+        for batch in batches:
+            n = batch.column(0).to_numpy().astype(np.int64)
+            p = batch.column(1).flatten().to_numpy().reshape(-1, k)
+            cell = np.minimum((p[:, :-1] * grid).astype(np.int64), grid - 1) @ (grid ** np.arange(k - 1)) if k > 1 else np.zeros(len(n), np.int64)
+            cells, at = np.unique(cell, return_inverse=True)
+            sums = np.zeros((len(cells), k + 1), np.int64)
+            np.add.at(sums, at, np.column_stack([n, n[:, None] * np.rint(p * UNIT).astype(np.int64)]))
+            yield pa.RecordBatch.from_arrays([pa.array(cells), *[pa.array(x) for x in sums.T]], names=["cell", "n", *[f"p{i}" for i in range(k)]])
+
+    names = ["n", *[f"p{i}" for i in range(k)]]
+    held = scored.where("n_tokens > 0").select("n_tokens", "posterior").mapInArrow(gather, "cell long, " + ", ".join(f"{x} long" for x in names))
+    cells = held.groupBy("cell").agg(*[F.sum(x).alias(x) for x in names]).orderBy("cell").collect()
+    sums = np.array([[r[x] for x in names] for r in cells], np.float64).reshape(-1, k + 1)
+    return sums[:, 0], sums[:, 1:] / UNIT / np.maximum(sums[:, :1], 1)
+
+
+def fit_rates(scored: DataFrame, targets: np.ndarray, *, anchor: int = 0, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What is asked of the domains, the domain totals it leads to and those wanted; a domain left out is wanted as it comes."""
     spark, k = scored.sparkSession, len(targets)
 
-    def gathered(history: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Totals at the present rates, and the curvature over documents whose rate is positive."""
-        shared = spark.sparkContext.broadcast(history)
+    def gathered(asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Totals at the present rates, and the curvature over documents that move."""
+        shared = spark.sparkContext.broadcast(asked)
 
         def gather(batches):
             total, curve = np.zeros(k), np.zeros((k, k))
@@ -101,9 +159,9 @@ def fit_rates(scored: DataFrame, targets: np.ndarray, *, anchor: int = 0, passes
                 if batch.num_rows:
                     n = batch.column(0).to_numpy().astype(np.float64)
                     p = batch.column(1).flatten().to_numpy().reshape(-1, k)
-                    r = rates(p, shared.value, PULL)
+                    r = rates(p, shared.value)
                     total += (r * n) @ p
-                    curve += (p * (n * (r > 0))[:, None]).T @ p
+                    curve += (p * (n * (np.abs(p @ shared.value) > PULL) * (r > 0) * (r < MOST))[:, None]).T @ p
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist() + curve.ravel().tolist()], pa.list_(pa.float64()))], names=["s"])
 
         sums = scored.select("n_tokens", "posterior").mapInArrow(gather, "s array<double>")
@@ -114,40 +172,52 @@ def fit_rates(scored: DataFrame, targets: np.ndarray, *, anchor: int = 0, passes
             flat[r["place"]] = r["x"]
         return flat[:k], flat[k:].reshape(k, k)
 
-    history: list[np.ndarray] = []
-    total, curve = gathered(history)
+    n, p = histogram(scored, k)
+    mass = n @ p if len(n) else np.zeros(k)
     share = targets / targets.sum()
-    live = (share > 0) & (total > 0)
+    live = (share > 0) & (mass > 0)
     if not live.any():
-        return history, total, total
+        return np.zeros(k), mass, mass
     at = anchor if live[anchor] else int(np.flatnonzero(live)[0])
-    wanted = share * total[at] / share[at]
-    rare = live & (wanted > GROWTH * total)
-    if rare.any():
-        warnings.warn(f"domains {np.flatnonzero(rare).tolist()} would have to grow {(wanted[rare] / total[rare]).round(1).tolist()} times; {GROWTH} is aimed at", stacklevel=2)
-        wanted = np.where(rare, GROWTH * total, wanted)
-    best, trail = (np.inf, history, total), []
-    for _ in range(passes):
-        miss = (total - wanted) / np.maximum(wanted, 1.0)
-        worst = float(np.abs(miss[live]).max(initial=0.0))
-        if worst < best[0]:
-            best = (worst, list(history), total)
-        trail.append(worst)
-        if worst < TOLERANCE or len(trail) > 4 and worst > 0.98 * trail[-5]:
+    left: list[int] = []
+    while True:
+        wanted = np.where(live, share * mass[at] / share[at], mass)
+        asked, met = solve(n, p, wanted, live)
+        if met:
+            total, best = None, None
+            for _ in range(passes):
+                asked = np.round(asked * 2**24) / 2**24  # the order in which tasks are summed does not show
+                total, curve = gathered(asked)
+                miss = float(np.abs((total - wanted)[live] / np.maximum(wanted[live], 1.0)).max())
+                if best is None or miss < best[0]:
+                    best = miss, asked, total
+                if best[0] < TOLERANCE:
+                    break
+                own = np.ix_(live, live)
+                step = np.zeros(k)
+                step[live] = np.linalg.solve(curve[own] + np.diag(1e-6 * mass[live] + 1e-9), (total - wanted)[live])
+                asked = best[1] + (step if miss == best[0] else (asked - best[1]) / 2)
+            met = best[0] < REPORTED
+            asked, total = best[1], best[2]
+        if met:
             break
-        # By domain, so that a small one moves as fast as a large one.
-        ridge = np.diag(1e-3 * np.diag(curve) + 1e-9)
-        history = [*history, 0.8 * np.linalg.solve(curve + ridge, total - wanted)]
-        total, curve = gathered(history)
-    return best[1], best[2], wanted
+        # The domain furthest from its share is left out; the anchor alone is always met.
+        apart = np.abs(np.log(wanted / np.maximum(mass, 1e-9)))
+        apart[~live] = apart[at] = -1.0
+        live[int(apart.argmax())] = False
+        left.append(int(apart.argmax()))
+    if left:
+        missed = "; ".join(f"{i}: {total[i]:.0f} tokens, wanted {share[i] * mass[at] / share[at]:.0f}, would have to grow {share[i] * mass[at] / share[at] / max(mass[i], 1e-9):.1f} times" for i in left)
+        warnings.warn(f"the rates miss their targets; left out, beyond rates of {MOST:g}: {missed}", stacklevel=2)
+    return asked, total, np.where(live, wanted, total)
 
 
 def mix(df: DataFrame, model: ngrams.Model, names: list[str], targets: dict[str, float], tokenizer: str, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", anchor: str | None = None) -> DataFrame:
     """One row for each row: doc_id, n_tokens, posterior, rate, copies.
 
     Null and empty texts have no tokens and the posterior of the classifier's bias. Repeated rows are mixed
-    each, alike. Domains without tokens are left out of the fit. An empty table gives an empty result. A
-    domain whose expected total misses its target by more than ``REPORTED`` is warned of.
+    each, alike. Domains without tokens are left out of the fit, and so, with a warning, are those out of reach
+    (see above). An empty table gives an empty result.
     """
     scored = posteriors(columns(df, doc_id=id_col, text=text_col), model, tokenizer).withColumn("doc_id", F.col("doc_id").cast("long"))
     scored = scratch.keep(scored.drop("text"), "posteriors")
@@ -171,11 +241,8 @@ def mix_rows(df: DataFrame, model: ngrams.Model, names: list[str], targets: dict
 def _mixed(scored: DataFrame, names: list[str], targets: dict[str, float], anchor: str | None, row_id: Column, given: tuple[str, str], rate: str = "rate", copies: str = "copies") -> DataFrame:
     """Adds the rate and the copies."""
     fitted = scored.select(F.col(given[0]).alias("n_tokens"), F.col(given[1]).alias("posterior"))
-    history, total, wanted = fit_rates(fitted, np.array([targets[n] for n in names], np.float64), anchor=names.index(anchor) if anchor else 0)
-    off = [f"{n}: {t:.0f} tokens, wanted {w:.0f}" for n, t, w in zip(names, total, wanted, strict=True) if t > 0 and w > 0 and abs(t - w) > REPORTED * w]
-    if off:
-        warnings.warn("the rates miss their targets; " + "; ".join(off), stacklevel=3)
-    shared = scored.sparkSession.sparkContext.broadcast(history)
+    asked, _, _ = fit_rates(fitted, np.array([targets[n] for n in names], np.float64), anchor=names.index(anchor) if anchor else 0)
+    shared = scored.sparkSession.sparkContext.broadcast(asked)
 
     @F.pandas_udf("double")
     def found(posterior):
@@ -183,7 +250,7 @@ def _mixed(scored: DataFrame, names: list[str], targets: dict[str, float], ancho
 
         if not len(posterior):
             return pd.Series([], dtype="float64")
-        return pd.Series(rates(np.stack(posterior.to_numpy()), shared.value, PULL))
+        return pd.Series(rates(np.stack(posterior.to_numpy()), shared.value))
 
     draw = F.pmod(F.xxhash64(row_id.cast("long"), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     mixed = scored.withColumn(rate, found(F.col(given[1])))

@@ -110,12 +110,20 @@ def domain_label():
     return F.when(F.col("quality") == 0, "poor").when(F.col("toxic") == 1, "toxic").when((F.col("quality") == 1) & (F.col("toxic") == 0), "clean")
 
 
-def mixed_documents(spark: SparkSession, documents: DataFrame, sf_dir: str, *, repeat: bool = False) -> DataFrame:
-    """The rates of all documents, or all documents repeated by them; the overall size keeps the clean domain whole."""
+#: Shares of the domains that the quality stage leaves; what is left of poor documents has none of its own.
+KEPT_TARGETS = {"clean": 0.95, "toxic": 0.05, "poor": 0.0}
+
+
+def mixed_documents(spark: SparkSession, documents: DataFrame, sf_dir: str, *, repeat: bool = False, taught: DataFrame | None = None, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """The rates of all documents, or all documents repeated by them; the overall size keeps the clean domain whole.
+
+    The classifier learns from ``taught``, or the documents themselves: a corpus from which a domain is already
+    gone cannot teach it.
+    """
     from .mixing import fit_domains, mix, mix_rows
 
-    model = fit_domains(documents, table(spark, sf_dir, "labels"), domain_label(), DOMAINS)
-    return (mix_rows if repeat else mix)(documents, model, DOMAINS, TARGETS, tokenizer_path(), Scratch(spark, "mixing"), anchor="clean")
+    model = fit_domains(documents if taught is None else taught, table(spark, sf_dir, "labels"), domain_label(), DOMAINS)
+    return (mix_rows if repeat else mix)(documents, model, DOMAINS, targets, tokenizer_path(), Scratch(spark, "mixing"), anchor="clean")
 
 
 def op10_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
