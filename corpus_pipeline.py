@@ -39,8 +39,11 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their copies say: none, one or more rows."""
-    return q.mixed_documents(spark, docs, sf_dir, repeat=True)
+    """Documents as often as their copies say: none, one or more rows.
+
+    The classifier learns from ``documents``, where the domains still are; targets are those of what quality leaves.
+    """
+    return q.mixed_documents(spark, docs, sf_dir, repeat=True, taught=q.table(spark, sf_dir, "documents"), targets=q.KEPT_TARGETS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
