@@ -68,6 +68,30 @@ def test_fit_is_the_longest_prefix(bpe):
             assert table.fit(budget) == len(t[:want].encode()), (t[:30], budget)
 
 
+def test_prefixes_of_composing_characters(bpe):
+    """Every prefix of words whose characters compose, equal to encoding it; long words take no time that grows with the square."""
+    import random
+    import time
+    import unicodedata
+
+    draw = random.Random(11)
+    pool = [unicodedata.normalize("NFD", c) for c in "éạüÅ가한Ñ"] + ["x", "q", "ß", "I", "\u3131"]
+    for _ in range(60):
+        part = "".join(draw.choices(pool, k=draw.randrange(6, 24)))
+        assert token_counts.composed_prefixes(bpe, part) == [len(bpe.whole(part[:k].encode())) for k in range(1, len(part) + 1)], part
+        table = token_counts.PrefixTable(bpe, part.encode())
+        assert [table.at(len(part[:k].encode())) for k in range(1, len(part) + 1)] == [len(bpe.whole(part[:k].encode())) for k in range(1, len(part) + 1)]
+        for budget in (1, 3, 7):
+            fits = [k for k in range(len(part) + 1) if len(bpe.whole(part[:k].encode())) <= budget]
+            assert len(part.encode()) if max(fits) == len(part) else table.fit(budget) == len(part[: max(fits)].encode())
+    began = time.process_time()
+    for word in ("e\u0301" * 30_000, "a" + "\u0301" * 30_000):
+        table = token_counts.PrefixTable(bpe, word.encode())
+        cut = word.encode()[: table.fit(2048)].decode()
+        assert len(bpe.whole(cut.encode())) <= 2048 < len(bpe.whole(word[: len(cut) + 2].encode()))
+    assert time.process_time() - began < 60
+
+
 def test_prefixes_of_long_runs_need_no_memory(bpe, monkeypatch):
     import base64
     import time

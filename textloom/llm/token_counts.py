@@ -12,6 +12,9 @@ one encoding by it; inside its pre-tokens the recurrence is the same. Repeated r
 
 from __future__ import annotations
 
+import os
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +31,7 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens"
 _SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _SHORT = 16
 CHARS = byte_chars()
+_BYTES = {c: b for b, c in enumerate(CHARS)}
 
 
 class PrefixTable:
@@ -96,7 +100,9 @@ class PrefixTable:
         each, word = [normal(c).encode() for c in part], normal(part).encode()
         if self.bpe.known and b"".join(each) == word and len(self.bpe.library.pre_tokenizer.pre_tokenize_str(word.decode())) == 1:
             return a + ends, np.array(word_prefixes(self.bpe, word))[np.cumsum([len(x) for x in each]) - 1]
-        # Characters that compose with their neighbours: no prefix of the bytes is that of the text.
+        if self.bpe.known and all(unicodedata.category(c).startswith("L") for c in word.decode()):
+            return a + ends, np.array(composed_prefixes(self.bpe, part))
+        # A file or a word of another kind: the library encodes each prefix.
         return a + ends, np.array([len(self.bpe.whole(part[:k].encode())) for k in range(1, len(part) + 1)])
 
     def fit(self, budget: int) -> int:
@@ -117,29 +123,91 @@ def _char_ends(text: str) -> np.ndarray:
 
 
 def word_prefixes(bpe: WordBpe, word: bytes) -> list[int]:
-    """``[tokens of word[:1], tokens of word[:2], ...]``, each prefix taken as a whole word, by dynamic programming.
+    """``[tokens of word[:1], tokens of word[:2], ...]``, each prefix taken as a whole word, by dynamic programming."""
+    held, out = _Prefixes(bpe), []
+    for k in range(len(word)):
+        held.extend(word[k : k + 1])
+        out.append(held.tokens(k + 1))
+    return out
+
 
-    ``inner[k]`` is the last token of word[:k] when more letters follow and its count; the last
+class _Prefixes:
+    """The recurrence over the bytes of a word that can grow and be cut back.
+
+    ``inner[k]`` is the last token of the first k bytes when more letters follow and its count; the last
     token of a complete prefix is the only vocabulary entry ending there that is stable after
-    the inner prefix it leaves.
+    the inner prefix it leaves. Both depend on the bytes before them alone.
     """
-    entries = _Entries.of(bpe)
-    inner: list[tuple[int, int] | None] = [(-1, 0)]
-    out = []
-    written = "".join(CHARS[b] for b in word)
-    for k in range(1, len(word) + 1):
-        found = {}
-        for mark in ("", "</w>"):
-            for j in range(max(0, k - entries.longest), k):
-                token = entries.ids.get(written[j:k] + mark)
-                if token is not None and entries.symbols(token) and (j == 0 or inner[j] is not None and entries.stable(inner[j][0], token)):
-                    found[mark] = (token, inner[j][1] + 1)
-                    break
-        inner.append(found.get(""))
-        out.append(found["</w>"][1])
+
+    def __init__(self, bpe: WordBpe):
+        self.entries = _Entries.of(bpe)
+        self.chars: list[str] = []
+        self.inner: list[tuple[int, int] | None] = [(-1, 0)]
+
+    def extend(self, more: bytes) -> None:
+        for b in more:
+            self.chars.append(CHARS[b])
+            self.inner.append(self._last(len(self.chars), ""))
+
+    def cut(self, n: int) -> None:
+        del self.chars[n:], self.inner[n + 1 :]
+
+    def tokens(self, n: int) -> int:
+        """Of the first n bytes as a whole word."""
+        return self._last(n, "</w>")[1] if n else 0
+
+    def _last(self, k: int, mark: str) -> tuple[int, int] | None:
+        entries, start = self.entries, max(0, k - self.entries.longest)
+        written = "".join(self.chars[start:k]) + mark
+        for j in range(start, k):
+            token = entries.ids.get(written[j - start :])
+            if token is not None and entries.symbols(token) and (j == 0 or self.inner[j] is not None and entries.stable(self.inner[j][0], token)):
+                return token, self.inner[j][1] + 1
+        return None
+
+
+def composed_prefixes(bpe: WordBpe, part: str) -> list[int]:
+    """Tokens of ``part[:1], part[:2], ...`` where characters compose with their neighbours, so that the bytes of the end may change.
+
+    A character that starts anew settles all before it: what is normalised again is the cluster at the end, and
+    the recurrence is cut back to the bytes that stayed. A mark behind one of its own class is only added.
+    """
+    normal = bpe.library.normalizer.normalize_str
+    held, out, known = _Prefixes(bpe), [], {}
+    settled = start = 0
+    last, tail = "", b""  # the normalised cluster's last character, and its bytes unless it is long
+    for k, c in enumerate(part):
+        pair = last, c
+        if pair not in known:
+            known[pair] = not unicodedata.combining(c) and normal(last + c) == normal(last) + normal(c)
+        if last and unicodedata.combining(c) and unicodedata.combining(c) == unicodedata.combining(last) and normal(c) == c:
+            held.extend(c.encode())
+            tail = None
+            last = c
+        else:
+            if known[pair]:
+                settled, start, tail = len(held.chars), k, b""
+            now = normal(part[start : k + 1])
+            data = now.encode()
+            old = b"" if tail is None else tail
+            same = len(os.path.commonprefix([old, data]))
+            held.cut(settled + same)
+            held.extend(data[same:])
+            last, tail = now[-1:], data
+        out.append(_tokens_of_end(bpe, held, settled))
     return out
 
 
+def _tokens_of_end(bpe: WordBpe, held: _Prefixes, settled: int) -> int:
+    """Of all bytes held; letters and what follows them in the last cluster are pre-tokens of their own."""
+    n = len(held.chars)
+    end = bytes(_BYTES[c] for c in held.chars[settled:]).decode()
+    letters = next((i for i, c in enumerate(end) if not unicodedata.category(c).startswith("L")), len(end))
+    if letters == len(end):
+        return held.tokens(n)
+    return held.tokens(settled + len(end[:letters].encode())) + len(bpe.whole(end[letters:].encode()))
+
+
 class _Entries:
     """The vocabulary with what is known of its entries and, up to a bound, of pairs of them; forgetting costs only time."""
 
