@@ -87,3 +87,36 @@ def test_comma_guard_never_hides_a_match():
         t = ("x" * draw.randint(0, 3)) + p + "".join("," + " " * draw.randint(0, 2) + draw.choice([p, p.upper(), p[:-1]]) for _ in range(draw.randint(0, 4)))
         if re.search(r"(.{20,200}?)(?:,\s*\1){2,}", t, re.IGNORECASE):
             assert T._may_repeat(t)
+
+
+LONG = 100_000
+
+
+@pytest.mark.parametrize(
+    ("rule", "given", "wanted"),
+    [
+        (T.remove_repeated_words, "Да " * LONG + "конец", "Да конец"),
+        (T.remove_repeated_words, " ".join(f"w{i} W{i}" for i in range(LONG)), " ".join(f"w{i}" for i in range(LONG))),
+        (T.remove_incremental_list, "x " + ", ".join(f"дело-{i}" for i in range(LONG)) + " y", f"x дело-0 ... дело-{LONG - 1} y"),
+        (T.remove_incremental_list, "[A_b]-1 " * LONG + "z-", "[A_b]-1 ... [A_b]-1 z-"),
+        (T.clean_text, "Да " * LONG + ", ".join(f"дело-{i}" for i in range(LONG)), f"Да дело-0 ... дело-{LONG - 1}"),
+        (T.remove_duplicate_lines, "\n".join(f" L{i % 70_000} " for i in range(LONG)), "\n".join(f"L{i}" for i in range(70_000))),
+        (T.remove_duplicate_sentences, " ".join(f"s{i % 70_000}." for i in range(LONG)), " ".join(f"s{i}." for i in range(70_000))),
+    ],
+)
+def test_rules_on_the_texts_they_are_for(spark, rule, given, wanted):
+    """A hundred thousand repeats: no recursion, no time that grows with the square."""
+    assert one(spark, rule, given) == wanted
+
+
+def test_possessive_patterns_match_as_the_greedy_ones(spark):
+    """The patterns with plain loops, by Python's engine, on random short texts."""
+    draw = random.Random(8)
+    words = lambda: "".join(draw.choice(["да", "Да", "нет", " ", "  ", "\n", ",", ".", "д"]) for _ in range(draw.randint(0, 14)))
+    items = lambda: "".join(draw.choice(["a-1", "[b]-22", "c-3d", "-4", ", ", " ", ",", "e"]) for _ in range(draw.randint(0, 22)))
+    texts = [words() for _ in range(1500)] + [items() for _ in range(1500)]
+    token = r"\[?\w+\]?-\d+"
+    want = [(re.sub(r"\b(\w+)(\s+\1\b)+", r"\1", t, flags=re.IGNORECASE), re.sub(rf"({token})(?:[,\s]+{token}){{3,}}[,\s]+({token})", r"\1 ... \2", t)) for t in texts]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = df.select("i", T.remove_repeated_words(F.col("text")).alias("a"), T.remove_incremental_list(F.col("text")).alias("b")).orderBy("i").collect()
+    assert [(r["a"], r["b"]) for r in got] == want

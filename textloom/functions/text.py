@@ -45,14 +45,23 @@ def words(c: Column) -> Column:
 
 
 def first_of_each(items: Column) -> Column:
-    """Items that are not blank and, in lower case, have not come before."""
-    both = let(items, lambda a: F.struct(a.alias("item"), F.transform(a, F.lower).alias("key")))
-    return let(both, lambda b: F.filter(b["item"], lambda x, i: (x != "") & (F.array_position(b["key"], F.get(b["key"], i)) == i + 1)))
+    """Items that are not blank and, in lower case, have not come before: the first of each key once sorted, in their old order."""
+    keyed = F.sort_array(F.transform(items, lambda x, i: F.struct(F.lower(x).alias("key"), i.alias("at"), x.alias("item"))))
+    first = lambda b: F.filter(b, lambda x, i: (x["key"] != "") & ((i == 0) | (F.get(b, i - 1)["key"] != x["key"])))
+    placed = let(keyed, lambda b: F.sort_array(F.transform(first(b), lambda x: F.struct(x["at"], x["item"]))))
+    return F.transform(placed, lambda x: x["item"])
+
+
+#: A word with its copies, and five or more numbered items with commas or white space between. Loops over a
+#: group are possessive: the JVM runs those without recursion, and nothing follows them that could ask for a copy back.
+_COPIES = r"(?iuU)\b(\w+)(?:\s+\1\b)++"
+_ITEM = r"\[?\w+\]?-\d+"
+_ITEMS = rf"(?U)({_ITEM})(?:[,\s]+({_ITEM})){{4,}}+"
 
 
 def remove_repeated_words(c: Column) -> Column:
     """Consecutive copies of a word, whatever their case, become the first."""
-    return F.regexp_replace(c, r"(?iuU)\b(\w+)(\s+\1\b)+", "$1")
+    return F.regexp_replace(c, _COPIES, "$1")
 
 
 def collapse_repeats(text: str, least: int = 5, most: int = 30) -> str:
@@ -156,8 +165,8 @@ def remove_cycling_numbered_lines(c: Column) -> Column:
 
 
 def remove_incremental_list(c: Column) -> Column:
-    token = r"\[?\w+\]?-\d+"
-    return F.regexp_replace(c, rf"(?U)({token})(?:[,\s]+{token}){{3,}}[,\s]+({token})", "$1 ... $2")
+    """Five or more items in a row become the first and the last."""
+    return F.regexp_replace(c, _ITEMS, "$1 ... $2")
 
 
 def trim_attached_documents(c: Column, longest: int = 4000, triggers: list[str] | None = None) -> Column:

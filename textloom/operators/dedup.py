@@ -8,20 +8,31 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 
 
+def _digests(df: DataFrame, keys: list[str]) -> dict:
+    """Keys for exchanges by name: for a string its SHA-256, of which no two texts are known with one digest."""
+    return {f"__key{i}": F.sha2(F.col(f"`{k}`"), 256) if df.schema[k].dataType.typeName() == "string" else F.col(f"`{k}`") for i, k in enumerate(keys)}
+
+
 def exact_dedup(df: DataFrame, keys: list[str], order: str = "row_id") -> DataFrame:
-    """The row with the smallest ``order`` of each combination of keys, by an aggregate that combines map-side, then a join on it."""
-    first = df.groupBy(*keys).agg(F.min(order).alias("__first"))
-    same = [df[k].eqNullSafe(first[k]) for k in keys] + [df[order] == first["__first"]]
-    condition = same[0]
-    for c in same[1:]:
-        condition &= c
-    return df.join(first, condition, "left_semi")
+    """The row with the smallest ``order`` of each combination of keys, by an aggregate that combines map-side, then a join on it.
+
+    Only digests of the keys are grouped and sent twice; the rows meet the join spread by their order, however many copies one text has.
+    """
+    own = _digests(df, keys)
+    keyed = df.withColumns(own)
+    first = keyed.groupBy(*own).agg(F.min(order).alias("__first"))
+    condition = keyed[order] == first["__first"]
+    for k in own:
+        condition &= keyed[k].eqNullSafe(first[k])
+    return keyed.join(first, condition, "left_semi").select(df.columns)
 
 
 def cross_label_dedup(df: DataFrame, dropped_label: str) -> DataFrame:
     """Rows whose text occurs more than once go if they carry ``dropped_label``."""
-    often = df.groupBy("text").agg(F.count("*").alias("__n")).where("__n > 1")
-    return df.where(F.col("label").isNull() | (F.col("label") != dropped_label)).unionByName(df.where(F.col("label") == dropped_label).join(often, "text", "left_anti").select(df.columns))
+    own = _digests(df, ["text"])
+    often = df.select(own["__key0"].alias("__key0")).groupBy("__key0").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    labelled = df.where(F.col("label") == dropped_label).withColumns(own).join(often, "__key0", "left_anti").select(df.columns)
+    return df.where(F.col("label").isNull() | (F.col("label") != dropped_label)).unionByName(labelled)
 
 
 def remove_anomalous(df: DataFrame, unique: int = 50, total: int = 200) -> DataFrame:
