@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import dedup, features, filters, generation, metrics, quota
+from textloom.operators import backtranslation, dedup, features, filters, generation, metrics, quota
 from textloom.sources import io
 
 DROPPED = "src0"
@@ -381,7 +381,7 @@ def stage_fallback(spark, d):
 
 
 def pair_cache(spark, d):
-    """Pairs appended twice, read for the classes that are pending, and gone once retired."""
+    """Pairs appended twice and read for the classes that are pending."""
     cache, docs = io.PairCache(spark, _folder(spark, "pairs")), documents(spark, d, "lang")
     pairs = docs.select("label", F.reverse("text").alias("translated"), F.col("text").alias("original"))
     cache.append(pairs.where("label <> 'en'"))
@@ -416,6 +416,17 @@ def _model(kind):
     return run
 
 
+def stage3(spark, data, target, folder):
+    """The third stage in a folder of its own, from the table as stage 2 to its checkpoint, with the stand-in translator and a score by length."""
+
+    def translate(slots: DataFrame, attempt: int) -> DataFrame:
+        back = generation.back_translate(slots, generation.EchoTranslator)
+        return back.withColumn("translated", F.concat("back_translated", F.lit(f" {attempt} "), F.col("slot").cast("string")))
+
+    io.save_stage(data, folder, 2)
+    return backtranslation.run_stage(spark, folder, backtranslation.Plan(target), translate, lambda pairs: pairs.withColumn("score", (F.length("text") % 10 + 1).cast("double")))
+
+
 def _augmented(stage):
     def run(spark, d):
         data = documents(spark, d, "lang")
@@ -426,17 +437,16 @@ def _augmented(stage):
             return spark.read.schema(table.schema).parquet(f"{folder}/{name}")
 
         def propose(slots: DataFrame, attempt: int) -> DataFrame:
-            if stage == 3:
-                made = generation.back_translate(slots, generation.EchoTranslator).withColumn("answer", F.concat("back_translated", F.lit(f" {attempt} "), F.col("slot").cast("string")))
-            else:
-                made = generation.run_generator(slots.withColumn("prompt", F.concat("text", F.lit(f" {attempt} "), F.col("slot").cast("string"))), generation.EchoGenerator)
+            made = generation.run_generator(slots.withColumn("prompt", F.concat("text", F.lit(f" {attempt} "), F.col("slot").cast("string"))), generation.EchoGenerator)
             return made.where("answer is not null").select(F.xxhash64("label", "slot").alias("cand_id"), "label", F.col("answer").alias("text"))
 
         def score(good: DataFrame) -> DataFrame:
             return good.withColumn("score", (F.length("text") % 10 + 1).cast("double"))
 
         n = data.count()
-        plan = {1: generation.Stage(target=n // 8), 2: generation.Stage(target=n // 7, oversample=3), 3: generation.Stage(target=n // 6, rounds=20, oversample=3, least_score=2.5, schedule=False)}[stage]
+        if stage == 3:
+            return stage3(spark, data, n // 6, folder).groupBy("label").agg(F.count("*").alias("n"))
+        plan = {1: generation.Stage(target=n // 8), 2: generation.Stage(target=n // 7, oversample=3)}[stage]
         out = generation.augment(data, plan, propose, score, keep)
         return out.groupBy("label").agg(F.count("*").alias("n"))
 

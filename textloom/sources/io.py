@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .published import Published
+
 TABLE = T.StructType([T.StructField("text", T.StringType()), T.StructField("label", T.StringType())])
 PAIRS = T.StructType([T.StructField(n, T.StringType()) for n in ("label", "translated", "original")])
 _CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
@@ -59,18 +61,24 @@ def load_stage(spark: SparkSession, root: str, stage: int) -> tuple[DataFrame, i
     """The table of this stage or of the last one before it that is there, and which stage that is."""
     if stage not in STAGES:
         raise ValueError(f"unknown stage {stage}; there are {STAGES}")
+    published = Published(spark, f"{root.rstrip('/')}/stages")
     for s in range(stage, -1, -1):
-        if exists(spark, _stage(root, s)):
-            return check_columns(spark.read.parquet(_stage(root, s)), _stage(root, s)), s
+        path = published.path(f"stage{s}") or (_stage(root, s) if exists(spark, _stage(root, s)) else None)
+        if path:
+            return check_columns(spark.read.parquet(path), path), s
     raise FileNotFoundError(f"no stage up to {stage} in {root}")
 
 
 def save_stage(df: DataFrame, root: str, stage: int, *, initial: bool = False) -> str:
-    """Stages 1 to 3; stage 0 is the split's own and needs ``initial``."""
+    """Stages 1 to 3; stage 0 is the split's own and needs ``initial``. The table's path.
+
+    An older version stays readable until the new one is written and read back; a stage may be made from its own older version.
+    """
     if stage not in STAGES or (stage == 0 and not initial):
         raise ValueError(f"stage {stage} can't be saved; stages 1 to 3 can")
-    df.write.mode("overwrite").parquet(_stage(root, stage))
-    return _stage(root, stage)
+    published = Published(df.sparkSession, f"{root.rstrip('/')}/stages")
+    published.commit(f"stage{stage}", check_columns(df, f"stage {stage}"), replace=True)
+    return published.path(f"stage{stage}")
 
 
 def save_split(df: DataFrame, root: str) -> None:
