@@ -25,8 +25,8 @@ from .store import Scratch
 
 #: Fixed values of the contract: bytes of terms (letters, and all of UTF-8 beyond ASCII), the scale of shares.
 TERM, SCALE = re.compile(rb"[A-Za-z\x80-\xff]+"), 10**9
-#: Bytes of the prefixes; counters held before they are written, and merged at once; groups of a block; cells of a matrix.
-WIDTH, HELD, MERGED, BLOCK, CELLS = 3, 600_000, 300_000, 512, 1 << 19
+#: Bytes of the prefixes, and of those below a hot one; counters held before they are written, and merged at once; groups of a block; cells of a matrix.
+WIDTH, DEEPER, HELD, MERGED, BLOCK, CELLS = 4, 8, 600_000, 300_000, 512, 1 << 19
 #: Longest text whose terms are listed at once.
 LISTED = 1 << 20
 
@@ -62,6 +62,17 @@ def written(tallies: dict[tuple[str, str | None], Counter]):
     yield from trie.Trie.of(made).below(WIDTH)
 
 
+def split_hot(batches, hot: frozenset[bytes]):
+    """The tries below a hot prefix cut again, everywhere at the same longer prefixes."""
+    for batch in batches:
+        found = np.array([p in hot for p in batch.column("prefix").to_pylist()], bool)
+        if not found.all():
+            yield batch.filter(pa.array(~found))
+        if found.any():
+            for _, parts in trie.read(batch.filter(pa.array(found))):
+                yield from trie.Trie.of([parts]).below(DEEPER)
+
+
 def merge(batches, least: int):
     """Kept leaves of the tries, which come in order of their prefix: lang, term, sources, counts. The root is always kept.
 
@@ -210,7 +221,12 @@ def divergence(df: DataFrame, scratch: Scratch, *, text_col: str = "text", lang_
     slim = columns(df, text=text_col, lang=lang_col, source=source_col)
     slim = slim.select("text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
     tries = scratch.keep(slim.mapInArrow(count_terms, trie.KINDS), "tries")
-    ranged = tries.repartitionByRange("prefix").sortWithinPartitions("prefix")
+    # A prefix with more than a quarter of a task's counters is hot; there are at most four for each task.
+    sizes = tries.groupBy("prefix").agg(F.sum(F.size("counts")).alias("n"))
+    share = int((sizes.agg(F.sum("n")).first()[0] or 0) / (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    hot = frozenset(bytes(r["prefix"]) for r in sizes.where(F.col("n") > share).collect())
+    cut = tries.mapInArrow(lambda batches: split_hot(batches, hot), trie.KINDS) if hot else tries
+    ranged = cut.repartitionByRange("prefix").sortWithinPartitions("prefix")
     kinds = "lang string, term string, sources array<string>, counts array<long>"
     leaves = scratch.keep(ranged.mapInArrow(lambda batches: merge(batches, least), kinds), "leaves")
     scratch.drop("tries")
