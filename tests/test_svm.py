@@ -36,7 +36,7 @@ def rows(spark):
     fold = np.arange(90) % 3
     vector = [DenseVector(r) if i % 7 == 0 else SparseVector(12, [(j, v) for j, v in enumerate(r) if v]) for i, r in enumerate(x)]
     df = spark.createDataFrame([(int(a), int(f), v) for a, f, v in zip(y, fold, vector, strict=True)], ["label", "fold", "features"])
-    return df.select(F.col("label").cast("int"), F.col("fold").cast("int"), "features").repartition(6).persist(), np.hstack([x, np.ones((90, 1))]), y, fold
+    return svm.sparse(df.select(F.col("label").cast("int"), F.col("fold").cast("int"), "features").repartition(6)).persist(), np.hstack([x, np.ones((90, 1))]), y, fold
 
 
 @pytest.mark.parametrize("cells", [1 << 22, 40])

@@ -222,7 +222,7 @@ def _evaluate_svm(train: DataFrame, test: DataFrame, *, search: bool, iterations
     n = train.count()
     parts = max(1, n // _ROWS)
     held = folds(train.select("row_id", "label"), FOLDS).select("row_id", "fold") if search else train.select("row_id", F.lit(0).alias("fold"))
-    rows = train.join(held, "row_id").select(F.col("label").cast("int").alias("label"), "fold", "features").repartition(parts).persist()
+    rows = svm.sparse(train.join(held, "row_id").select(F.col("label").cast("int").alias("label"), "fold", "features")).repartition(parts).persist()
     size = train.select("features").first()["features"].size if n else 0
     classes = int(train.agg(F.max("label")).first()[0] or 0) + 1
     try:
@@ -230,6 +230,6 @@ def _evaluate_svm(train: DataFrame, test: DataFrame, *, search: bool, iterations
         weights = svm.fit(rows, size, [(k, best, -1) for k in range(classes)], tolerance=TOLERANCE, iterations=iterations)
     finally:
         rows.unpersist()
-    asked = test.select(F.col("label").cast("int").alias("label"), F.lit(-1).alias("fold"), "features")
+    asked = svm.sparse(test.select(F.col("label").cast("int").alias("label"), F.lit(-1).alias("fold"), "features"))
     scored = svm.predictions(asked, size, {(best, -1): weights}, held_out=False).select("label", "prediction")
     return summary(scored).select(F.lit("svm").alias("name"), F.round("balanced_accuracy", 4).alias("balanced_accuracy"), F.round("macro_f1", 4).alias("macro_f1"))

@@ -20,35 +20,51 @@ from pyspark.sql import functions as F
 CELLS, BLOCK, MEMORY, HALVED = 1 << 22, 1 << 21, 5, 20
 
 
-def rows_of(batches, size: int):
-    """Class, fold, row starts, places and values of the sparse rows, a bounded number at once; the constant feature is the last."""
+def sparse(rows: DataFrame) -> DataFrame:
+    """(label, fold, places, values) of (label, fold, features): vectors as arrays, made once."""
+
+    def run(batches):
+        for batch in batches:
+            places, values = [], []
+            for x in batch.column("features").to_pylist():
+                at = x["indices"] if x["type"] == 0 else [i for i, v in enumerate(x["values"]) if v]
+                places.append(at)
+                values.append(x["values"] if x["type"] == 0 else [x["values"][i] for i in at])
+            parts = [batch.column("label"), batch.column("fold"), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(parts, names=["label", "fold", "places", "values"])
+
+    return rows.select("label", "fold", "features").mapInArrow(run, "label int, fold int, places array<int>, values array<double>")
+
+
+def rows_of(batches, size: int, models: int):
+    """Class, fold, row starts, places and values of sparse rows, as many as keep a product in bounds; the constant feature is the last."""
     for batch in batches:
-        held = batch.column("features").to_pylist()
-        for start in range(0, len(held), 512):
-            own = held[start : start + 512]
-            parts = [(x["indices"] if x["type"] == 0 else np.flatnonzero(x["values"]).tolist(), x["values"] if x["type"] == 0 else [v for v in x["values"] if v]) for x in own]
-            ptr = np.concatenate([[0], np.cumsum([len(i) + 1 for i, _ in parts])])
-            idx = np.concatenate([np.append(np.array(i, np.int64), size) for i, _ in parts])
-            val = np.concatenate([np.append(np.array(v, np.float64), 1.0) for _, v in parts])
-            y = batch.column("label").slice(start, len(own)).to_numpy().astype(np.int64)
-            fold = batch.column("fold").slice(start, len(own)).to_numpy().astype(np.int64)
-            yield y, fold, ptr, idx, val
+        n = batch.column("places").value_lengths().to_numpy() + 1
+        ends, start = np.cumsum(n), 0
+        while start < len(n):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + BLOCK // max(models, 1), "right")))
+            own = batch.slice(start, stop - start)
+            ptr = np.concatenate([[0], np.cumsum(n[start:stop])])
+            idx, val = np.full(ptr[-1], size, np.int64), np.ones(ptr[-1])
+            inner = np.ones(ptr[-1], bool)
+            inner[ptr[1:] - 1] = False
+            idx[inner], val[inner] = own.column("places").flatten().to_numpy(), own.column("values").flatten().to_numpy()
+            yield own.column("label").to_numpy().astype(np.int64), own.column("fold").to_numpy().astype(np.int64), ptr, idx, val
+            start = stop
 
 
 def products(ptr: np.ndarray, idx: np.ndarray, val: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Sparse rows by weights, some columns at a time."""
-    out = np.empty((len(ptr) - 1, w.shape[1]))
-    step = max(1, BLOCK // max(len(idx), 1))
-    for a in range(0, w.shape[1], step):
-        out[:, a : a + step] = np.add.reduceat(w[idx, a : a + step] * val[:, None], ptr[:-1], axis=0)
-    return out
+    """Sparse rows by weights."""
+    cells = w[idx]
+    cells *= val[:, None]
+    return np.add.reduceat(cells, ptr[:-1], axis=0)
 
 
 class Passes:
-    """Loss and gradient of models (class, C, fold left out; -1 leaves none out) over the rows of a table (label, fold, features)."""
+    """Loss and gradient of models (class, C, fold left out; -1 leaves none out) over rows as ``sparse`` makes them."""
 
     def __init__(self, rows: DataFrame, size: int, models: list[tuple[int, float, int]]):
-        self.rows, self.size, self.models = rows.select("label", "fold", "features"), size, models
+        self.rows, self.size, self.models = rows, size, models
         self.tasks = rows.rdd.getNumPartitions()
 
     def __call__(self, w: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +75,7 @@ class Passes:
         def gather(batches):
             w, of, left = shared.value
             loss, slope = np.zeros(w.shape[1]), np.zeros_like(w)
-            for y, fold, ptr, idx, val in rows_of(batches, size):
+            for y, fold, ptr, idx, val in rows_of(batches, size, w.shape[1]):
                 sign = np.where(y[:, None] == of, 1.0, -1.0)
                 miss = np.maximum(1 - sign * products(ptr, idx, val, w), 0) * (fold[:, None] != left)
                 loss += (miss**2).sum(0)
@@ -67,9 +83,9 @@ class Passes:
                 order = np.argsort(idx, kind="stable")
                 first = np.flatnonzero(np.concatenate([[True], idx[order][1:] != idx[order][:-1]]))
                 row, weight, at = np.repeat(np.arange(len(y)), np.diff(ptr))[order], val[order], idx[order][first]
-                step = max(1, BLOCK // max(len(idx), 1))
-                for a in range(0, w.shape[1], step):
-                    slope[at, a : a + step] -= 2 * np.add.reduceat(pull[row, a : a + step] * weight[:, None], first, axis=0)
+                cells = pull[row]
+                cells *= weight[:, None]
+                slope[at] -= 2 * np.add.reduceat(cells, first, axis=0)
             yield pa.RecordBatch.from_arrays([pa.array([np.vstack([loss, slope]).tobytes()], pa.binary())], names=["sums"])
 
         def add(batches):
@@ -152,14 +168,14 @@ def predictions(rows: DataFrame, size: int, weights: dict[tuple[float, int], np.
     shared = rows.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
-        for y, fold, ptr, idx, val in rows_of(batches, size):
+        for y, fold, ptr, idx, val in rows_of(batches, size, max(w.shape[1] for w in shared.value.values())):
             for (c, left), w in shared.value.items():
                 on = fold == left if held_out else np.ones(len(y), bool)
                 best = products(ptr, idx, val, w).argmax(1)[on]
                 parts = [np.full(on.sum(), c), np.full(on.sum(), left), y[on].astype(float), best.astype(float)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(parts, (pa.float64(), pa.int32(), pa.float64(), pa.float64()), strict=True)], names=["c", "left", "label", "prediction"])
 
-    return rows.select("label", "fold", "features").mapInArrow(run, "c double, left int, label double, prediction double")
+    return rows.mapInArrow(run, "c double, left int, label double, prediction double")
 
 
 def search(rows: DataFrame, size: int, classes: int, grid: list[float], folds: int, score, *, tolerance: float = 1e-4, iterations: int = 1000) -> float:
