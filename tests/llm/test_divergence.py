@@ -91,11 +91,6 @@ def test_bounds_of_memory_change_nothing(monkeypatch, small):
     for i in range(0, 90, 6):
         batch = pa.RecordBatch.from_pylist([dict(zip(("text", "lang", "source"), r, strict=True)) for r in rows[i : i + 6]])
         tries += [r for b in dv.count_terms([batch]) for r in b.to_pylist()]
-    cut = pa.RecordBatch.from_pylist(tries, trie.SCHEMA)
-    if small:
-        tries = [r for b in dv.split_hot([cut], frozenset([b"the", b"ab"])) for r in b.to_pylist()]
-    else:
-        tries = [r for b in dv.split_hot([cut.slice(0, 9), cut.slice(9)], frozenset([b"the"])) for r in b.to_pylist()]
     tries.sort(key=lambda r: r["prefix"])
     leaves = list(dv.merge([pa.RecordBatch.from_pylist(tries, trie.SCHEMA)], 10))
     want = Counter((lang, source, t.lower()) for text, lang, source in rows for t in text.split())
