@@ -1,4 +1,4 @@
-"""TF-IDF with sublinear counts, smoothed inverse frequencies and unit length, and MLlib classifiers over it."""
+"""TF-IDF with sublinear counts, smoothed inverse frequencies and unit length, and linear classifiers over it."""
 
 from __future__ import annotations
 
@@ -9,14 +9,10 @@ from itertools import chain, pairwise
 from math import log, sqrt
 
 import pyarrow as pa
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
-from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import CountVectorizer, StringIndexer
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from textloom.sources.io import exists
 
@@ -123,46 +119,40 @@ def cache_key(train: DataFrame, test: DataFrame) -> str:
 
 
 def vectorizer(size: int = 50_000, least: int = 2):
-    """Fits the vocabulary on train; returns a function that adds ``features`` to any table with text."""
+    """Fits the vocabulary on train; returns its terms and a function that puts ``places`` and ``values`` for any table's text.
+
+    The vocabulary, bounded by ``size``, goes out once; what the function makes stays where the rows are.
+    """
 
     def fit(train: DataFrame):
-        counted = train.withColumn("terms", terms(F.col("text")))
-        model = CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=size, minDF=least).fit(counted)
+        held = vocabulary(train, size, least).collect()
         n = train.count()
-        place = {t: i for i, t in enumerate(model.vocabulary)}
-        known = train.sparkSession.createDataFrame([(t,) for t in model.vocabulary], "term string")
-        seen = counted.select(F.explode(F.array_distinct("terms")).alias("term")).join(known, "term").groupBy("term").agg(F.count("*").alias("df"))
-        df = {place[r["term"]]: r["df"] for r in seen.collect()}  # at most ``size`` rows
-        idf = [log((1 + n) / (1 + df.get(i, 0))) + 1 for i in range(len(model.vocabulary))]
-        shared = train.sparkSession.sparkContext.broadcast(idf)
-
-        # MLlib's vectors stay sparse only in a row-wise function.
-        @F.udf(returnType=VectorUDT())
-        def weigh(counts):
-            idf = shared.value
-            w = [(1 + log(c)) * idf[i] for i, c in zip(counts.indices, counts.values, strict=True)]
-            norm = sqrt(sum(x * x for x in w)) or 1.0
-            return Vectors.sparse(len(idf), counts.indices, [x / norm for x in w])
+        shared = train.sparkSession.sparkContext.broadcast({r["term"]: (i, log((1 + n) / (1 + r["df"])) + 1) for i, r in enumerate(held)})
 
         def transform(table: DataFrame) -> DataFrame:
-            counted = model.transform(table.withColumn("terms", terms(F.col("text"))))
-            return counted.withColumn("features", weigh("counts")).drop("terms", "counts")
-
-        return transform
+            kept = [c for c in table.columns if c != "text"]
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                known = shared.value
+                for batch in batches:
+                    places, values = [], []
+                    for text in batch.column("text").to_pylist():
+                        own = sorted((*known[t], c) for t, c in counted(text or "").items() if t in known)
+                        weights = [(1 + log(c)) * idf for _, idf, c in own]
+                        norm = sqrt(sum(w * w for w in weights)) or 1.0
+                        places.append([i for i, _, _ in own])
+                        values.append([w / norm for w in weights])
+                    parts = [batch.column(c) for c in kept] + [pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))]
+                    yield pa.RecordBatch.from_arrays(parts, names=[*kept, "places", "values"])
+
+            schema = StructType([table.schema[c] for c in kept]).add("places", ArrayType(IntegerType())).add("values", ArrayType(DoubleType()))
+            return table.mapInArrow(run, schema)
+
+        return [r["term"] for r in held], transform
 
     return fit
 
 
-class MacroF1(Evaluator):
-    """Macro-averaged F1, which MLlib's own evaluator lacks."""
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        return float(summary(dataset.select("label", "prediction")).first()["macro_f1"] or 0.0)
-
-    def isLargerBetter(self) -> bool:
-        return True
-
-
 def index_labels(train: DataFrame, column: str = "label"):
     """Labels in alphabetical order; unseen ones are an error."""
     return StringIndexer(inputCol=column, outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="error").fit(train)
@@ -175,61 +165,38 @@ def folds(df: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
 
 #: At which the optimisers end, as the scripts' library has it by default.
 TOLERANCE = 1e-4
-#: Rows of a task of the optimisers, about.
+#: Rows of a task of the optimisers, about: each sends sums as wide as the vocabulary, so few rows are one task.
 _ROWS = 2000
+#: Values of the grid (inverse penalties; smoothings), folds, and the value without a search.
+GRIDS = {"svm": [0.01, 0.1, 1.0, 10.0], "logreg": [0.01, 0.1, 1.0, 10.0], "nb": [0.01, 0.1, 0.5, 1.0]}
+FOLDS, PENALTY = 3, 1.0
 
 
-def classifier(kind: str, n: int, **params):
-    """'svm', 'logreg' or 'nb', and its grid; n: training rows, by which the inverse penalty C is scaled."""
-    if kind == "svm":
-        one = LinearSVC(maxIter=params.get("iterations", 50), tol=TOLERANCE)
-        model = OneVsRest(classifier=one)
-        return model, ParamGridBuilder().addGrid(one.regParam, [1 / (c * n) for c in (0.01, 0.1, 1, 10)]).build()
-    if kind == "logreg":
-        model = LogisticRegression(family="multinomial", maxIter=params.get("iterations", 100), tol=TOLERANCE)
-        return model, ParamGridBuilder().addGrid(model.regParam, [1 / (c * n) for c in (0.01, 0.1, 1, 10)]).build()
-    if kind == "nb":
-        model = NaiveBayes(modelType="multinomial")
-        return model, ParamGridBuilder().addGrid(model.smoothing, [0.01, 0.1, 0.5, 1.0]).build()
-    raise ValueError(f"unknown classifier: {kind}")
+def classifier(kind: str, search: bool) -> list[float]:
+    """The values of 'svm', 'logreg' or 'nb' that are tried."""
+    if kind not in GRIDS:
+        raise ValueError(f"unknown classifier: {kind}")
+    return GRIDS[kind] if search else [PENALTY]
 
 
-def evaluate(kind: str, train: DataFrame, test: DataFrame, *, search: bool = False, size: int = 50_000, **params) -> DataFrame:
-    """(name, balanced_accuracy, macro_f1) of a classifier on test, with a grid search over three folds on request."""
-    indexer = index_labels(train)
-    transform = vectorizer(size)(train)
-    prepared = [transform(indexer.transform(x)).select("row_id", F.col("label").alias("name"), F.col("label_index").alias("label"), "features") for x in (train, test)]
-    n = train.count()
-    if kind == "svm":
-        return _evaluate_svm(*prepared, search=search, iterations=params.get("iterations", 1000))
-    model, grid = classifier(kind, n, **params)
-    # Optimisers pass over the rows many times: few tasks for few rows, and vectors made once.
-    prepared[0] = prepared[0].repartition(max(1, n // _ROWS)).persist()
-    if search:
-        fitted = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=MacroF1(), foldCol="fold", numFolds=3, parallelism=4).fit(folds(prepared[0]).repartition(max(1, n // _ROWS)).persist())
-    else:
-        fitted = Pipeline(stages=[model]).fit(prepared[0])
-    scored = fitted.transform(prepared[1]).select("label", "prediction")
-    return summary(scored).select(F.lit(kind).alias("name"), F.round("balanced_accuracy", 4).alias("balanced_accuracy"), F.round("macro_f1", 4).alias("macro_f1"))
-
-
-#: Penalties of the grid, the largest number of folds, and the penalty without a search.
-GRID, FOLDS, PENALTY = [0.01, 0.1, 1.0, 10.0], 3, 1.0
-
+def evaluate(kind: str, train: DataFrame, test: DataFrame, *, search: bool = False, size: int = 50_000, iterations: int = 1000) -> DataFrame:
+    """(name, balanced_accuracy, macro_f1) of a classifier on test, with a grid search over three folds on request.
 
-def _evaluate_svm(train: DataFrame, test: DataFrame, *, search: bool, iterations: int) -> DataFrame:
-    """All penalties and folds in common passes, then the best penalty on all rows; unlike ``classifier``'s, the loss is the scripts' squared hinge."""
-    n = train.count()
-    parts = max(1, n // _ROWS)
+    All values and folds of the grid go through the same passes, then the best value is fitted on all rows.
+    """
+    grid = classifier(kind, search)
+    indexer = index_labels(train)
+    terms_, transform = vectorizer(size)(train)
+    size, n, classes = len(terms_), train.count(), len(indexer.labels)
+    train, test = (indexer.transform(x).select("row_id", "text", F.col("label_index").cast("int").alias("label")) for x in (train, test))
     held = folds(train.select("row_id", "label"), FOLDS).select("row_id", "fold") if search else train.select("row_id", F.lit(0).alias("fold"))
-    rows = svm.sparse(train.join(held, "row_id").select(F.col("label").cast("int").alias("label"), "fold", "features")).repartition(parts).persist()
-    size = train.select("features").first()["features"].size if n else 0
-    classes = int(train.agg(F.max("label")).first()[0] or 0) + 1
+    rows = transform(train.join(held, "row_id").select("label", "fold", "text")).repartition(max(1, n // _ROWS)).persist()
     try:
-        best = svm.search(rows, size, classes, GRID, FOLDS, svm.macro_f1, tolerance=TOLERANCE, iterations=iterations) if search else PENALTY
-        weights = svm.fit(rows, size, [(k, best, -1) for k in range(classes)], tolerance=TOLERANCE, iterations=iterations)
+        given = {"tolerance": TOLERANCE, "iterations": iterations}
+        best = svm.search(rows, size, classes, grid, FOLDS, svm.macro_f1, kind=kind, **given) if search else grid[0]
+        weights = svm.train(kind, rows, size, classes, [(best, -1)], **given)
     finally:
         rows.unpersist()
-    asked = svm.sparse(test.select(F.col("label").cast("int").alias("label"), F.lit(-1).alias("fold"), "features"))
-    scored = svm.predictions(asked, size, {(best, -1): weights}, held_out=False).select("label", "prediction")
-    return summary(scored).select(F.lit("svm").alias("name"), F.round("balanced_accuracy", 4).alias("balanced_accuracy"), F.round("macro_f1", 4).alias("macro_f1"))
+    asked = transform(test.select("label", F.lit(-1).alias("fold"), "text"))
+    scored = svm.predictions(asked, size, weights, held_out=False).select("label", "prediction")
+    return summary(scored).select(F.lit(kind).alias("name"), F.round("balanced_accuracy", 4).alias("balanced_accuracy"), F.round("macro_f1", 4).alias("macro_f1"))

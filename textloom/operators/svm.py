@@ -1,10 +1,14 @@
-"""Linear support vector machines, one against the rest with squared hinge loss, for all classes, penalties and folds at once.
-
-A model's weights minimise ``|w|**2 / 2 + C * sum(max(0, 1 - y * w @ x)**2)``, the bias being the weight of a
-constant feature. All models go through the same passes: each task sums loss and gradient of every model over its
-sparse rows, the sums meet in a few tasks and then on the driver, and L-BFGS takes every model's own step. What the
-driver holds and sends is bounded by the vocabulary times the models; models beyond ``CELLS`` weights are fitted
-in turns. Models that have converged leave the passes.
+"""Linear models for all classes, penalties and folds at once: squared hinge one against the rest, and softmax over the classes.
+
+Weights minimise ``|w|**2 / 2 + C * loss``. The hinge model of a class sums ``max(0, 1 - y * w @ x)**2`` and its
+bias is the weight of a constant feature, penalised like any other; the softmax model of all classes sums
+``-log p(class)`` and leaves its biases free. All models go through the same passes: each task sums loss and
+gradient of every model over dense blocks of its rows, slices of the sums meet in a few tasks and then on the
+driver, and L-BFGS, preconditioned by the diagonal of the curvature, takes every model's own step. Passes start at
+the mean of what each chunk of at most ``LOCAL`` rows gives by itself: a chunk's problem has as many dimensions as
+rows, so it is solved in those. What the driver holds and sends is bounded by the vocabulary times the models;
+models beyond ``CELLS`` weights are fitted in turns. Models that have converged leave the passes. ``bayes`` needs no
+passes: every fold's Naive Bayes model comes from one count by class and fold.
 """
 
 from __future__ import annotations
@@ -16,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Weights fitted at once; cells of a task's product; remembered steps; halvings of a step.
-CELLS, BLOCK, MEMORY, HALVED = 1 << 22, 1 << 21, 5, 20
+#: Weights fitted at once; cells of a task's dense block; remembered steps; cuts of a step; cells of a slice of sums; tasks whose sums go straight to the driver.
+CELLS, BLOCK, MEMORY, HALVED, SLICE, DIRECT = 1 << 22, 1 << 23, 8, 20, 1 << 17, 8
+#: Rows and entries of a chunk that is solved by itself; share of the tolerance to which it is.
+LOCAL, ENTRIES, CLOSER = 1024, 1 << 22, 0.5
 
 
 def sparse(rows: DataFrame) -> DataFrame:
@@ -36,153 +42,354 @@ def sparse(rows: DataFrame) -> DataFrame:
     return rows.select("label", "fold", "features").mapInArrow(run, "label int, fold int, places array<int>, values array<double>")
 
 
-def rows_of(batches, size: int, models: int):
-    """Class, fold, row starts, places and values of sparse rows, as many as keep a product in bounds; the constant feature is the last."""
+def blocks(batches, size: int):
+    """Class, fold, distinct places and dense rows over them, as many rows as keep a block in bounds; the constant feature is the last."""
     for batch in batches:
         n = batch.column("places").value_lengths().to_numpy() + 1
         ends, start = np.cumsum(n), 0
         while start < len(n):
-            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + BLOCK // max(models, 1), "right")))
+            cells = np.arange(1, len(n) - start + 1) * (ends[start:] - (ends[start - 1] if start else 0))
+            stop = start + max(1, int(np.searchsorted(cells, BLOCK, "right")))
             own = batch.slice(start, stop - start)
-            ptr = np.concatenate([[0], np.cumsum(n[start:stop])])
-            idx, val = np.full(ptr[-1], size, np.int64), np.ones(ptr[-1])
-            inner = np.ones(ptr[-1], bool)
-            inner[ptr[1:] - 1] = False
-            idx[inner], val[inner] = own.column("places").flatten().to_numpy(), own.column("values").flatten().to_numpy()
-            yield own.column("label").to_numpy().astype(np.int64), own.column("fold").to_numpy().astype(np.int64), ptr, idx, val
+            idx, val = own.column("places").flatten().to_numpy(), own.column("values").flatten().to_numpy()
+            at, inverse = np.unique(idx, return_inverse=True)
+            x = np.zeros((stop - start, len(at) + 1))
+            x[np.repeat(np.arange(stop - start), n[start:stop] - 1), inverse] = val
+            x[:, -1] = 1
+            yield own.column("label").to_numpy().astype(np.int64), own.column("fold").to_numpy().astype(np.int64), np.append(at, size), x
             start = stop
 
 
-def products(ptr: np.ndarray, idx: np.ndarray, val: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Sparse rows by weights."""
-    cells = w[idx]
-    cells *= val[:, None]
-    return np.add.reduceat(cells, ptr[:-1], axis=0)
-
+def summed(rows: DataFrame, sums, shape: tuple[int, int]) -> np.ndarray:
+    """The total of each task's ``sums(batches)``, arrays of one shape; of many tasks, slices meet by an exchange, so the driver gets each once."""
+    height = max(1, SLICE // max(shape[1], 1))
 
-class Passes:
-    """Loss and gradient of models (class, C, fold left out; -1 leaves none out) over rows as ``sparse`` makes them."""
+    def cut(batches):
+        total = sums(batches)
+        parts = [(i // height, total[i : i + height].tobytes()) for i in range(0, shape[0], height)]
+        for part, own in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([own], pa.binary())], names=["part", "sums"])
 
-    def __init__(self, rows: DataFrame, size: int, models: list[tuple[int, float, int]]):
-        self.rows, self.size, self.models = rows, size, models
-        self.tasks = rows.rdd.getNumPartitions()
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                got = np.frombuffer(own.as_py())
+                held[part] = held[part] + got if part in held else got
+        for part, total in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
+
+    schema, tasks = "part int, sums binary", rows.rdd.getNumPartitions()
+    out = rows.mapInArrow(cut, schema)
+    if tasks > DIRECT:
+        out = out.repartition(DIRECT, "part").mapInArrow(add, schema)
+    total = np.zeros(shape)
+    for r in out.collect():
+        own = total[r["part"] * height : (r["part"] + 1) * height]
+        own += np.frombuffer(r["sums"]).reshape(own.shape)
+    return total
+
+
+def by_fold(rows: DataFrame, size: int, folds: int) -> np.ndarray:
+    """Sums of squared features (and of the constant) by fold from -1, one column each."""
+
+    def sums(batches):
+        total = np.zeros((size + 1, folds + 1))
+        for _, fold, at, x in blocks(batches, size):
+            for f in np.unique(fold):
+                total[at, f + 1] += (x[fold == f] ** 2).sum(0)
+        return total
+
+    return summed(rows, sums, (size + 1, folds + 1))
+
+
+def losses(z: np.ndarray, y: np.ndarray, fold: np.ndarray, of: np.ndarray, left: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Loss of each model and its derivative by the rows' products ``z``; rows of a model's left-out fold count nothing."""
+    on, hit = fold[:, None] != left, y[:, None] == of
+    if width == 1:
+        sign = np.where(hit, 1.0, -1.0)
+        miss = np.maximum(1 - sign * z, 0) * on
+        return (miss**2).sum(0), -2 * sign * miss
+    z = z.reshape(len(y), -1, width)
+    z = z - z.max(2, keepdims=True)
+    z = (z - np.log(np.exp(z).sum(2, keepdims=True))).reshape(len(y), -1)
+    return -np.where(hit & on, z, 0).sum(0), (np.exp(z) - hit) * on
+
+
+class Problem:
+    """Models (class, C, fold left out; -1 leaves none out); ``width`` of them in a row are one problem: 1 for hinge, all classes of one C and fold for softmax."""
+
+    def __init__(self, size: int, models: list[tuple[int, float, int]], width: int):
+        self.size, self.models, self.width = size, models, width
+        self.held = np.ones((size + 1, 1))
+        if width > 1:
+            self.held[-1] = 0
+
+    def columns(self, which: np.ndarray) -> np.ndarray:
+        return (which[:, None] * self.width + np.arange(self.width)).ravel()
+
+    def curvature(self, squares: np.ndarray) -> np.ndarray:
+        """The diagonal of the second derivative at its largest, of sums of squares by fold from -1."""
+        c, left = np.array([m[1] for m in self.models]), [m[2] for m in self.models]
+        own = squares.sum(1, keepdims=True) - np.stack([squares[:, f + 1] if 0 <= f < squares.shape[1] - 1 else np.zeros(len(squares)) for f in left], 1)
+        return np.maximum(self.held + c * own * (2.0 if self.width == 1 else 0.25), 1e-12)
 
     def __call__(self, w: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        spark, size = self.rows.sparkSession, self.size
-        own = [self.models[i] for i in which]
-        shared = spark.sparkContext.broadcast((w, np.array([m[0] for m in own]), np.array([m[2] for m in own])))
-
-        def gather(batches):
-            w, of, left = shared.value
-            loss, slope = np.zeros(w.shape[1]), np.zeros_like(w)
-            for y, fold, ptr, idx, val in rows_of(batches, size, w.shape[1]):
-                sign = np.where(y[:, None] == of, 1.0, -1.0)
-                miss = np.maximum(1 - sign * products(ptr, idx, val, w), 0) * (fold[:, None] != left)
-                loss += (miss**2).sum(0)
-                pull = sign * miss
-                order = np.argsort(idx, kind="stable")
-                first = np.flatnonzero(np.concatenate([[True], idx[order][1:] != idx[order][:-1]]))
-                row, weight, at = np.repeat(np.arange(len(y)), np.diff(ptr))[order], val[order], idx[order][first]
-                cells = pull[row]
-                cells *= weight[:, None]
-                slope[at] -= 2 * np.add.reduceat(cells, first, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array([np.vstack([loss, slope]).tobytes()], pa.binary())], names=["sums"])
-
-        def add(batches):
-            total = None
-            for batch in batches:
-                for x in batch.column(0):
-                    got = np.frombuffer(x.as_py())
-                    total = got.copy() if total is None else total + got
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
-
-        sums = self.rows.mapInArrow(gather, "sums binary")
-        if self.tasks > 4:
-            sums = sums.repartition(int(np.ceil(np.sqrt(self.tasks)))).mapInArrow(add, "sums binary")
-        total = sum(np.frombuffer(r["sums"]) for r in sums.collect())
-        total = total.reshape(size + 2, -1) if len(which) and not np.isscalar(total) else np.zeros((size + 2, len(which)))
-        shared.destroy()
+        """Value by problem and gradient by model, of the problems ``which`` at weights ``w``."""
+        own = [self.models[i] for i in self.columns(which)]
+        total = self.total(w, np.array([m[0] for m in own]), np.array([m[2] for m in own]))
         c = np.array([m[1] for m in own])
-        return 0.5 * (w**2).sum(0) + c * total[0], w + c * total[1:]
+        value = 0.5 * (self.held * w**2).sum(0) + c * total[0]
+        return value.reshape(-1, self.width).sum(1), self.held * w + c * total[1:]
+
+
+class Passes(Problem):
+    """Over rows as ``sparse`` makes them, a pass for each call."""
 
+    def __init__(self, rows: DataFrame, size: int, models: list[tuple[int, float, int]], width: int = 1):
+        super().__init__(size, models, width)
+        self.rows = rows
 
-def minimise(passes, shape: tuple[int, int], tolerance: np.ndarray, iterations: int) -> np.ndarray:
-    """Weights of every model by L-BFGS in step; a model ends when its gradient is below its tolerance times the first one."""
-    w = np.zeros(shape)
-    live = np.arange(shape[1])
+    def total(self, w: np.ndarray, of: np.ndarray, left: np.ndarray) -> np.ndarray:
+        size, width = self.size, self.width
+        shared = self.rows.sparkSession.sparkContext.broadcast((w, of, left))
+
+        def sums(batches):
+            w, of, left = shared.value
+            total = np.zeros((size + 2, w.shape[1]))
+            for y, fold, at, x in blocks(batches, size):
+                loss, pull = losses(x @ w[at], y, fold, of, left, width)
+                total[0] += loss
+                total[at + 1] += x.T @ pull
+            return total
+
+        total = summed(self.rows, sums, (size + 2, w.shape[1]))
+        shared.destroy()
+        return total
+
+
+class Chunk(Problem):
+    """Over a chunk's rows in the dimensions that they span; ``back`` gives weights of the features."""
+
+    def __init__(self, table: pa.Table, size: int, models: list[tuple[int, float, int]], width: int):
+        n = len(table)
+        self.y, self.fold = table.column("label").to_numpy().astype(np.int64), table.column("fold").to_numpy().astype(np.int64)
+        places = table.column("places").combine_chunks()
+        at, val = places.flatten().to_numpy(), table.column("values").combine_chunks().flatten().to_numpy()
+        order = np.argsort(at, kind="stable")
+        self.at, self.val, self.row = at[order], val[order], np.repeat(np.arange(n), places.value_lengths().to_numpy())[order]
+        gram = np.zeros((n, n))
+        for _, x in self.stripes():
+            gram += x @ x.T
+        values, vectors = np.linalg.eigh(gram)
+        on = values > 1e-12 * max(values.max(initial=0), 1e-300)
+        self.turn = vectors[:, on] / np.sqrt(values[on])
+        self.x = np.hstack([vectors[:, on] * np.sqrt(values[on]), np.ones((n, 1))])
+        self.features = size
+        super().__init__(int(on.sum()), models, width)
+
+    def stripes(self):
+        """The rows over some of their features at a time: the features, dense cells."""
+        distinct, first = np.unique(self.at, return_index=True)
+        first, step = np.append(first, len(self.at)), max(1, BLOCK // max(len(self.y), 1))
+        for i in range(0, len(distinct), step):
+            own, some = distinct[i : i + step], slice(first[i], first[min(i + step, len(distinct))])
+            x = np.zeros((len(self.y), len(own)))
+            x[self.row[some], np.searchsorted(own, self.at[some])] = self.val[some]
+            yield own, x
+
+    def total(self, w: np.ndarray, of: np.ndarray, left: np.ndarray) -> np.ndarray:
+        loss, pull = losses(self.x @ w, self.y, self.fold, of, left, self.width)
+        return np.vstack([loss, self.x.T @ pull])
+
+    def squares(self, folds: int) -> np.ndarray:
+        return np.stack([(self.x[self.fold == f] ** 2).sum(0) for f in range(-1, folds)], 1)
+
+    def back(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.features + 1, w.shape[1]))
+        turned = self.turn @ w[:-1]
+        for own, x in self.stripes():
+            out[own] = x.T @ turned
+        out[-1] = w[-1]
+        return out
+
+
+def chunks(batches):
+    """Tables of at most ``LOCAL`` rows and about ``ENTRIES`` entries."""
+    held, rows, entries = [], 0, 0
+    for batch in batches:
+        ends, start = np.cumsum(batch.column("places").value_lengths().to_numpy()), 0
+        while start < len(ends):
+            before = ends[start - 1] if start else 0
+            stop = min(start + LOCAL - rows, int(np.searchsorted(ends, before + ENTRIES - entries, "right")))
+            stop = max(stop, start if held else start + 1)
+            if stop > start:
+                held.append(batch.slice(start, stop - start))
+                rows, entries, start = rows + stop - start, entries + int(ends[stop - 1] - before), stop
+            if start < len(ends):
+                yield pa.Table.from_batches(held)
+                held, rows, entries = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def first_weights(passes: Passes, n: int, folds: int, tolerance: np.ndarray, iterations: int) -> np.ndarray:
+    """The mean of the chunks' own weights, by their rows; a chunk stands for all ``n`` rows, so its losses count more."""
+    size, models, width = passes.size, passes.models, passes.width
+
+    def sums(batches):
+        total = np.zeros((size + 2, len(models)))
+        for table in chunks(batches):
+            chunk = Chunk(table, size, [(k, c * n / len(table), left) for k, c, left in models], width)
+            own = minimise(chunk, chunk.curvature(chunk.squares(folds)), CLOSER * tolerance, iterations)
+            total[:-1] += len(table) * chunk.back(own)
+            total[-1] += len(table)
+        return total
+
+    total = summed(passes.rows, sums, (size + 2, len(models)))
+    return total[:-1] / np.maximum(total[-1], 1)
+
+
+def minimise(passes: Problem, curvature: np.ndarray, tolerance: np.ndarray, iterations: int, first: np.ndarray | None = None) -> np.ndarray:
+    """Weights of every problem by L-BFGS in step, from ``first`` or zero.
+
+    A hinge problem ends when its gradient's length is below its tolerance times that at zero, a softmax problem when
+    the largest entry is below its tolerance.
+    """
+    width = passes.width
+    w = np.zeros(curvature.shape)
+    live = np.arange(curvature.shape[1] // width)
+    dot = lambda a, b: np.einsum("dm,dm->m", a, b).reshape(-1, width).sum(1)
+    wide = lambda x: np.repeat(x, width)
+    size = lambda g: np.sqrt(dot(g, g)) if width == 1 else np.abs(g).max(0).reshape(-1, width).max(1)
     f, g = passes(w, live)
-    bound = tolerance * np.sqrt((g**2).sum(0))
+    bound = tolerance * (size(g) if width == 1 else 1.0)
+    if first is not None:
+        w = first
+        f, g = passes(w, live)
     past: list[list[np.ndarray]] = []
-    dot = lambda a, b: np.einsum("dm,dm->m", a, b)
     for _ in range(iterations):
-        on = np.sqrt(dot(g, g)) > bound[live]
+        on = size(g) > bound[live]
         if not on.all():
-            live, f, g = live[on], f[on], g[:, on]
-            past = [[s[:, on], y[:, on], r[on]] for s, y, r in past]
+            live, f, g, wider = live[on], f[on], g[:, wide(on)], wide(on)
+            past = [[s[:, wider], y[:, wider], r[on]] for s, y, r in past]
         if not len(live):
             break
+        at = passes.columns(live)
         d, held = -g, []
         for s, y, r in reversed(past):
             a = r * dot(s, d)
-            d = d - a * y
+            d = d - wide(a) * y
             held.append(a)
+        scale = 1 / curvature[:, at]
         if past:
             s, y, r = past[-1]
-            d = d * np.where(r > 0, 1 / np.maximum(r * dot(y, y), 1e-300), 1.0)
+            gamma = np.where(r > 0, 1 / np.maximum(r * dot(y, y * scale), 1e-300), 1.0)
+            scale = scale * wide(gamma)
+        d = d * scale
         for (s, y, r), a in zip(past, reversed(held), strict=True):
-            d = d + (a - r * dot(y, d)) * s
+            d = d + wide(a - r * dot(y, d)) * s
         slope = dot(g, d)
-        t = np.ones(len(live)) if past else 1 / np.maximum(np.sqrt(dot(g, g)), 1.0)
+        t, todo = np.ones(len(live)), np.arange(len(live))
+        trial, f2, g2 = w[:, at].copy(), f.copy(), g.copy()
         for _ in range(HALVED):
-            trial = w[:, live] + t * d
-            f2, g2 = passes(trial, live)
+            own = passes.columns(todo)
+            trial[:, own] = w[:, at[own]] + wide(t[todo]) * d[:, own]
+            f2[todo], g2[:, own] = passes(trial[:, own], live[todo])
+            rise = f2 - f - t * slope
             worse = f2 > f + 1e-4 * t * slope + 1e-12 * np.abs(f)
-            if not worse.any():
+            todo = todo[worse[todo]]
+            if not len(todo):
                 break
-            t = np.where(worse, t / 2, t)
-        s, y = trial - w[:, live], g2 - g
+            # The parabola through both values and the slope says where to look next.
+            best = -slope * t**2 / np.maximum(2 * rise, 1e-300)
+            t = np.where(worse, np.clip(best, 0.1 * t, 0.5 * t), t)
+        s, y = trial - w[:, at], g2 - g
         sy = dot(s, y)
-        past = [*past[-(MEMORY - 1) :], [s, y, np.where(sy > 1e-12, 1 / np.maximum(sy, 1e-300), 0.0)]]
-        w[:, live], f, g = trial, f2, g2
+        past = [*past[-(MEMORY - 1) :], [s, y, np.where(sy > 1e-300, 1 / np.maximum(sy, 1e-300), 0.0)]]
+        w[:, at], f, g = trial, f2, g2
     return w
 
 
-def fit(rows: DataFrame, size: int, models: list[tuple[int, float, int]], *, tolerance: float = 1e-4, iterations: int = 1000) -> np.ndarray:
-    """Weights (``size`` and the bias, by models). A model's tolerance is scaled by its rarer side, as the scripts' library does."""
-    counts = {(r["label"], r["fold"]): r["n"] for r in rows.groupBy(F.col("label").cast("int").alias("label"), "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
-    scaled = []
-    for k, _, left in models:
-        total = sum(n for (_, f), n in counts.items() if f != left)
-        own = sum(n for (y, f), n in counts.items() if f != left and y == k)
-        scaled.append(tolerance * max(min(own, total - own), 1) / max(total, 1))
-    out, at_once = [], max(1, CELLS // (size + 1))
-    for start in range(0, len(models), at_once):
-        some = models[start : start + at_once]
-        out.append(minimise(Passes(rows, size, some), (size + 1, len(some)), np.array(scaled[start : start + at_once]), iterations))
+def counts(rows: DataFrame) -> dict[tuple[int, int], int]:
+    """Rows by class and fold."""
+    return {(r["label"], r["fold"]): r["n"] for r in rows.groupBy(F.col("label").cast("int").alias("label"), "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def fit(rows: DataFrame, size: int, models: list[tuple[int, float, int]], *, tolerance: float = 1e-4, iterations: int = 1000, width: int = 1) -> np.ndarray:
+    """Weights (``size`` and the bias, by models); with a ``width``, that many models in a row are the classes of one softmax.
+
+    As in the scripts' library, a hinge model's tolerance is scaled by its rarer side, and a softmax's is that of the mean loss.
+    """
+    found, scaled = counts(rows), []
+    for k, c, left in models[::width]:
+        total = sum(n for (_, f), n in found.items() if f != left)
+        own = sum(n for (y, f), n in found.items() if f != left and y == k)
+        scaled.append(tolerance * (max(min(own, total - own), 1) / max(total, 1) if width == 1 else c * max(total, 1)))
+    squares = by_fold(rows, size, max((f for _, f in found), default=-1) + 1)
+    out, at_once = [], max(1, CELLS // (size + 1) // width)
+    for start in range(0, len(scaled), at_once):
+        passes = Passes(rows, size, models[start * width : (start + at_once) * width], width)
+        bound = np.array(scaled[start : start + at_once])
+        first = first_weights(passes, sum(found.values()), squares.shape[1] - 1, bound, iterations)
+        out.append(minimise(passes, passes.curvature(squares), bound, iterations, first))
     return np.hstack(out)
 
 
+def bayes(rows: DataFrame, size: int, classes: int, models: list[tuple[float, int]]) -> dict[tuple[float, int], np.ndarray]:
+    """Multinomial Naive Bayes of each (smoothing, fold left out), as weights whose last row is the log prior.
+
+    One pass sums features by class and fold; a model's counts are all folds' less the one left out. A class
+    without rows outside that fold has prior zero.
+    """
+    found = counts(rows)
+    folds = max((f for _, f in found), default=-1) + 2
+
+    def sums(batches):
+        total = np.zeros((size + 1, classes * folds))
+        for y, fold, at, x in blocks(batches, size):
+            group = y * folds + fold + 1
+            for i in np.unique(group):
+                total[at, i] += x[group == i].sum(0)
+        return total
+
+    total = summed(rows, sums, (size + 1, classes * folds)).reshape(size + 1, classes, folds)
+    out = {}
+    for alpha, left in models:
+        own = total.sum(2) - (total[:, :, left + 1] if left >= 0 else 0)
+        smooth = np.maximum(own[:-1], 0) + alpha
+        with np.errstate(divide="ignore"):
+            prior = np.log(np.round(own[-1]) / max(np.round(own[-1]).sum(), 1))
+        out[(alpha, left)] = np.vstack([np.log(smooth) - np.log(smooth.sum(0)), prior])
+    return out
+
+
 def predictions(rows: DataFrame, size: int, weights: dict[tuple[float, int], np.ndarray], held_out: bool) -> DataFrame:
     """(c, left, label, prediction) of each row by the models of each (C, fold left out); ``held_out``: only of that fold's rows."""
     shared = rows.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
-        for y, fold, ptr, idx, val in rows_of(batches, size, max(w.shape[1] for w in shared.value.values())):
+        for y, fold, at, x in blocks(batches, size):
             for (c, left), w in shared.value.items():
                 on = fold == left if held_out else np.ones(len(y), bool)
-                best = products(ptr, idx, val, w).argmax(1)[on]
+                best = (x[on] @ w[at]).argmax(1)
                 parts = [np.full(on.sum(), c), np.full(on.sum(), left), y[on].astype(float), best.astype(float)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(parts, (pa.float64(), pa.int32(), pa.float64(), pa.float64()), strict=True)], names=["c", "left", "label", "prediction"])
 
     return rows.mapInArrow(run, "c double, left int, label double, prediction double")
 
 
-def search(rows: DataFrame, size: int, classes: int, grid: list[float], folds: int, score, *, tolerance: float = 1e-4, iterations: int = 1000) -> float:
-    """The C with the best mean ``score(label, prediction table)`` over the folds, the first of equals."""
-    models = [(k, c, f) for c, f, k in product(grid, range(folds), range(classes))]
-    w = fit(rows, size, models, tolerance=tolerance, iterations=iterations)
-    by = {(c, f): w[:, (i * folds + f) * classes : (i * folds + f + 1) * classes] for i, c in enumerate(grid) for f in range(folds)}
+def train(kind: str, rows: DataFrame, size: int, classes: int, asked: list[tuple[float, int]], *, tolerance: float = 1e-4, iterations: int = 1000) -> dict[tuple[float, int], np.ndarray]:
+    """Weights of 'svm', 'logreg' or 'nb' for each (penalty or smoothing, fold left out)."""
+    if kind == "nb":
+        return bayes(rows, size, classes, asked)
+    w = fit(rows, size, [(k, c, f) for c, f in asked for k in range(classes)], tolerance=tolerance, iterations=iterations, width=classes if kind == "logreg" else 1)
+    return {own: w[:, i * classes : (i + 1) * classes] for i, own in enumerate(asked)}
+
+
+def search(rows: DataFrame, size: int, classes: int, grid: list[float], folds: int, score, *, tolerance: float = 1e-4, iterations: int = 1000, kind: str = "svm") -> float:
+    """The value of the grid with the best mean ``score(label, prediction table)`` over the folds, the first of equals."""
+    by = train(kind, rows, size, classes, list(product(grid, range(folds))), tolerance=tolerance, iterations=iterations)
     found = predictions(rows, size, by, held_out=True).groupBy("c", "left", "label", "prediction").agg(F.count(F.lit(1)).alias("n")).collect()
     mean = {c: np.mean([score([(r["label"], r["prediction"], r["n"]) for r in found if (r["c"], r["left"]) == (c, f)]) for f in range(folds)]) for c in grid}
     return max(grid, key=lambda c: mean[c])
