@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 
 from .dedup import new_against
+from .language import nearest
 
 #: What a leaked prompt looks like in the first 150 characters, and anywhere.
 LEAK_START = [
@@ -159,59 +160,149 @@ def similarity_threshold(attempt: Column) -> Column:
     return F.round(F.least(F.lit(0.95) + F.greatest(F.lit(0), attempt - 2) * 0.01, F.lit(0.98)), 2)
 
 
-#: Vectors of a class in one block, about.
-BLOCK = 1024
+#: Vectors in one block, about; most pivots of a class; vectors by pivot, about, below that; what rounding may hide of a bound.
+BLOCK, PIVOTS, CELL, SLACK = 1024, 256, 256, 1e-9
 
 
-def max_similarity(candidates: DataFrame, existing: DataFrame) -> DataFrame:
-    """(cand_id, similarity): the largest cosine with a vector of the same class; candidates of classes without any are left out.
+def _unit(column: pa.ChunkedArray) -> np.ndarray:
+    v = np.stack(column.to_numpy()).astype(np.float64)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
-    Both have (id column, label, embedding). Blocks of a class's candidates meet blocks of its distinct
-    existing vectors, one matrix product each, and nothing is paired row by row.
-    """
 
-    def blocked(df: DataFrame, salt: Column, name: str) -> tuple[DataFrame, DataFrame]:
-        sizes = df.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"{name}s"))
-        return df.join(sizes, "label").withColumn(name, F.pmod(salt, F.col(f"{name}s")).cast("int")), sizes
+def _parts(rows: DataFrame, keys: list[str], size: int, *salt: str) -> tuple[DataFrame, DataFrame]:
+    """Adds ``part``, by which rows of one key are divided into about ``size`` each; and the keys with their ``parts``."""
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
+    return rows.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64(*salt), F.col("parts")).cast("int")).drop("parts"), sizes
+
+
+def _each(column: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(column) - 1))
+
+
+def pivots(existing: DataFrame) -> DataFrame:
+    """(label, pivot, embedding): some vectors of each class, one for about ``CELL``, ``PIVOTS`` at most, the first by hash."""
+    from .dedup import top_by
+
+    wanted = existing.groupBy("label").agg(F.least(F.ceil(F.count("*") / CELL), F.lit(PIVOTS)).cast("int").alias("wanted"))
+    hashed = existing.join(wanted, "label").withColumn("hash", F.xxhash64("embedding"))
+    return top_by(hashed, "wanted", [F.asc("hash"), F.asc("embedding")], ["label"]).select("label", F.col("rank").alias("pivot"), "embedding")
+
+
+def _with_pivots(rows: DataFrame, salt: str, centres: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``run(rows, pivots)`` of parts of each class; a class's pivots go to each of its parts."""
+    parted, sizes = _parts(rows, ["label"], 16 * BLOCK, salt)
+    sent = centres.join(sizes, "label").withColumn("part", _each("parts")).drop("parts")
+    parted, sent = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (parted, sent))
+    return parted.groupBy("label", "part").cogroup(sent.groupBy("label", "part")).applyInArrow(run, schema)
+
+
+def cells(existing: DataFrame, centres: DataFrame) -> DataFrame:
+    """(label, pivot, angle, embedding): every vector with the nearest pivot of its class."""
+
+    def run(some: pa.Table, those: pa.Table) -> pa.Table:
+        if not len(some) or not len(those):
+            return some.select(["label", "embedding"]).slice(0, 0).append_column("pivot", pa.array([], pa.int32())).append_column("angle", pa.array([], pa.float64())).select(["label", "pivot", "angle", "embedding"])
+        those = those.sort_by("pivot")
+        near = _unit(some.column("embedding")) @ _unit(those.column("embedding")).T
+        best = near.argmax(1)
+        angle = np.arccos(np.clip(near[np.arange(len(best)), best], -1, 1))
+        return pa.table({"label": some.column("label"), "pivot": those.column("pivot").take(pa.array(best)).cast(pa.int32()), "angle": pa.array(angle), "embedding": some.column("embedding")})
+
+    kinds = {f.name: f.dataType.simpleString() for f in existing.schema}
+    return _with_pivots(existing, "embedding", centres, run, f"label {kinds['label']}, pivot int, angle double, embedding {kinds['embedding']}")
 
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asked, asked_sizes = blocked(candidates.select("cand_id", "label", "embedding"), F.xxhash64("cand_id"), "a")
-    held, held_sizes = blocked(existing.select("label", "embedding").distinct(), F.xxhash64("embedding"), "b")
-    asked = asked.join(held_sizes, "label").withColumn("b", every("bs")).select("label", "a", "b", "cand_id", "embedding")
-    held = held.join(asked_sizes, "label").withColumn("a", every("as")).select("label", "a", "b", "embedding")
 
-    def unit(column: pa.ChunkedArray) -> np.ndarray:
-        v = np.stack(column.to_numpy()).astype(np.float64)
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+def visits(candidates: DataFrame, centres: DataFrame, reaches: DataFrame, known: bool) -> DataFrame:
+    """(cand_id, label, pivot, embedding): the cells in which a candidate must look.
+
+    ``reaches`` has the largest angle of each cell. At first that is the one with the nearest pivot. Once a
+    similarity is ``known`` (a column of ``candidates``, with the cell it came from as ``seen``), by the triangle
+    inequality a cell is worth a look only if the angle to its pivot less the cell's own could give a larger one.
+    """
+
+    def run(some: pa.Table, those: pa.Table) -> pa.Table:
+        out = some.select(["cand_id", "label", "embedding"])
+        if not len(some) or not len(those):
+            return out.slice(0, 0).append_column("pivot", pa.array([], pa.int32()))
+        those = those.sort_by("pivot")
+        near, names = _unit(some.column("embedding")) @ _unit(those.column("embedding")).T, those.column("pivot").to_numpy()
+        if known:
+            least = np.maximum(np.arccos(np.clip(near, -1, 1)) - those.column("reach").to_numpy(), 0)
+            open_ = np.cos(least) > some.column("known").to_numpy()[:, None] - SLACK
+            row, cell = np.nonzero(open_ & (names != some.column("seen").to_numpy()[:, None]))
+        else:
+            row, cell = np.arange(len(some)), near.argmax(1)
+        return out.take(pa.array(row)).append_column("pivot", pa.array(names[cell], pa.int32()))
+
+    kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
+    sent = centres.join(reaches, ["label", "pivot"])
+    return _with_pivots(candidates, "cand_id", sent, run, f"cand_id {kinds['cand_id']}, label {kinds['label']}, embedding {kinds['embedding']}, pivot int")
+
+
+def _looked_up(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(cand_id, label, pivot, similarity) of candidates and all vectors of the cells that they visit, block by block, one product each."""
+    keys = ["label", "pivot"]
+    a, a_sizes = _parts(asked, keys, BLOCK, "cand_id")
+    b, b_sizes = _parts(held, keys, BLOCK, "embedding")
+    a = a.join(b_sizes, keys).withColumn("other", _each("parts")).select(*keys, "part", "other", "cand_id", "embedding")
+    b = b.join(a_sizes, keys).withColumn("other", _each("parts")).select(*keys, F.col("other").alias("part"), F.col("part").alias("other"), "embedding")
+    kinds = {f.name: f.dataType.simpleString() for f in asked.schema}
 
     def best(some: pa.Table, those: pa.Table) -> pa.Table:
+        out = some.select(["cand_id", "label", "pivot"])
         if not len(some) or not len(those):
-            return pa.table({"cand_id": some.column("cand_id").slice(0, 0), "s": pa.array([], pa.float64())})
-        return pa.table({"cand_id": some.column("cand_id"), "s": pa.array((unit(some.column("embedding")) @ unit(those.column("embedding")).T).max(1))})
+            return out.slice(0, 0).append_column("similarity", pa.array([], pa.float64()))
+        return out.append_column("similarity", pa.array((_unit(some.column("embedding")) @ _unit(those.column("embedding")).T).max(1)))
+
+    on = [*keys, "part", "other"]
+    a, b = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (a, b))
+    return a.groupBy(*on).cogroup(b.groupBy(*on)).applyInArrow(best, f"cand_id {kinds['cand_id']}, label {kinds['label']}, pivot int, similarity double")
 
-    # Both may come from one table; new names tell their columns apart.
-    asked, held = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (asked, held))
-    kind = candidates.schema["cand_id"].dataType.simpleString()
-    met = asked.groupBy("label", "a", "b").cogroup(held.groupBy("label", "a", "b")).applyInArrow(best, f"cand_id {kind}, s double")
-    return met.groupBy("cand_id").agg(F.max("s").alias("similarity"))
 
+#: Writes a table under a name and reads it again.
+Keep = Callable[[DataFrame, str], DataFrame]
 
-def filter_by_similarity(candidates: DataFrame, existing: DataFrame, high: float = 0.95, low: float = 0.5) -> DataFrame:
+
+def max_similarity(candidates: DataFrame, existing: DataFrame, keep: Keep = lambda table, name: table) -> DataFrame:
+    """(cand_id, similarity): the largest cosine with a vector of the same class; candidates of classes without any are left out.
+
+    Both have (id column, label, embedding). A class's distinct vectors lie in cells around pivots. A candidate
+    looks in the cell of its nearest pivot first, then in those alone that may hold a nearer vector, so the
+    result is exact and cells far away never meet it. A null label has no class; rows without a vector are left out.
+    ``keep`` cuts what is used several times; by default it is made anew each time.
+    """
+    candidates, existing = candidates.select("cand_id", "label", "embedding").dropna(), existing.select("label", "embedding").dropna().distinct()
+    centres = keep(pivots(existing), "pivots")
+    held = keep(cells(existing, centres), "cells")
+    reaches = held.groupBy("label", "pivot").agg(F.max("angle").alias("reach"))
+    held = held.select("label", "pivot", "embedding")
+    first = keep(_looked_up(visits(candidates, centres, reaches, known=False), held).groupBy("cand_id", "label", "pivot").agg(F.max("similarity").alias("similarity")), "first")
+    again = candidates.join(first.select("cand_id", "label", F.col("pivot").alias("seen"), F.col("similarity").alias("known")), ["cand_id", "label"])
+    then = _looked_up(visits(again, centres, reaches, known=True), held)
+    return first.select("cand_id", "similarity").unionByName(then.select("cand_id", "similarity")).groupBy("cand_id").agg(F.max("similarity").alias("similarity"))
+
+
+def filter_by_similarity(candidates: DataFrame, existing: DataFrame, high: float = 0.95, low: float = 0.5, keep: Keep = lambda table, name: table) -> DataFrame:
     """Candidates whose largest similarity is in [low, high); a class without vectors lets all pass."""
-    found = candidates.join(max_similarity(candidates, existing), "cand_id", "left")
+    found = candidates.join(max_similarity(candidates, existing, keep), "cand_id", "left")
     return found.where(F.col("similarity").isNull() | ((F.col("similarity") >= low) & (F.col("similarity") < high)))
 
 
-def validate(candidates: DataFrame, existing: DataFrame, *, least: int = 500, detect: Callable[[str], str] | None = None, wanted: str = "ru", embed: Callable[[DataFrame], DataFrame] | None = None, high: float = 0.95, low: float = 0.5) -> DataFrame:
-    """The filters in order; native ones before those in Python. ``embed`` adds an embedding to a table with text."""
+def validate(candidates: DataFrame, existing: DataFrame, *, least: int = 500, detect: Callable[[str], str] | None = None, wanted: str = "ru", known: DataFrame | None = None, embed: Callable[[DataFrame], DataFrame] | None = None, high: float = 0.95, low: float = 0.5, keep: Keep = lambda table, name: table) -> DataFrame:
+    """The filters in order; native ones before those in Python.
+
+    ``known`` are the languages' profiles, by which ``wanted`` is found without a detector; ``embed`` adds an embedding to a table with text.
+    """
     c = F.col("text")
     out = new_against(candidates, existing).where(long_enough(c, least))
     out = out.where(varied(c) & no_foreign_script(c) & no_prompt_leak(c))
+    if known is not None:
+        out = out.join(nearest(out, known, "cand_id").where(F.col("detected") == wanted), "cand_id", "left_semi").select(candidates.columns)
     if detect is not None:
         out = out.where(in_language(c, detect, wanted))
     out = out.where(not_stuck(c))
     if embed is not None:
-        out = filter_by_similarity(embed(out), embed(existing), high, low).select(candidates.columns)
+        out = filter_by_similarity(keep(embed(out), "candidates"), keep(embed(existing), "existing"), high, low, keep).select(candidates.columns)
     return out
 
 

@@ -103,6 +103,20 @@ SELECT row_id, CASE WHEN len(u) * 2 < len(l) THEN array_to_string(u, chr(10)) EL
     "prompt_examples": "SELECT source AS label, string_agg(text, chr(10) || '---' || chr(10) ORDER BY r) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS r FROM documents) WHERE r <= 5 GROUP BY source",
     "dedup_vs_existing": _NEW,
     "short_filter": f"SELECT doc_id AS row_id FROM documents WHERE length({_strip('text')}) >= 500",
+    "language_profiles": """WITH words AS (SELECT doc_id AS row_id, lang, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS w FROM documents),
+        padded AS (SELECT row_id, lang, '_' || w || '_' AS w FROM words),
+        cut AS (SELECT row_id, lang, w, unnest([1, 2, 3]) AS size FROM padded),
+        each AS (SELECT row_id, lang, w, size, unnest(range(1, length(w) - size + 2)) AS start FROM cut),
+        grams AS (SELECT row_id, lang, substr(w, start, size) AS gram FROM each),
+        own AS (SELECT row_id, gram, count(*) AS n FROM grams WHERE gram <> '_' GROUP BY ALL),
+        own_ranked AS (SELECT row_id, gram, row_number() OVER (PARTITION BY row_id ORDER BY n DESC, gram) AS place FROM own QUALIFY place <= 300),
+        theirs AS (SELECT lang, gram, count(*) AS n FROM grams WHERE gram <> '_' AND lang IS NOT NULL GROUP BY ALL),
+        theirs_ranked AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS place FROM theirs QUALIFY place <= 300),
+        sized AS (SELECT row_id, count(*) AS m FROM own_ranked GROUP BY row_id),
+        near AS (SELECT o.row_id, t.lang, sum(abs(o.place - t.place)) + 300 * (max(s.m) - count(*)) AS distance
+            FROM own_ranked o JOIN theirs_ranked t USING (gram) JOIN sized s ON s.row_id = o.row_id GROUP BY o.row_id, t.lang),
+        best AS (SELECT row_id, lang AS detected, CAST(distance AS BIGINT) AS distance FROM near QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY distance, lang) = 1)
+        SELECT DISTINCT d.doc_id AS row_id, b.detected, b.distance FROM documents d LEFT JOIN best b ON b.row_id = d.doc_id""",
     "language_filter": "SELECT doc_id AS row_id FROM documents WHERE NOT regexp_matches(lower(text), '[éèêçàùäöüßñóíá]')",
     "degenerate_ratio": f"SELECT doc_id AS row_id FROM documents WHERE len({_RATIO}) < 3 OR len(list_distinct({_RATIO})) / len({_RATIO}) >= 0.2",
     "foreign_scripts": rf"SELECT row_id FROM ({_ODD}) WHERE NOT regexp_matches(text, '{T.FOREIGN}')",

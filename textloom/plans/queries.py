@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import backtranslation, dedup, features, filters, generation, metrics, quota
+from textloom.operators import backtranslation, dedup, embedding, features, filters, generation, language, metrics, quota
 from textloom.sources import io
 
 DROPPED = "src0"
@@ -147,7 +147,7 @@ def prompt_leak(spark, d):
 def cosine_filter(spark, d):
     # Two roles in one table: vectors 0, 5, 10, ... are the candidates, the others what the class has.
     v = spark.read.parquet(f"{d}/embeddings.parquet")
-    found = filters.filter_by_similarity(v.where("vec_id % 5 = 0").select(F.col("vec_id").alias("cand_id"), "label", "embedding"), v.where("vec_id % 5 <> 0").select("label", "embedding"), 0.35, 0.2)
+    found = filters.filter_by_similarity(v.where("vec_id % 5 = 0").select(F.col("vec_id").alias("cand_id"), "label", "embedding"), v.where("vec_id % 5 <> 0").select("label", "embedding"), 0.35, 0.2, _keep(spark, "cosine"))
     return found.select("cand_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -155,6 +155,19 @@ def validation_chain(spark, d):
     return filters.validate(*_candidates(spark, d), least=500).select("cand_id", "label")
 
 
+def language_profiles(spark, d):
+    """Every document's nearest language by n-gram ranks; the profiles are all documents' own."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("row_id"), "text", "lang")
+    return language.nearest(docs.select("row_id", "text"), language.profiles(docs), "row_id")
+
+
+def validation_whole(spark, d):
+    """All seven steps: English by n-gram ranks, and similarity by vectors from what the class has."""
+    candidates, existing = _candidates(spark, d)
+    known = language.profiles(spark.read.parquet(f"{d}/documents.parquet").select("text", "lang"))
+    return filters.validate(candidates, existing, least=500, wanted="en", known=known, embed=embedding.embedder(existing), keep=_keep(spark, "validation")).select("cand_id", "label")
+
+
 def similarity_schedule(spark, d):
     return documents(spark, d).select("row_id", filters.similarity_threshold((F.col("row_id") % 8 + 1).cast("int")).alias("threshold"))
 
@@ -347,6 +360,17 @@ def _folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _keep(spark: SparkSession, name: str) -> filters.Keep:
+    """Writes tables in a folder of their own."""
+    folder = _folder(spark, name)
+
+    def keep(table: DataFrame, part: str) -> DataFrame:
+        table.write.parquet(f"{folder}/{part}")
+        return spark.read.schema(table.schema).parquet(f"{folder}/{part}")
+
+    return keep
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -466,7 +490,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "normalize_ws": _odd_scalar(T.normalize_whitespace),
     "clean_chain": clean_pipeline,
 }
-for _f in (exact_dedup, cross_label_dedup, anomalous_texts, empty_filter, class_distribution, classes_to_augment, need_per_class, stratified_split, train_test_counts, threshold_counts, report_markers, prompt_examples, dedup_vs_existing, short_filter, language_filter, degenerate_ratio, degenerate_phrase, foreign_scripts, prompt_leak, cosine_filter, validation_chain, similarity_schedule, parse_score, judge_topk, judge_topk_pairs, mean_scores, round_robin_sources, round_robin_reshuffled, mask_placeholders, unmask_placeholders, first_paragraph, fill_prompt, pair_semi_join, pair_restore_by_text, union_stages, confusion, class_report, balanced_accuracy, macro_f1, delta_table, label_index, cv_folds, tfidf_weights, classes_ascending, generate_batch, class_context, judge_examples, score_texts, back_translate, results_pivot, raw_json, csv_round_trip, stage_fallback, pair_cache, feature_cache):
+for _f in (exact_dedup, cross_label_dedup, anomalous_texts, empty_filter, class_distribution, classes_to_augment, need_per_class, stratified_split, train_test_counts, threshold_counts, report_markers, prompt_examples, dedup_vs_existing, short_filter, language_filter, degenerate_ratio, degenerate_phrase, foreign_scripts, prompt_leak, cosine_filter, validation_chain, language_profiles, validation_whole, similarity_schedule, parse_score, judge_topk, judge_topk_pairs, mean_scores, round_robin_sources, round_robin_reshuffled, mask_placeholders, unmask_placeholders, first_paragraph, fill_prompt, pair_semi_join, pair_restore_by_text, union_stages, confusion, class_report, balanced_accuracy, macro_f1, delta_table, label_index, cv_folds, tfidf_weights, classes_ascending, generate_batch, class_context, judge_examples, score_texts, back_translate, results_pivot, raw_json, csv_round_trip, stage_fallback, pair_cache, feature_cache):
     QUERIES[_f.__name__] = _f
 for _k in ("svm", "logreg", "nb"):
     QUERIES[_k] = _model(_k)
