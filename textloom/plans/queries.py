@@ -162,8 +162,9 @@ def language_profiles(spark, d):
 
 
 def validation_whole(spark, d):
-    """All seven steps: English by n-gram ranks, and similarity by vectors from what the class has."""
-    candidates, existing = _candidates(spark, d)
+    """All seven steps: English by n-gram ranks, and similarity by vectors from what the class has: here, its shorter documents."""
+    candidates, _ = _candidates(spark, d)
+    existing = candidates.where("length(text) < 1500").select("text", "label")
     known = language.profiles(spark.read.parquet(f"{d}/documents.parquet").select("text", "lang"))
     return filters.validate(candidates, existing, least=500, wanted="en", known=known, embed=embedding.embedder(existing), keep=_keep(spark, "validation")).select("cand_id", "label")
 
