@@ -8,7 +8,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -164,8 +164,9 @@ def similarity_threshold(attempt: Column) -> Column:
 BLOCK, PIVOTS, CELL, SLACK = 1024, 256, 256, 1e-9
 
 
-def _unit(column: pa.ChunkedArray) -> np.ndarray:
-    v = np.stack(column.to_numpy()).astype(np.float64)
+def _unit(vectors: np.ndarray | pa.ChunkedArray) -> np.ndarray:
+    v = vectors if isinstance(vectors, np.ndarray) else np.stack(vectors.to_numpy())
+    v = v.astype(np.float64)
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
@@ -180,12 +181,16 @@ def _each(column: str) -> Column:
 
 
 def pivots(existing: DataFrame) -> DataFrame:
-    """(label, pivot, embedding): some vectors of each class, one for about ``CELL``, ``PIVOTS`` at most, the first by hash."""
-    from .dedup import top_by
+    """(label, pivot, embedding): some vectors of each class, one for about ``CELL``, ``PIVOTS`` at most, the first by hash.
 
-    wanted = existing.groupBy("label").agg(F.least(F.ceil(F.count("*") / CELL), F.lit(PIVOTS)).cast("int").alias("wanted"))
-    hashed = existing.join(wanted, "label").withColumn("hash", F.xxhash64("embedding"))
-    return top_by(hashed, "wanted", [F.asc("hash"), F.asc("embedding")], ["label"]).select("label", F.col("rank").alias("pivot"), "embedding")
+    The first of each of ``PIVOTS`` buckets of hashes is found where the rows are, so copies are never two pivots and
+    only buckets meet by class.
+    """
+    hashed = existing.withColumn("hash", F.xxhash64("embedding")).withColumn("bucket", F.pmod("hash", F.lit(PIVOTS)))
+    buckets = hashed.groupBy("label", "bucket").agg(F.count("*").alias("n"), F.min("hash").alias("hash"), F.min_by("embedding", "hash").alias("embedding"))
+    by_class = Window.partitionBy("label")
+    ranked = buckets.select("label", "embedding", F.row_number().over(by_class.orderBy("hash")).alias("pivot"), F.sum("n").over(by_class).alias("n"))
+    return ranked.where(F.col("pivot") <= F.ceil(F.col("n") / CELL)).select("label", "pivot", "embedding")
 
 
 def _with_pivots(rows: DataFrame, salt: str, centres: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -197,13 +202,15 @@ def _with_pivots(rows: DataFrame, salt: str, centres: DataFrame, run: Callable[[
 
 
 def cells(existing: DataFrame, centres: DataFrame) -> DataFrame:
-    """(label, pivot, angle, embedding): every vector with the nearest pivot of its class."""
+    """(label, pivot, angle, embedding): every distinct vector with the nearest pivot of its class; copies lie in one part."""
 
     def run(some: pa.Table, those: pa.Table) -> pa.Table:
         if not len(some) or not len(those):
             return some.select(["label", "embedding"]).slice(0, 0).append_column("pivot", pa.array([], pa.int32())).append_column("angle", pa.array([], pa.float64())).select(["label", "pivot", "angle", "embedding"])
         those = those.sort_by("pivot")
-        near = _unit(some.column("embedding")) @ _unit(those.column("embedding")).T
+        own, first = np.unique(np.stack(some.column("embedding").to_numpy()), axis=0, return_index=True)
+        some = some.take(pa.array(first))
+        near = _unit(own) @ _unit(np.stack(those.column("embedding").to_numpy())).T
         best = near.argmax(1)
         angle = np.arccos(np.clip(near[np.arange(len(best)), best], -1, 1))
         return pa.table({"label": some.column("label"), "pivot": those.column("pivot").take(pa.array(best)).cast(pa.int32()), "angle": pa.array(angle), "embedding": some.column("embedding")})
@@ -271,14 +278,14 @@ def max_similarity(candidates: DataFrame, existing: DataFrame, keep: Keep = lamb
     result is exact and cells far away never meet it. A null label has no class; rows without a vector are left out.
     ``keep`` cuts what is used several times; by default it is made anew each time.
     """
-    candidates, existing = candidates.select("cand_id", "label", "embedding").dropna(), existing.select("label", "embedding").dropna().distinct()
+    candidates, existing = candidates.select("cand_id", "label", "embedding").dropna(), existing.select("label", "embedding").dropna()
     centres = keep(pivots(existing), "pivots")
     held = keep(cells(existing, centres), "cells")
     reaches = held.groupBy("label", "pivot").agg(F.max("angle").alias("reach"))
     held = held.select("label", "pivot", "embedding")
-    first = keep(_looked_up(visits(candidates, centres, reaches, known=False), held).groupBy("cand_id", "label", "pivot").agg(F.max("similarity").alias("similarity")), "first")
+    first = keep(_looked_up(keep(visits(candidates, centres, reaches, known=False), "asked-first"), held).groupBy("cand_id", "label", "pivot").agg(F.max("similarity").alias("similarity")), "first")
     again = candidates.join(first.select("cand_id", "label", F.col("pivot").alias("seen"), F.col("similarity").alias("known")), ["cand_id", "label"])
-    then = _looked_up(visits(again, centres, reaches, known=True), held)
+    then = _looked_up(keep(visits(again, centres, reaches, known=True), "asked-then"), held)
     return first.select("cand_id", "similarity").unionByName(then.select("cand_id", "similarity")).groupBy("cand_id").agg(F.max("similarity").alias("similarity"))
 
 
