@@ -153,6 +153,8 @@ SELECT row_id, array_to_string(list_transform(p, lambda x, i: CASE WHEN i = 3 TH
 SELECT row_id, array_to_string(list_transform(g, lambda x, i: CASE WHEN i > 1 AND i <= len(w) AND lower(w[i]) = lower(w[i - 1]) AND regexp_full_match(x, '{_S}+') THEN '' ELSE x || coalesce(w[i], '') END), '') AS text FROM p""",
     "classes_ascending": "SELECT lang AS label, count(*) AS n FROM documents GROUP BY lang",
     "generate_batch": "SELECT doc_id AS row_id, CASE WHEN length(text) % 7 = 0 OR length(text) % 5 = 0 OR trim(reverse(text)) = '' THEN NULL ELSE reverse(text) END AS answer FROM documents",
+    "answers_once": """SELECT doc_id AS row_id, CASE WHEN length(text) % 7 = 0 OR length(text) % 5 = 0 OR trim(reverse(text)) = '' THEN NULL ELSE reverse(text) END AS answer,
+CASE WHEN text IS NULL OR length(text) % 7 = 0 THEN NULL WHEN text IN (SELECT text FROM documents WHERE lang = 'en' AND text IS NOT NULL) THEN 'first' ELSE 'second' END AS made_by FROM documents""",
     "class_context": f"""WITH p AS (SELECT source AS label, source || ': ' || max(text) AS p FROM documents GROUP BY source),
 a AS (SELECT label, CASE WHEN length(p) % 7 = 0 OR length(p) % 5 = 0 THEN NULL ELSE {_strip("string_split(reverse(p), chr(10) || chr(10))[1]")} END AS a FROM p)
 SELECT label, coalesce(nullif(a, ''), 'none') AS context FROM a""",

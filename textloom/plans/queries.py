@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import backtranslation, dedup, embedding, features, filters, generation, language, metrics, quota
+from textloom.operators import answers, backtranslation, dedup, embedding, features, filters, generation, language, metrics, quota
 from textloom.sources import io
 
 DROPPED = "src0"
@@ -327,6 +327,15 @@ def generate_batch(spark, d):
     return generation.run_generator(documents(spark, d).select("row_id", F.col("text").alias("prompt")), Reverse).select("row_id", "answer")
 
 
+def answers_once(spark, d):
+    """Two runs over one store of answers: the English documents first, then all; equal texts are asked once."""
+    docs = documents(spark, d, "lang").select("row_id", "label", F.col("text").alias("prompt"))
+    store = answers.Answers(spark, _folder(spark, "answers"), Reverse, "reverse")
+    store.ask(docs.where("label = 'en'"), "first")
+    store.ask(docs, "second")
+    return store.add(docs, made_by="made_by").select("row_id", "answer", "made_by")
+
+
 def class_context(spark, d):
     shown = documents(spark, d).groupBy("label").agg(F.max("text").alias("examples"))
     return generation.class_context(shown, Reverse, F.lit("{class_name}: {examples}"), "none")
@@ -491,7 +500,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "normalize_ws": _odd_scalar(T.normalize_whitespace),
     "clean_chain": clean_pipeline,
 }
-for _f in (exact_dedup, cross_label_dedup, anomalous_texts, empty_filter, class_distribution, classes_to_augment, need_per_class, stratified_split, train_test_counts, threshold_counts, report_markers, prompt_examples, dedup_vs_existing, short_filter, language_filter, degenerate_ratio, degenerate_phrase, foreign_scripts, prompt_leak, cosine_filter, validation_chain, language_profiles, validation_whole, similarity_schedule, parse_score, judge_topk, judge_topk_pairs, mean_scores, round_robin_sources, round_robin_reshuffled, mask_placeholders, unmask_placeholders, first_paragraph, fill_prompt, pair_semi_join, pair_restore_by_text, union_stages, confusion, class_report, balanced_accuracy, macro_f1, delta_table, label_index, cv_folds, tfidf_weights, classes_ascending, generate_batch, class_context, judge_examples, score_texts, back_translate, results_pivot, raw_json, csv_round_trip, stage_fallback, pair_cache, feature_cache):
+for _f in (exact_dedup, cross_label_dedup, anomalous_texts, empty_filter, class_distribution, classes_to_augment, need_per_class, stratified_split, train_test_counts, threshold_counts, report_markers, prompt_examples, dedup_vs_existing, short_filter, language_filter, degenerate_ratio, degenerate_phrase, foreign_scripts, prompt_leak, cosine_filter, validation_chain, language_profiles, validation_whole, similarity_schedule, parse_score, judge_topk, judge_topk_pairs, mean_scores, round_robin_sources, round_robin_reshuffled, mask_placeholders, unmask_placeholders, first_paragraph, fill_prompt, pair_semi_join, pair_restore_by_text, union_stages, confusion, class_report, balanced_accuracy, macro_f1, delta_table, label_index, cv_folds, tfidf_weights, classes_ascending, generate_batch, answers_once, class_context, judge_examples, score_texts, back_translate, results_pivot, raw_json, csv_round_trip, stage_fallback, pair_cache, feature_cache):
     QUERIES[_f.__name__] = _f
 for _k in ("svm", "logreg", "nb"):
     QUERIES[_k] = _model(_k)

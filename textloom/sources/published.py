@@ -37,6 +37,14 @@ class Published:
         versions = self._versions().get(key)
         return f"{self.root}/{key}/{versions[-1]}" if versions else None
 
+    def paths(self) -> list[str]:
+        """Where the newest published tables of all keys are, found by one listing."""
+        return [f"{self.root}/{key}/{versions[-1]}" for key, versions in sorted(self._versions().items())]
+
+    def drop(self, path: str) -> None:
+        """Deletes a table of a run's own, beside the published ones."""
+        self._fs.delete(self._path(path), True)
+
     def read(self, key: str) -> DataFrame | None:
         path = self.path(key)
         return None if path is None else self.spark.read.parquet(path)
