@@ -2,7 +2,8 @@
 
 A prompt is known by a digest of the model's name, its sampling and the text. What is not yet known is written in
 order of length, then asked slice by slice; the answers of a slice are published whole, so a run that dies loses
-one slice at most and the next one goes on behind it. Prompts that failed are asked again, up to ``tries`` times.
+one slice or one further try at most and the next one goes on behind it. Prompts that failed are asked again, up to
+``tries`` times.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import partial, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,8 @@ from .generation import TextGenerator
 
 #: Slices of a run's prompts; most prompts of a batch; most characters of a batch once all are as long as its longest.
 SLICES, ROWS, WIDTH = 8, 256, 1 << 18
-ANSWERS = "digest string, answer string, made_by string"
+#: A part has the prompts that failed, so that they can be asked again without a join.
+ANSWERS = "digest string, answer string, made_by string, failed string"
 
 
 def batches(lengths: list[int], rows: int = ROWS, width: int = WIDTH) -> Iterator[tuple[int, int]]:
@@ -68,8 +70,8 @@ class Answers:
     def known(self) -> DataFrame:
         """(digest, answer, made_by), one row for each prompt answered."""
         paths = self.parts.paths()
-        found = self.spark.read.schema(ANSWERS + ", failed boolean").parquet(*paths) if paths else self.spark.createDataFrame([], ANSWERS + ", failed boolean")
-        return found.where("not failed").select("digest", "answer", "made_by").dropDuplicates(["digest"])
+        found = self.spark.read.schema(ANSWERS).parquet(*paths) if paths else self.spark.createDataFrame([], ANSWERS)
+        return found.where("failed is null").select("digest", "answer", "made_by").dropDuplicates(["digest"])
 
     def _ask(self, prompts: DataFrame, made_by: str) -> DataFrame:
         make = self.make
@@ -80,9 +82,9 @@ class Answers:
                 texts, digests = t.column("prompt").to_pylist(), t.column("digest")
                 for a, b in batches([len(x) for x in texts]):
                     found = _asked(model, texts[a:b])
-                    yield pa.RecordBatch.from_arrays([digests.slice(a, b - a), pa.array([x for x, _ in found], pa.string()), pa.array([made_by] * (b - a), pa.string()), pa.array([x for _, x in found], pa.bool_())], ["digest", "answer", "made_by", "failed"])
+                    yield pa.RecordBatch.from_arrays([digests.slice(a, b - a), pa.array([x for x, _ in found], pa.string()), pa.array([made_by] * (b - a), pa.string()), pa.array([p if x else None for p, (_, x) in zip(texts[a:b], found, strict=True)], pa.string())], ["digest", "answer", "made_by", "failed"])
 
-        return prompts.select("digest", "prompt").mapInArrow(run, ANSWERS + ", failed boolean")
+        return prompts.select("digest", "prompt").mapInArrow(run, ANSWERS)
 
     def ask(self, df: DataFrame, made_by: str, prompt: str = "prompt", tries: int = 3) -> None:
         """Asks and keeps what is not known yet; ``made_by`` names the run."""
@@ -90,20 +92,17 @@ class Answers:
         fresh = wanted.groupBy("digest").agg(F.first("prompt").alias("prompt")).join(self.known().select("digest"), "digest", "left_anti")
         fresh = fresh.withColumn("slice", F.pmod(F.xxhash64("digest"), F.lit(SLICES))).withColumn("length", F.length("prompt"))
         path = f"{self.root}/asked/{uuid.uuid4().hex}"
-        # By slice and length: a slice reads its own row groups alone, and neighbours are about as long.
-        order = ["slice", "length", "digest"]
-        fresh.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+        # A folder for each slice; rows are ordered where the aggregation left them, so that neighbours are about as long.
+        fresh.sortWithinPartitions("slice", "length").write.partitionBy("slice").parquet(path)
         asked = self.spark.read.schema(fresh.schema).parquet(path)
-        for attempt in range(tries):
-            left = asked if attempt == 0 else asked.join(self.known().select("digest"), "digest", "left_anti")
-            if left.isEmpty():
+        left = [asked.where(F.col("slice") == i) for i in range(SLICES)]
+        for _ in range(tries):
+            made = [self.parts.commit(uuid.uuid4().hex, self._ask(some, made_by)) for some in left]
+            failed = reduce(DataFrame.unionByName, made).where("failed is not null").select("digest", F.col("failed").alias("prompt"))
+            # Few as a rule, so one table for each further try.
+            left = [failed]
+            if failed.isEmpty():
                 break
-            for i in range(SLICES):
-                some = left.where(F.col("slice") == i)
-                # After the first attempt most slices have nothing left.
-                if attempt and some.isEmpty():
-                    continue
-                self.parts.commit(uuid.uuid4().hex, self._ask(some.sortWithinPartitions("length") if attempt else some, made_by))
         self.parts.drop(path)
 
     def add(self, df: DataFrame, prompt: str = "prompt", out: str = "answer", made_by: str | None = None) -> DataFrame:
