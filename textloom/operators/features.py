@@ -79,30 +79,31 @@ class _Hashes(dict):
         return found
 
 
-def _buckets(codes: np.ndarray) -> list[np.ndarray]:
+def _buckets(codes: np.ndarray, bits: int) -> list[np.ndarray]:
     """Two independent buckets of each code of hashed words."""
     mixed = [codes.astype(np.uint64) * np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
-    return [((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - _BITS)).astype(np.int64) for x in mixed]
+    return [((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64) for x in mixed]
 
 
 def _bounds(texts: DataFrame) -> np.ndarray:
     """Occurrences by bucket, two rows: neither row's is below the occurrences of any term in it."""
+    bits = _BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total, waiting = _Hashes(), np.zeros((2, 1 << _BITS), np.int64), []
+        words, total, waiting = _Hashes(), np.zeros((2, 1 << bits), np.int64), []
 
         def add() -> None:
-            for row, own in zip(total, _buckets(np.concatenate(waiting)), strict=True):
-                row += np.bincount(own, minlength=1 << _BITS)
+            for row, own in zip(total, _buckets(np.concatenate(waiting), bits), strict=True):
+                row += np.bincount(own, minlength=1 << bits)
             waiting.clear()
 
         for batch in sliced(batches):
             waiting.append(coded(batch.column(0).to_pylist(), lambda w: [words[x] for x in w])[0])
-            if sum(map(len, waiting)) > 1 << _BITS:
+            if sum(map(len, waiting)) > 1 << bits:
                 add()
         if waiting:
             add()
-        part = np.arange(2 << _BITS >> 16)
+        part = np.arange(2 << bits >> 16)
         kept = [x.tobytes() for x in total.reshape(len(part), -1)]
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kept, pa.binary())], names=["part", "sums"])
 
@@ -116,7 +117,7 @@ def _bounds(texts: DataFrame) -> np.ndarray:
 
     schema, cores = "part int, sums binary", texts.sparkSession.sparkContext.defaultParallelism
     found = texts.coalesce(cores).mapInArrow(count, schema).repartition(8, "part").mapInArrow(add, schema).collect()
-    out = np.zeros((2 << _BITS >> 16, 1 << 16), np.int64)
+    out = np.zeros((2 << bits >> 16, 1 << 16), np.int64)
     for r in found:
         out[r["part"]] = np.frombuffer(r["sums"], np.int64)
     return out.reshape(2, -1)
@@ -124,6 +125,7 @@ def _bounds(texts: DataFrame) -> np.ndarray:
 
 def _counts(texts: DataFrame, hot: np.ndarray | None) -> DataFrame:
     """(term, df, total) of the terms whose buckets are ``hot`` in both rows; of all, if it is None."""
+    bits = _BITS
     shared = None if hot is None else texts.sparkSession.sparkContext.broadcast(np.packbits(hot, axis=1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +155,7 @@ def _counts(texts: DataFrame, hot: np.ndarray | None) -> DataFrame:
                 new = list(islice(numbers, len(hashes), None))
                 hashes = np.append(hashes, np.array([hashed[w] for w in new], np.int64))
                 first, second = codes >> 32, (codes & 0xFFFFFFFF) - 1
-                one, two = _buckets((hashes[first] << 32) + np.where(second < 0, 0, hashes[np.maximum(second, 0)] + 1))
+                one, two = _buckets((hashes[first] << 32) + np.where(second < 0, 0, hashes[np.maximum(second, 0)] + 1), bits)
                 on = open_[0, one] & open_[1, two]
                 codes, at = codes[on], at[on]
             codes, place, total = np.unique(codes, return_inverse=True, return_counts=True)
