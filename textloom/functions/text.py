@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +38,21 @@ def let(c: Column, body) -> Column:
     return F.get(F.transform(F.array(c), body), F.lit(0))
 
 
+#: Rows, and about how many bytes, whose Python objects a task holds at once.
+_ROWS, _BYTES = 256, 1 << 20
+
+
+def by_slices(batch: pa.Array, run: Callable[[list], list], kind: pa.DataType) -> pa.Array:
+    """``run`` over slices of an Arrow batch, so that a task never holds the whole batch as Python objects."""
+    ends, out, start = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False), dtype=np.int64), [], 0
+    while start < len(batch):
+        full = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + _BYTES, "right"))
+        stop = min(max(full, start + 1), start + _ROWS, len(batch))
+        out.append(pa.array(run(batch.slice(start, stop - start).to_pylist()), kind))
+        start = stop
+    return pa.concat_arrays(out) if out else pa.array([], kind)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -78,7 +96,11 @@ def collapse_repeats(text: str, least: int = 5, most: int = 30) -> str:
     longest = np.zeros(count, np.int64)
     copies = np.zeros(count, np.int64)
     for n in range(least, min(most, count // 2) + 1):
-        same = np.append(code[n:] == code[:-n], False)
+        same = code[n:] == code[:-n]
+        # A block and its copy agree in n places.
+        if np.count_nonzero(same) < n:
+            continue
+        same = np.append(same, False)
         at = np.arange(len(same))
         stop = np.minimum.accumulate(np.where(same, len(same), at)[::-1])[::-1]
         run = stop - at
@@ -96,9 +118,9 @@ def collapse_repeats(text: str, least: int = 5, most: int = 30) -> str:
 
 
 def remove_repeated_sequences(c: Column, least: int = 5, most: int = 30) -> Column:
-    @F.pandas_udf(T.StringType())
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else collapse_repeats(t, least, most))
+    @F.arrow_udf(T.StringType())
+    def run(s: pa.Array) -> pa.Array:
+        return by_slices(s, lambda some: [None if t is None else collapse_repeats(t, least, most) for t in some], pa.string())
 
     return run(c)
 
@@ -150,9 +172,9 @@ def _may_repeat(text: str, least: int = 20, most: int = 200) -> bool:
 def remove_repeated_comma_phrases(c: Column) -> Column:
     """Three or more copies of a phrase of 20 to 200 characters with commas between become one."""
 
-    @F.pandas_udf(T.StringType())
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: _COMMA.sub(r"\1", t) if t is not None and _may_repeat(t) else t)
+    @F.arrow_udf(T.StringType())
+    def run(s: pa.Array) -> pa.Array:
+        return by_slices(s, lambda some: [_COMMA.sub(r"\1", t) if t is not None and _may_repeat(t) else t for t in some], pa.string())
 
     return run(c)
 
@@ -201,9 +223,9 @@ def _in_workers(c: Column, by_line: bool) -> Column:
         t = "\n".join(distinct_parts([block(x) for x in t.split("\n")])) if by_line else block(t)
         return _COMMA.sub(r"\1", t) if _may_repeat(t) else t
 
-    @F.pandas_udf(T.StringType())
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(one)
+    @F.arrow_udf(T.StringType())
+    def run(s: pa.Array) -> pa.Array:
+        return by_slices(s, lambda some: [one(t) for t in some], pa.string())
 
     return run(c)
 
