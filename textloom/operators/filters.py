@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 
 from .dedup import new_against
-from .language import nearest
+from .language import detect as detect_language
 
 #: What a leaked prompt looks like in the first 150 characters, and anywhere.
 LEAK_START = [
@@ -132,9 +132,9 @@ def stuck(text: str) -> bool:
 
 
 def not_stuck(c: Column) -> Column:
-    @F.pandas_udf("boolean")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else not (len(t.split()) >= 3 and stuck(t)))
+    @F.arrow_udf("boolean")
+    def run(s: pa.Array) -> pa.Array:
+        return T.by_slices(s, lambda some: [None if t is None else not (len(t.split()) >= 3 and stuck(t)) for t in some], pa.bool_())
 
     return run(c)
 
@@ -304,7 +304,7 @@ def validate(candidates: DataFrame, existing: DataFrame, *, least: int = 500, de
     out = new_against(candidates, existing).where(long_enough(c, least))
     out = out.where(varied(c) & no_foreign_script(c) & no_prompt_leak(c))
     if known is not None:
-        out = out.join(nearest(out, known, "cand_id").where(F.col("detected") == wanted), "cand_id", "left_semi").select(candidates.columns)
+        out = detect_language(out, known).where(F.col("detected") == wanted).select(candidates.columns)
     if detect is not None:
         out = out.where(in_language(c, detect, wanted))
     out = out.where(not_stuck(c))
@@ -321,10 +321,14 @@ def restore_pairs(pairs: DataFrame, survivors: DataFrame, by_text: bool = False)
 
 def select_scored(scored: DataFrame, needs: DataFrame, least: float = 5.0) -> DataFrame:
     """The ``need`` best candidates of each class with score >= least; ties to the smaller cand_id."""
-    from .dedup import top_by
-
-    good = scored.where(F.col("score") >= least).join(needs.select("label", "need"), "label")
-    return top_by(good, "need", [F.desc("score"), F.asc("cand_id")], ["label"]).drop("need")
+    good = scored.where(F.col("score") >= least).join(F.broadcast(needs.select("label", "need")), "label")
+    # Scores and ids alone are ranked by class; only rows above the cut are exchanged with their texts.
+    slim = good.groupBy("label", "need", "score", "cand_id").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("label").orderBy(F.desc("score"), F.asc("cand_id"))) - F.col("__n")
+    cut = slim.withColumn("__before", before).where(F.col("__before") < F.col("need")).select("label", F.col("score").alias("__score"), F.col("cand_id").alias("__id"), "__before")
+    own = good.join(cut.withColumnRenamed("label", "__label"), (F.col("label") == F.col("__label")) & (F.col("score") == F.col("__score")) & F.col("cand_id").eqNullSafe(F.col("__id")))
+    copy = F.row_number().over(Window.partitionBy("label", "score", "cand_id").orderBy("cand_id"))
+    return own.withColumn("rank", (F.col("__before") + copy).cast("int")).where(F.col("rank") <= F.col("need")).drop("need", "__before", "__label", "__score", "__id")
 
 
 def score_means(scored: DataFrame, selected: DataFrame) -> DataFrame:
