@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,11 +50,11 @@ class EchoTranslator:
 def run_generator(df: DataFrame, make: Callable[[], TextGenerator], prompt: str = "prompt", out: str = "answer") -> DataFrame:
     """Adds the answers. A batch that fails is asked prompt by prompt; a prompt that fails has a null answer."""
 
-    @F.pandas_udf("string")
-    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def ask(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = make()
-        for prompts in batches:
-            given = prompts.tolist()
+
+        def answered(given: list[str]) -> list[str | None]:
             try:
                 answers = model.generate(given)
             except Exception:  # noqa: BLE001  whatever a model raises, the rest of the batch is still asked
@@ -64,7 +64,10 @@ def run_generator(df: DataFrame, make: Callable[[], TextGenerator], prompt: str
                         answers += model.generate([p])
                     except Exception:  # noqa: BLE001
                         answers.append(None)
-            yield pd.Series([a if a and a.strip() else None for a in answers], dtype=object)
+            return [a if a and a.strip() else None for a in answers]
+
+        for prompts in batches:
+            yield T.by_slices(prompts, answered, pa.string())
 
     return df.withColumn(out, ask(prompt))
 
@@ -72,15 +75,18 @@ def run_generator(df: DataFrame, make: Callable[[], TextGenerator], prompt: str
 def back_translate(df: DataFrame, make: Callable[[], Translator], column: str = "text", there: tuple[str, str] = ("ru", "en")) -> DataFrame:
     """Adds back_translated: masked, there and back, stripped, unmasked; a failing batch gives empty texts."""
 
-    @F.pandas_udf("string")
-    def turn(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def turn(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = make()
-        for texts in batches:
+
+        def turned(texts: list[str]) -> list[str]:
             try:
-                over = model.translate(texts.tolist(), *there)
-                yield pd.Series(model.translate(over, there[1], there[0]), dtype=object)
+                return model.translate(model.translate(texts, *there), there[1], there[0])
             except Exception:  # noqa: BLE001
-                yield pd.Series([""] * len(texts), dtype=object)
+                return [""] * len(texts)
+
+        for texts in batches:
+            yield T.by_slices(texts, turned, pa.string())
 
     masked = df.withColumn("__m", T.mask_placeholders(F.col(column)))
     back = masked.withColumn("__t", T.strip(turn(F.col("__m.masked"))))
@@ -125,7 +131,8 @@ def score_texts(candidates: DataFrame, examples: DataFrame, context: DataFrame,
 
     ``template`` names the fields {class_name}, {context}, {examples} and {text}; a class without examples or context has empty ones.
     """
-    known = candidates.join(examples.select("label", "examples"), "label", "left").join(context.select("label", "context"), "label", "left")
+    # Both have a row a class; sent out, so that no task gathers a class's candidates.
+    known = candidates.join(F.broadcast(examples.select("label", "examples")), "label", "left").join(F.broadcast(context.select("label", "context")), "label", "left")
     fields = {"class_name": F.col("label"), "context": F.coalesce("context", F.lit("")), "examples": F.coalesce("examples", F.lit("")), "text": F.col("text")}
     scored = judge(known.withColumn("prompt", T.fill_template(template, fields)), make)
     return scored.select(*candidates.columns, "score", "parse_ok").orderBy("label", F.desc("score"), "cand_id")
