@@ -2,11 +2,12 @@
 
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import features, filters, generation, language
+from textloom.operators import features, filters, generation, language, quota, svm
 
 
 def plan(df):
@@ -56,3 +57,35 @@ def test_batches_are_cut(monkeypatch):
     out = T.by_slices(pa.array(["aaaa", None, "bb", "c", "d", "e", "x" * 30]), lambda some: seen.append(len(some)) or some, pa.string())
     assert out.to_pylist() == ["aaaa", None, "bb", "c", "d", "e", "x" * 30] and seen == [4, 2, 1]
     assert len(T.by_slices(pa.array([], pa.string()), list, pa.bool_())) == 0
+
+
+def test_the_split_deals_no_texts_by_class(spark):
+    df = spark.createDataFrame([(i, f"text {i}", "ab"[i % 2]) for i in range(40)] + [(None, "none", "a"), (99, "no class", None)], "row_id long, text string, label string")
+    split = quota.stratified_split(df)
+    assert plan(split).count("strategy=broadcast") == 1
+    assert {(r["label"], r["part"]): r["count"] for r in split.groupBy("label", "part").count().collect()} == {("a", "test"): 4, ("a", "train"): 17, ("b", "test"): 4, ("b", "train"): 16, (None, "train"): 1}
+
+
+def test_bayes_is_counted_once_from_every_row(spark, monkeypatch):
+    """Rows without an id, or of one id, all have a fold; the sums of the search are those of the last fit."""
+    seen, whole = [], svm.class_sums
+    monkeypatch.setattr(svm, "class_sums", lambda *given: seen.append(whole(*given)) or seen[-1])
+    texts = [(None if i < 4 else 7 if i < 8 else i, f"{'cat meow' if i % 2 else 'dog woof'} w{i % 5}", "ab"[i % 2]) for i in range(40)]
+    df = spark.createDataFrame(texts, "row_id long, text string, label string")
+    assert features.evaluate("nb", df, df, search=True, size=100).first()["macro_f1"] == 1.0
+    assert len(seen) == 1
+    by = seen[0][-1].sum(0)
+    assert by.sum() == 40 and by[0] == 0 and by.min(initial=99, where=np.arange(4) > 0) >= 12
+
+
+def test_words_of_many_texts_are_those_of_each():
+    draw = np.random.default_rng(3)
+    letters = list("aB_9 .\n\t-ÄßİΣς中文\u0301é\u200d𝒳😀١")
+    texts = [None, "", "a", "ab", "ΑΣ ΑΣ"] + ["".join(draw.choice(letters, n)) for n in draw.integers(0, 30, 300)]
+    for some in (texts, texts[::-1], ["plain words only", None], [None], []):
+        words, sizes = features.worded(some)
+        assert words.to_pylist() == [w for t in some for w in features._WORD.findall((t or "").lower())]
+        assert sizes.tolist() == [len(features._WORD.findall((t or "").lower())) for t in some]
+        at = Counter(map(tuple, np.stack(features.coded(some, features._hashed)).T.tolist()))
+        hashed = dict(zip(words.dictionary.to_pylist(), features._hashed(words.dictionary).tolist(), strict=True))
+        assert sum(at.values()) == sum(sum(features.counted(t or "").values()) for t in some) and all((hashed[w] << 32, i) in at for i, t in enumerate(some) for w in features._WORD.findall((t or "").lower()))
