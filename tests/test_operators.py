@@ -140,6 +140,14 @@ def test_augment_meets_quota(spark):
     assert {r["label"]: r["count"] for r in out.groupBy("label").count().collect()} == {"a": 6, "b": 9}
 
 
+def test_csv_keeps_blanks_empty_texts_and_nulls(spark, tmp_path):
+    draw = random.Random(3)
+    texts = [None, "", " ", "a ", "\ta", "\n", "a\r", '"', '" ', "\0", '"\0"', "null"] + ["".join(draw.choices(['"', ",", "\n", "\r\n", " ", "\t", "\0", "#", "\\", "\ufeff", "я"], k=draw.randint(1, 9))) for _ in range(400)]
+    rows = [(t, texts[-i]) for i, t in enumerate(texts)]
+    io.write_csv(spark.createDataFrame(rows, io.TABLE).select("label", "text"), str(tmp_path / "c"))
+    assert sorted(map(repr, map(tuple, io.read_csv(spark, str(tmp_path / "c")).collect()))) == sorted(map(repr, rows))
+
+
 def test_sources(spark, tmp_path):
     rows = [(1, 'a "q"\nline, two', "x"), (2, "b", "y")]
     t = table(spark, rows)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
@@ -15,7 +16,7 @@ from .published import Published
 
 TABLE = T.StructType([T.StructField("text", T.StringType()), T.StructField("label", T.StringType())])
 PAIRS = T.StructType([T.StructField(n, T.StringType()) for n in ("label", "translated", "original")])
-_CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
+_CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "charToEscapeQuoteEscaping": '"'}
 STAGES = (0, 1, 2, 3)
 
 
@@ -32,7 +33,12 @@ def read_raw_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = TABLE) -> DataFrame:
-    header = spark.read.options(**_CSV).csv(path)
+    """Only a field without quotes and characters is null.
+
+    Spark takes for null whatever equals ``nullValue``, so that is a name that no file has; NUL is its mark for no
+    ``charToEscapeQuoteEscaping`` and would be left out of quoted fields, so the quote stands there.
+    """
+    header = spark.read.options(**_CSV, nullValue=uuid.uuid4().hex).csv(path)
     if schema is TABLE:
         check_columns(header, path)
     # By name: files may have their columns in another order, and more of them.
@@ -40,7 +46,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = TABLE) -> Da
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    """Blanks at a text's ends stay, an empty text is ``""`` and a null is nothing."""
+    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
