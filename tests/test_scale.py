@@ -89,3 +89,59 @@ def test_words_of_many_texts_are_those_of_each():
         at = Counter(map(tuple, np.stack(features.coded(some, features._hashed)).T.tolist()))
         hashed = dict(zip(words.dictionary.to_pylist(), features._hashed(words.dictionary).tolist(), strict=True))
         assert sum(at.values()) == sum(sum(features.counted(t or "").values()) for t in some) and all((hashed[w] << 32, i) in at for i, t in enumerate(some) for w in features._WORD.findall((t or "").lower()))
+
+
+def sparse_rows(draw, n, size):
+    x = np.where(draw.random((n, size)) < 0.3, draw.random((n, size)), 0)
+    x[[0, n // 2, n - 1]] = 0
+    lists = [[np.flatnonzero(r).tolist() for r in x], [r[r != 0].tolist() for r in x]]
+    return x, pa.RecordBatch.from_arrays([pa.array(draw.integers(0, 3, n), pa.int32()), pa.array(np.arange(n) % 3, pa.int32()), pa.array(lists[0], pa.list_(pa.int32())), pa.array(lists[1], pa.list_(pa.float64()))], names=["label", "fold", "places", "values"])
+
+
+def test_products_of_blocks(monkeypatch):
+    monkeypatch.setattr(svm, "LISTED", 40)
+    draw = np.random.default_rng(6)
+    x, batch = sparse_rows(draw, 50, 20)
+    for columns in (1, 5, svm.WIDE + 1):
+        w, pull = draw.normal(size=(21, columns)), np.where(draw.random((50, columns)) < np.linspace(0, 1, columns), draw.normal(size=(50, columns)), 0)
+        z, total, squares, at = [], np.zeros((columns, 21)), np.zeros((columns, 21)), 0
+        for b in svm.blocks([batch], 20):
+            z.append(b.times(w))
+            b.turned(pull[at : at + b.n], total)
+            b.turned(pull[at : at + b.n], squares, 2)
+            at += b.n
+        one = np.hstack([x, np.ones((50, 1))])
+        assert len(z) > 5 and np.allclose(np.vstack(z), one @ w) and np.allclose(total, pull.T @ one) and np.allclose(squares, pull.T @ one**2)
+
+
+def test_no_model_waits_for_anothers_steps(monkeypatch):
+    """All models together need about as many passes as the slowest alone, and each ends where it ends alone."""
+    seen, whole = [], svm.Chunk.total
+    monkeypatch.setattr(svm.Chunk, "total", lambda *given: seen.append(1) or whole(*given))
+    table = pa.Table.from_batches([sparse_rows(np.random.default_rng(7), 200, 12)[1]])
+    for width, models in ((1, [(k, c, left) for c in (0.01, 1.0, 30.0) for left in (-1, 1) for k in range(3)]), (3, [(k, c, 0) for c in (0.01, 1.0, 30.0) for k in range(3)])):
+        alone, weights = [], []
+        for i in range(0, len(models), width):
+            chunk = svm.Chunk(table, 12, models[i : i + width], width)
+            seen.clear()
+            weights.append(svm.minimise(chunk, chunk.curvature(chunk.squares(3)), np.array([1e-6]), 500))
+            alone.append(len(seen))
+        chunk = svm.Chunk(table, 12, models, width)
+        seen.clear()
+        together = svm.minimise(chunk, chunk.curvature(chunk.squares(3)), np.full(len(models) // width, 1e-6), 500)
+        assert min(alone) < len(seen) <= 1.1 * max(alone) and np.allclose(together, np.hstack(weights), atol=1e-4)
+
+
+def test_few_passes(spark, monkeypatch):
+    """Models of words as frequent as in texts, where few rows lie inside the margin: passes for all penalties at once."""
+    seen, whole = [], svm.Passes.total
+    monkeypatch.setattr(svm.Passes, "total", lambda *given: seen.append(1) or whole(*given))
+    draw = np.random.default_rng(8)
+    held = []
+    for i in range(240):
+        words = np.unique(np.append((draw.zipf(1.3, 60) - 1) % 500, 500 + 100 * (i % 3) + (draw.zipf(1.5, 12) - 1) % 100))
+        value = 1 / (1 + draw.random(len(words)))
+        held.append((i % 3, i // 3 % 3, words.tolist(), (value / np.linalg.norm(value)).tolist()))
+    rows = spark.createDataFrame(held, "label int, fold int, places array<int>, values array<double>").repartition(2).persist()
+    svm.train("svm", rows, 800, 3, [(c, -1) for c in (0.01, 1.0, 10.0, 100.0)], iterations=500)
+    assert len(seen) < 120, len(seen)
